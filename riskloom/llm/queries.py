@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, quality, secret_scan, simhash
+from . import ann, bpe, fingerprint, langid, lm, mixing, pii, quality, secret_scan, simhash
 from .common import crc_mod, table
 
 
@@ -28,6 +28,10 @@ def op1_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", digest(F.col("decoded")).alias("decoded_sha256"))
 
 
+def op2_fingerprint_lcp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edits(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = crc_mod(F.col("doc_id"), 4) == 2
@@ -35,6 +39,13 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op4_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = crc_mod(F.col("doc_id"), 10) == 0
+    scored = lm.score_text(docs, ~held)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -44,6 +55,21 @@ def op6_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op8_pii_semicrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_pii(docs, pii.fit_field(docs, "text", "doc_id"), keep=["doc_id"])
+    spans = F.col("pii_spans")
+    base = F.filter(spans, lambda x: x["base"])
+    return found.select(
+        "doc_id", *[count_of(spans, k).alias(f"n_{k}") for k in pii.KINDS],
+        digest(spans_text(base)).alias("base_sha256"), spans_text(spans).alias("spans"),
+    )
+
+
 def op9_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = crc_mod(F.col("doc_id"), 5) == 0
@@ -62,5 +88,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_tree, op3_language_id, op5_mixing, op6_simhash_pigeonring, op9_quality_fm, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_bpe_tree, op2_fingerprint_lcp, op3_language_id, op4_maxent_lm, op5_mixing, op6_simhash_pigeonring, op7_prefix_forest, op8_pii_semicrf, op9_quality_fm, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
