@@ -23,7 +23,9 @@ from pyspark.sql import types as T
 
 from .common import BASE, BASE_INVERSE, mix, passes, powers, prepare, quoted, utf8, with_arrow
 
-SLOTS, LEVELS = 64, (3, 4, 5, 6)
+SLOTS, LEVELS = 128, (2, 3, 4, 5, 6)
+#: Texts of fewer bytes keep the names of level 1, too: they have few longer phrases.
+SHORT = 512
 EMPTY = 0xFFFF
 ONE = np.uint64(1)
 
@@ -74,9 +76,12 @@ def sketch(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         names, at = data.astype(np.uint64), np.append(ends[:-1][full], ends[-1])
         for k in range(1, max(LEVELS) + 1):
             names, at = level(names, at)
-            if k in LEVELS:
-                slot = np.repeat(full, np.diff(at)) * SLOTS + (names >> np.uint64(58)).astype(np.int64)
-                np.minimum.at(out, slot, mix(names * np.uint64(0x2545F4914F6CDD1D)))
+            own = np.diff(ends)[full] < SHORT if k == 1 else np.full(len(full), k in LEVELS)
+            if own.any():
+                each = np.diff(at)
+                got = names[np.repeat(own, each)]
+                slot = np.repeat(full[own], each[own]) * SLOTS + ((got >> np.uint64(48)) % np.uint64(SLOTS)).astype(np.int64)
+                np.minimum.at(out, slot, mix(got * np.uint64(0x2545F4914F6CDD1D)))
     kept = (out >> np.uint64(20)).astype(np.uint16)
     kept[kept == EMPTY] = EMPTY - 1
     kept[out == np.iinfo(np.uint64).max] = EMPTY
