@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import evaluation
+from . import datasets, evaluation
 
-MODULES = [evaluation]
+MODULES = [evaluation, datasets]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
