@@ -159,12 +159,13 @@ def lowered(texts: pa.Array) -> pa.Array:
 def fit_language_model(docs: DataFrame, text_col: str, label_col: str, id_col: str, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Machines fitted on at most per_language labelled rows of each language; only their features reach the driver."""
     prepare(docs.sparkSession)
+    labelled = docs.where(quoted(label_col).isNotNull() & quoted(text_col).isNotNull()).select(quoted(label_col).cast("string").alias("label"), quoted(id_col).alias("id"))
+    # Rows whose hash is so low that they are likely among the lowest per_language of their language: few enough to be ranked.
+    sizes = labelled.groupBy("label").agg(F.count("*").alias("rows"))
+    share = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < (3.0 * per_language + 50) / F.col("rows") * (1 << 20)
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))
-    chosen = (
-        docs.where(quoted(label_col).isNotNull() & quoted(text_col).isNotNull())
-        .select(quoted(label_col).cast("string").alias("label"), quoted(id_col).alias("id"))
-        .withColumn("r", rank).where(F.col("r") <= per_language).select("id", "label").distinct()
-    )
+    low = labelled.join(sizes, "label").where(share).select("id", "label")
+    chosen = low.withColumn("r", rank).where(F.col("r") <= per_language).select("id", "label").distinct()
     rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
 
     def features(texts):
