@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import datasets, evaluation, links
+from . import datasets, evaluation, links, messages
 
-MODULES = [evaluation, datasets, links]
+MODULES = [evaluation, datasets, links, messages]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
