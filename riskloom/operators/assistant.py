@@ -38,8 +38,7 @@ def followup_reply(topic: Column, level: Column) -> Column:
 
 def last_verdict(df: DataFrame, key: str, ts: str, verdict: str) -> DataFrame:
     """df with the session's latest verdict of the hour before each row."""
-    seconds = F.col(ts).cast("timestamp").cast("double")
-    w = Window.partitionBy(key).orderBy(seconds).rangeBetween(-3600, -0.000001)
+    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-3_600_000_000, -1)
     return df.withColumn("remembered", F.last(verdict, ignorenulls=True).over(w))
 
 
