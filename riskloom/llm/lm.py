@@ -38,6 +38,7 @@ HEAD = 200_000
 #: The end of a text: no word, as it holds a space.
 END = b"\n"
 ALPHA = 0.1
+ONES = np.ones(CLASSES, np.float32)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -160,16 +161,16 @@ class Model:
     @staticmethod
     def bucket(f: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
         x = (f ^ (f >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.asarray(salt).astype(np.uint64) * np.uint64(0x94D049BB133111EB)
-        return CLASSES + ((x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(34)).astype(np.int64) % (ROWS - CLASSES)
+        return CLASSES + (((x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(34)) * np.uint64(ROWS - CLASSES) >> np.uint64(30)).astype(np.int64)
 
     @staticmethod
     def softmax(w: np.ndarray, at: list[np.ndarray]) -> np.ndarray:
-        z = w[at[0]].copy()
+        """Sums of weights beyond 60 count as 60, so that no exponential overflows."""
+        z = np.take(w, at[0], axis=0)
         for a in at[1:]:
-            z += w[a]
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
+            z += np.take(w, a, axis=0)
+        np.exp(np.clip(z, -60, 60, out=z), out=z)
+        z *= np.reciprocal(z @ ONES)[:, None]
         return z
 
     def places(self, feats: list[np.ndarray], cls: np.ndarray | None) -> list[np.ndarray]:
@@ -200,8 +201,10 @@ class Model:
             g[n, want] -= 1
             for a in at:
                 order = np.argsort(a.astype(np.uint16), kind="stable")
-                rows, start = np.unique(a[order], return_index=True)
-                grad = np.add.reduceat(g[order], start, axis=0) / np.float32(64)
+                sorted_rows = a[order]
+                start = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
+                rows = sorted_rows[start]
+                grad = np.add.reduceat(np.take(g, order, axis=0), start, axis=0) / np.float32(64)
                 total[rows] += grad * grad
                 w[rows] -= np.float32(RATE) * grad / np.sqrt(total[rows] + np.float32(1e-4))
 
