@@ -4,6 +4,7 @@ import decimal
 import importlib
 import math
 import os
+import re
 import sys
 
 import duckdb
@@ -72,4 +73,4 @@ def test_no_other_module_imports_llm():
         if os.path.basename(folder) != "llm":
             for f in files:
                 if f.endswith(".py"):
-                    assert "llm" not in open(os.path.join(folder, f), encoding="utf-8").read(), f
+                    assert not re.search(r"^\s*(from|import)\b.*\bllm\b", open(os.path.join(folder, f), encoding="utf-8").read(), re.M), f
