@@ -161,7 +161,8 @@ def fit_language_model(docs: DataFrame, text_col: str, label_col: str, id_col: s
     prepare(docs.sparkSession)
     labelled = docs.where(quoted(label_col).isNotNull() & quoted(text_col).isNotNull()).select(quoted(label_col).cast("string").alias("label"), quoted(id_col).alias("id"))
     # Rows whose hash is so low that they are likely among the lowest per_language of their language: few enough to be ranked.
-    sizes = labelled.groupBy("label").agg(F.count("*").alias("rows"))
+    # One total a language, as many as the machines' own classes, goes to the rows: they need no shuffle by language for it.
+    sizes = F.broadcast(labelled.groupBy("label").agg(F.count("*").alias("rows")))
     share = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < (3.0 * per_language + 50) / F.col("rows") * (1 << 20)
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))
     low = labelled.join(sizes, "label").where(share).select("id", "label")
