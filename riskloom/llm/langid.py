@@ -55,10 +55,11 @@ def frequencies(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 150) -> tuple[np.ndarray, float, float]:
     """A linear machine with squared hinge loss, by accelerated gradient steps; weights, bias, and a scale for the margin."""
-    sd = x.std(axis=0) + 1e-5
-    mean = x.mean(axis=0)
-    z = (x - mean) / sd
-    n, d = z.shape
+    n, d = x.shape
+    mean = x.mean(axis=0, dtype=np.float64)
+    z = x - mean  # the one copy of the sample in double precision
+    sd = np.sqrt(np.einsum("ij,ij->j", z, z) / n) + 1e-5
+    z /= sd
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
     power = np.ones(d) / np.sqrt(d)
     for _ in range(10):
@@ -88,7 +89,6 @@ class Model:
         self.families = sorted(set(self.family.values()))
         got = np.array(labels, dtype=object)
         fam = np.array([self.family[g] for g in labels], dtype=object)
-        x = x.astype(np.float64)
         self.machines: list[tuple[str, str, str]] = []
         fitted = []
         if len(self.families) == 2:
@@ -177,7 +177,9 @@ def fit_language_model(docs: DataFrame, text_col: str, label_col: str, id_col: s
 
     got = with_arrow(rows, ["text"], [T.StructField("x", T.BinaryType())], features, ["label"]).collect()
     got = sorted((r["label"], r["x"]) for r in got)
-    return Model(np.array([np.frombuffer(x, np.float32) for _, x in got]).reshape(len(got), sum(SIZES)), [label for label, _ in got])
+    labels, x = [label for label, _ in got], np.frombuffer(b"".join([x for _, x in got]), np.float32).reshape(len(got), sum(SIZES))
+    del got
+    return Model(x, labels)
 
 
 def detect_language(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
