@@ -92,42 +92,12 @@ def visible_text(html: Column) -> Column:
     return squeeze(F.regexp_replace(F.regexp_replace(t, "<[^>]*>", " "), "&amp;", "&"))
 
 
-def indian(n: Column) -> Column:
-    """A whole number with its digits grouped 3-2-2."""
-    s = F.abs(n).cast("long").cast("string")
-    last = F.substring(s, -3, 3)
-    rest = F.when(F.length(s) > 3, F.substr(s, F.lit(1), F.length(s) - 3)).otherwise("")
-    grouped = F.reverse(F.regexp_replace(F.regexp_replace(F.reverse(rest), "(..)", "$1,"), ",$", ""))
-    return F.concat(F.when(n < 0, "-").otherwise(""), F.when(F.length(s) > 3, F.concat(grouped, F.lit(","), last)).otherwise(s))
-
-
-def rupees_compact(n: Column) -> Column:
-    """Crore from 1e7, lakh from 1e5, grouped digits below."""
-    fixed = lambda x: F.regexp_replace(F.format_string("%.2f", x), "\\.?0+$", "")
-    return F.when(n >= 1e7, F.concat(fixed(F.round(n / 1e7, 2)), F.lit(" crore"))).when(n >= 1e5, F.concat(fixed(F.round(n / 1e5, 2)), F.lit(" lakh"))).otherwise(indian(F.floor(n)))
-
-
-def compact_floor(n: Column) -> Column:
-    """The display form that floors: Cr from 1e7, Lakh from 1e5, grouped digits from 1,000."""
-    return F.when(n >= 1e7, F.concat(F.floor(n / 1e7).cast("string"), F.lit(" Cr"))).when(n >= 1e5, F.concat(F.floor(n / 1e5).cast("string"), F.lit(" Lakh"))).otherwise(indian(F.floor(n)))
-
-
 def local_references(html: Column) -> Column:
     """Distinct addresses in href and src that stay on the site."""
     found = F.regexp_extract_all(html, F.lit("(?i)(?:href|src)=\"([^\"]+)\""), F.lit(1))
     return F.array_distinct(F.filter(found, lambda a: ~a.rlike("(?i)^(?:[a-z][a-z0-9+.-]*:|//|#)")))
 
 
-def for_speech(c: Column) -> Column:
-    """Links and marks out, sentences left."""
-    t = F.regexp_replace(c, "(?:https?://|www\\.)[^ ]+", " link ")
-    return squeeze(F.regexp_replace(t, "[*_#`~|<>\\[\\]{}]+", " "))
-
-
-def sentences(c: Column) -> Column:
-    return F.filter(F.split(squeeze(c), "(?<=[.!?।]) "), lambda s: s != "")
-
-
 def introduced_name(c: Column, stop: list[str]) -> Column:
     """The name after an introduction, capitalised; null if there is none or it is a common word."""
     n = F.lower(F.regexp_extract(c, "(?i)(?<![A-Za-z])(?:my name is|i am|i'm|this is)\\s+([A-Za-z]{2,20})(?![A-Za-z])", 1))

@@ -100,3 +100,31 @@ def quiz_scores(answers: DataFrame, key: DataFrame, messages_by_score: dict[int,
     scored = answers.join(F.broadcast(key), "question").groupBy("person").agg(F.count_if(F.col("option") == F.col("correct")).alias("score"))  # a quiz's key is a few rows
     told = F.create_map(*[F.lit(x) for kv in messages_by_score.items() for x in kv])
     return scored.withColumn("message", F.coalesce(F.element_at(told, F.col("score").cast("int")), F.lit(messages_by_score[0])))
+
+
+def suggestions(questions: DataFrame, entries: DataFrame, weights: DataFrame, starters: list[str], n: int = 3) -> DataFrame:
+    """key, rank, entry: the n entries whose words shared with a question weigh most, filled up with the starters in order.
+
+    questions: key, word; entries: entry, ord, word; weights: word, idf. Words meet by an equal join, weighed before questions are ranked.
+    """
+    known = entries.join(weights, "word").select("entry", "ord", "word", "idf").distinct()
+    worth = questions.distinct().join(F.broadcast(known), "word").groupBy("key", "entry", "ord").agg(F.sum("idf").alias("worth")).where("worth > 0")  # entries: a written list
+    order = lambda worth, ord: F.struct((-worth).alias("w"), ord.alias("o"))
+    near = worth.select("key", "entry", order(F.col("worth"), F.col("ord")).alias("at"))
+    filler = F.array(*[F.struct(F.lit(e).alias("entry"), order(F.lit(-1e9 - i), F.lit(i).cast(entries.schema["ord"].dataType)).alias("at")) for i, e in enumerate(starters)])
+    more = questions.select("key").distinct().select("key", F.explode(filler).alias("x")).select("key", "x.entry", "x.at")
+    best = near.unionByName(more).groupBy("key", "entry").agg(F.min("at").alias("at"))
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("at"))).where(F.col("rank") <= n).select("key", "rank", "entry")
+
+
+def segments(df: DataFrame, key: str, text_col: str, flags: list[tuple[str, str]]) -> DataFrame:
+    """key and `segments` (text, label): the text cut at each phrase's first place, unlabelled between; null if a phrase is missing or two overlap."""
+    t = F.col(text_col)
+    hits = F.array_sort(F.array(*[F.struct(F.locate(p, t).alias("at"), (F.locate(p, t) + len(p)).alias("end"), F.lit(label).alias("label")) for p, label in flags]))
+    ok = F.forall("_h", lambda h: h["at"] > 0) & F.forall(F.transform("_h", lambda h, i: (i == 0) | (h["at"] >= F.coalesce(F.try_element_at("_h", i)["end"], F.lit(1)))), lambda x: x)
+    piece = lambda a, b, label: F.struct(F.substr(t, a, b - a).alias("text"), label.alias("label"))
+    before = lambda i: F.when(i == 0, 1).otherwise(F.try_element_at("_h", F.greatest(i, F.lit(1)))["end"])
+    cut = F.flatten(F.transform("_h", lambda h, i: F.array(piece(before(i), h["at"], F.lit(None).cast("string")), piece(h["at"], h["end"], h["label"]))))
+    last = F.element_at("_h", -1)["end"]
+    whole = F.filter(F.concat(cut, F.array(piece(last, F.length(t) + 1, F.lit(None).cast("string")))), lambda s: s["text"] != "")
+    return df.withColumn("_h", hits).select(key, F.when(ok, whole).alias("segments"))

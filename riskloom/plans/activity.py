@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formats, speech, stats
-from ..operators import activity, facts, pictures, survey, training
+from ..operators import activity, facts, pictures, selection, survey, training
 from ..operators.textmodel import split
 from ..sources.tables import table
 from ..streaming import activity as stream
@@ -297,7 +297,14 @@ def bootstrap_auc(spark, sf_dir):
     return each.agg(F.count("auc").alias("reps"), F.percentile("auc", F.lit(0.025)).alias("lo"), F.avg("auc").alias("mean"), F.percentile("auc", F.lit(0.975)).alias("hi"))
 
 
+def cross_validation(spark, sf_dir):
+    """A naive Bayes model of quality at two margins, over five folds; rows nearly equal to another fold's are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    base = selection.prepared(docs, "doc_id", F.col("text"), F.col("quality") == 1, "cv")
+    return selection.cross_validate(base, [0.8, 0.9], near=selection.leaked(base))
+
+
 QUERIES = {f.__name__: f for f in (
     ops_summary, top_rules, flagged_share, ring_buffer, ops_latency, verdict_sessions, stream_ops_windows, stream_followup_state, survey_validate, survey_summary, survey_distributions, awareness_gain,
-    derived_stats, contiguous_days, indian_format, order_dates, image_plan, finder_ratio, speech_chunks, ml_text_lr, bootstrap_auc,
+    derived_stats, contiguous_days, indian_format, order_dates, image_plan, finder_ratio, speech_chunks, ml_text_lr, bootstrap_auc, cross_validation,
 )}
