@@ -42,7 +42,7 @@ def cross_validate(base: DataFrame, margins: list[float], least: int = 5, near:
     held = base if near is None else base.join(near, "key", "left_anti")
     asked = held.select("id", "y", "t", F.col("fold").alias("f"), F.lit(True).alias("held")).unionByName(base.where("inner").withColumn("f", F.explode(others)).select("id", "y", "t", "f", F.lit(False).alias("held")))
     features = asked.select("id", "y", "f", "held", F.explode(textmodel.features(F.col("t"))).alias("feature"))
-    scored = features.join(weights, ["f", "feature"], "left").groupBy("id", "y", "f", "held").agg(F.round(F.coalesce(F.sum("w"), F.lit(0.0)), 3).alias("s"))
+    scored = features.join(weights.hint("merge"), ["f", "feature"], "left").groupBy("id", "y", "f", "held").agg(F.round(F.coalesce(F.sum("w"), F.lit(0.0)), 3).alias("s"))
     at = scored.groupBy("f", "held", "s").agg(F.count_if("y").alias("p"), F.count_if(~F.col("y")).alias("n"))  # both roles as counts of each score
 
     w = Window.partitionBy("f").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
