@@ -47,13 +47,18 @@ def level(sources: DataFrame, total: int, epochs: int = EPOCHS) -> float:
         rate = now
 
 
-def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", weights=WEIGHTS, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
-    """id_col, source_col, size, source_size, target and taken of each row of docs."""
+def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", weights=WEIGHTS, epochs: int = EPOCHS, seed: int = SEED, row_col: str | None = None) -> DataFrame:
+    """id_col, source_col, size, source_size, target and taken of each row of docs.
+
+    row_col: a unique key of docs' rows, passed on; rows of one id and size then come in order of their texts' hashes.
+    """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sized = word_count(docs.select(quoted(id_col).alias("id"), quoted(source_col).cast("string").alias("source"), quoted(text_col).cast("string").alias("text")), "text", keep=["id", "source"])
-    keyed = sized.select("id", "source", "size", F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("s"), F.xxhash64(F.lit(seed), "id").alias("key"))
-    order = ["none", "s", "key", "id", "size"]
+    more = [] if row_col is None else [F.xxhash64(quoted(text_col).cast("string")).alias("hash"), quoted(row_col).alias("row")]
+    extra = ["hash", "row"] if more else []
+    sized = word_count(docs.select(quoted(id_col).alias("id"), quoted(source_col).cast("string").alias("source"), quoted(text_col).cast("string").alias("text"), *more), "text", keep=["id", "source", *extra])
+    keyed = sized.select("id", "source", "size", *extra, F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("s"), F.xxhash64(F.lit(seed), "id").alias("key"))
+    order = ["none", "s", "key", "id", "size", *extra]
     ranged = cut(keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("pid", F.spark_partition_id()))
 
     w = Window.partitionBy("none", "s").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -73,16 +78,16 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_
     plans = weighed.withColumn("target", target).withColumn("budget", F.floor(F.col("target") + 0.5)).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(0))
     plans = plans.select("none", "s", "source_size", "target", "whole", (F.col("budget") - F.col("whole") * F.col("source_size")).alias("left"))
 
-    before = running(ranged)
+    before = running(ranged, order)
     joined = before.join(offsets, ["pid", "none", "s"]).join(plans, ["none", "s"])
     rest = F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("offset") - F.col("before")))
     return joined.select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target",
+        *([F.col("row").alias(row_col)] if row_col else []), F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target",
         (F.col("whole") * F.col("size") + rest).cast("long").alias("taken"),
     )
 
 
-def running(ranged: DataFrame) -> DataFrame:
+def running(ranged: DataFrame, order: list[str]) -> DataFrame:
     """ranged with before: the sizes before each row among its partition's rows of its source."""
 
     def run(batches):
@@ -100,12 +105,13 @@ def running(ranged: DataFrame) -> DataFrame:
     # The checkpoint's files may be read in any order, so the order within a partition is made anew; rows stay where pid puts them.
     spark = ranged.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = ranged.repartition(n, "pid").sortWithinPartitions("pid", "none", "s", "key", "id", "size")
+    rows = ranged.repartition(n, "pid").sortWithinPartitions("pid", *order)
     return rows.mapInArrow(run, T.StructType([*ranged.schema.fields, T.StructField("before", T.LongType())]))
 
 
 def mixed(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
     """docs as the mix takes them: each row as often as its taken words hold it, a half or more counting as once."""
-    took = mix(docs, text_col, source_col, id_col).where("size > 0").groupBy(quoted(id_col).alias("__id")).agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("__times")).where("__times > 0")
-    joined = docs.join(took, quoted(id_col).eqNullSafe(F.col("__id")))
+    keyed = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    took = mix(keyed, text_col, source_col, id_col, row_col="__row").where("size > 0").select("__row", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("__times")).where("__times > 0")
+    joined = keyed.join(took, "__row")
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[quoted(c) for c in docs.columns])

@@ -8,7 +8,8 @@ by chance, and only then the whole fingerprints are compared. Equal fingerprints
 documents share them. Documents linked directly or by way of others form a component.
 
 Null texts count as empty; texts without words have fingerprint zero, linked like any other. Rows with the same id and
-different texts are separate rows of the result. A component whose ids are all null has a null component_id.
+different texts are separate rows of the result. A component whose ids are all null has a null component_id. Of a component
+that is cut down to one row, that is the first by id (null last), then by the digest of its text.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -229,19 +230,24 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """id_col, simhash (signed) and component_id: the least id that links lead to."""
-    spark = docs.sparkSession
     prints = cut(simhash(docs.select(quoted(id_col), quoted(text_col).cast("string").alias("__text")), "__text", keep=[id_col]))
-    each = prints.groupBy("simhash").agg(F.min(quoted(id_col)).alias("first"))
+    classed = classes(prints, quoted(id_col))
+    least = classed.groupBy("root").agg(F.min("first").alias("component_id"))
+    found = classed.join(least, "root").select("simhash", "component_id")
+    return prints.join(found, "simhash").select(quoted(id_col), "simhash", "component_id")
+
+
+def classes(prints: DataFrame, value: Column) -> DataFrame:
+    """Each simhash with the least value of its rows (first) and the simhash that stands for its component (root)."""
+    spark = prints.sparkSession
+    each = prints.groupBy("simhash").agg(F.min(value).alias("first"))
     try:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8192")
         edges = cut_edges(links(each.select("simhash")))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     roots = components(edges)
-    classed = each.join(roots, each["simhash"] == roots["a"], "left").select("simhash", "first", F.coalesce("b", "simhash").alias("root"))
-    least = classed.groupBy("root").agg(F.min("first").alias("component_id"))
-    found = classed.join(least, "root").select("simhash", "component_id")
-    return prints.join(found, "simhash").select(quoted(id_col), "simhash", "component_id")
+    return each.join(roots, each["simhash"] == roots["a"], "left").select("simhash", "first", F.coalesce("b", "simhash").alias("root"))
 
 
 def cut_edges(edges: DataFrame) -> DataFrame:
@@ -252,8 +258,15 @@ def cut_edges(edges: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """docs with one row of each component: the one with the least id (rows that share it: one of them)."""
-    found = near_duplicates(docs, text_col, id_col)
-    first = found.where(quoted(id_col).eqNullSafe(F.col("component_id"))).select(quoted(id_col).alias("__id")).distinct()
-    kept = docs.join(first, quoted(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    """docs with one row of each component: the first by id and digest of the text (of rows equal in both, one of them).
+
+    A row is told by its id and text together, so null and repeated ids on texts of different components lose none of them.
+    """
+    digest = F.coalesce(F.unhex(F.sha2(quoted(text_col).cast("string").cast("binary"), 256)), F.lit(b""))
+    rows = docs.select(quoted(id_col).alias("__id"), digest.alias("__digest"), quoted(text_col).cast("string").alias("__text"))
+    prints = cut(simhash(rows, "__text", keep=["__id", "__digest"]))
+    classed = classes(prints, F.struct(F.col("__id").isNull().alias("none"), "__id", "__digest"))
+    first = classed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.__id").alias("__first"), F.col("first.__digest").alias("__of"))
+    told = docs.withColumn("__digest", digest)
+    kept = told.join(first, quoted(id_col).eqNullSafe(F.col("__first")) & (F.col("__digest") == F.col("__of")), "left_semi")
+    return kept.dropDuplicates([id_col, "__digest"]).drop("__digest")
