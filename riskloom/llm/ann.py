@@ -131,7 +131,8 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
     def answers(part, h, x, ids):
         q, qh, levels = matrix(part.column(6)), part.column(5).to_numpy(), part.column(9).to_numpy()
         keys, out = part.column(4).to_pylist(), []
-        sq = np.einsum("ij,ij->i", x, x)
+        sq, qq = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", q, q)
+        rounding = 4 * (x.shape[1] + 4) * np.finfo(np.float64).eps
         # The longest match in this range, then upwards to the query's level: a stretch of the sorted array.
         up = (np.int64(BITS) - levels).astype(np.int64)
         lo = np.searchsorted(h, (qh >> up) << up, "left")
@@ -140,9 +141,12 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
             if hi[k] <= lo[k]:
                 continue
             own = slice(int(lo[k]), int(hi[k]))
+            # All points that may be among the top + 1 by exact distance: rounding moves none of these by more than slack.
             near = sq[own] - 2 * (x[own] @ q[k])
-            m = min(len(near), 2 * top + 4)
-            best = np.argpartition(near, m - 1)[:m] + own.start
+            slack = rounding * (sq[own] + qq[k])
+            m = min(len(near), top + 1)
+            most = np.partition(near + slack, m - 1)[m - 1]
+            best = np.flatnonzero(~(near - slack > most)) + own.start
             d = np.sqrt(((x[best] - q[k]) ** 2).sum(axis=1))
             pairs = sorted((float(e), v) for e, p in zip(d, best) for v in ids[p])[: top + 1]
             out.append((keys[k], [{"score": e, "vec_id": v} for e, v in pairs]))
