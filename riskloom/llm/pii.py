@@ -1,11 +1,11 @@
 """Personal data by a semi-Markov conditional random field.
 
-A text's tokens near digits or `@` are cut into segments: single tokens of no kind, or spans of one of KINDS. Features of the
+A text's tokens near digits, `@`, or an ` at ` before a dotted host are cut into segments: single tokens of no kind, or spans of one of KINDS. Features of the
 whole span (how many digits, separators, check digit, shape of a host, what stands beside it) score each candidate; dynamic
 programming over spans of at most MOST tokens picks boundaries and kinds together. Weights are fitted by the gradient of the
 conditional likelihood on at most WINDOWS windows whose spans the fixed patterns mark; in copies of them a phone number has
 lost its plus sign or an address its `@`, so that the field also finds spans that the patterns miss. Fixed patterns' spans
-(base) are clamped: they are always in the result, and added spans never overlap them.
+(base) are clamped: they are segments of each segmentation, so they are always in the result and added spans stop at them.
 
 Spans are in code points, end exclusive, over whole texts. Null and empty texts have none; repeated rows give repeated results.
 Without windows to learn from, only base spans are found.
@@ -33,13 +33,16 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-#: Windows of the training sample, spans' most tokens, and the code points around a digit or `@` that are segmented.
+#: Windows of the training sample, spans' most tokens, and the code points around a trigger that are segmented.
 WINDOWS, MOST, AROUND = 240, 24, 48
 #: An added span's least log-odds against leaving its tokens without a kind.
 MARGIN = 1.0
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|[^\sA-Za-z0-9]")
 TRIGGER = np.zeros(256, bool)
 TRIGGER[[*range(48, 58), 64]] = True
+#: An address whose `@` is written out: ` at `, then characters of a host with a dot inside; also over bytes.
+WRITTEN = r" [Aa][Tt] (?=[A-Za-z0-9_%+-]*+\.[._%+-]*+[A-Za-z0-9])"
+NEAR, NEAR_BYTES = re.compile(r"[0-9@]+|" + WRITTEN), re.compile(WRITTEN.encode())
 CUES = {"phone": 0, "tel": 0, "call": 0, "mobile": 0, "fax": 0, "card": 1, "visa": 1, "credit": 1, "mail": 2, "email": 2, "contact": 2, "ip": 3, "host": 3, "server": 3, "version": 4, "v": 4, "id": 4, "no": 4}
 
 
@@ -224,15 +227,26 @@ class Field:
                 self.w += rate * grad / np.sqrt(total)
             self.fitted = True
 
-    def decode(self, text: str, lo: int, hi: int) -> list[tuple[str, int, int]]:
-        """The best segmentation's spans in text[lo:hi]; features look beyond the edges."""
+    def decode(self, text: str, lo: int, hi: int, fixed: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+        """The best segmentation's spans in text[lo:hi] besides the fixed ones; features look beyond the edges."""
+        if not self.fitted:
+            return []
         tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text, lo, hi)]
-        cands = candidates(text, tokens)
-        if not cands or not self.fitted:
+        held = [0]
+        for a, b in tokens:
+            held.append(held[-1] + any(x < b and a < y for x, y in fixed))
+        cands = {j: own for j, all_ in candidates(text, tokens).items() if (own := [c for c in all_ if held[c[0]] == held[j]])}
+        if not cands:
             return []
         n, best, back = len(tokens), [[0.0, -1e30]], [[None, None]]
         scored = self.scores(cands)
         for j in range(1, n + 1):
+            if held[j] > held[j - 1]:
+                # A fixed span's token: the state after it is that after a span.
+                p = int(best[j - 1][1] + self.side * (j < 2 or held[j - 1] == held[j - 2]) > best[j - 1][0])
+                best.append([-1e30, best[j - 1][p] + self.side * p * (j < 2 or held[j - 1] == held[j - 2])])
+                back.append([None, (j - 1, p, None)])
+                continue
             p = int(best[j - 1][1] > best[j - 1][0])
             row, ways = [best[j - 1][p], -1e30], [(j - 1, p, None), None]
             for i, k, s, _ in scored.get(j, ()):
@@ -282,7 +296,7 @@ def scan(text: str, field: Field) -> list[tuple[str, int, int, bool]]:
     taken = sorted((a, b) for _, a, b in base)
     out = [(k, a, b, True) for k, a, b in base]
     regions: list[list[int]] = []
-    for m in re.finditer(r"[0-9@]+", text):
+    for m in NEAR.finditer(text):
         a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
         if regions and a <= regions[-1][1]:
             regions[-1][1] = b
@@ -291,10 +305,8 @@ def scan(text: str, field: Field) -> list[tuple[str, int, int, bool]]:
     reach = np.maximum.accumulate([b for _, b in taken]).tolist() if taken else []
     starts = [a for a, _ in taken]
     for lo, hi in regions:
-        for k, a, b in field.decode(text, lo, hi):
-            i = bisect_right(starts, b - 1)
-            if not i or reach[i - 1] <= a:
-                out.append((k, a, b, False))
+        fixed = taken[bisect_right(reach, lo) : bisect_right(starts, hi - 1)]
+        out += [(k, a, b, False) for k, a, b in field.decode(text, lo, hi, fixed)]
     return sorted(out, key=lambda x: (KINDS.index(x[0]), x[1]))
 
 
@@ -306,7 +318,8 @@ def find_pii(docs: DataFrame, field: Field, text_col: str = "text", out_col: str
         out: list[list] = [[] for _ in range(len(texts))]
         for i, j in passes(texts):
             data, ends = utf8(texts.slice(i, j - i))
-            for k in np.unique(np.searchsorted(ends, np.flatnonzero(TRIGGER[data]), "right") - 1):
+            at = np.concatenate([np.flatnonzero(TRIGGER[data]), np.array([m.start() for m in NEAR_BYTES.finditer(data.tobytes())], dtype=np.int64)])
+            for k in np.unique(np.searchsorted(ends, at, "right") - 1):
                 out[i + int(k)] = [dict(zip(("kind", "start", "end", "base"), s)) for s in scan(texts[i + int(k)].as_py(), field)]
         return [pa.array(out, SPANS_ARROW)]
 
