@@ -6,8 +6,9 @@ neighbouring symbols different labels below 8; a phrase begins at each local max
 depends on a few symbols around it only, so equal substrings have equal names inside, at any offset. A name is a hash of the
 names that it joins.
 
-A fingerprint keeps, for each of SLOTS classes of the names at LEVELS, the least name (16 bits of it): equal texts have equal
-fingerprints, and the share of equal slots estimates the Jaccard likeness of two texts' phrases. Empty (and null) texts have
+A fingerprint keeps, for each of FIRST classes of the names at level 1 and SLOTS - FIRST classes of the names at LEVELS, the
+least name (16 bits of it): equal texts have equal fingerprints, and the share of equal slots estimates the Jaccard likeness of
+two texts' phrases. The names of level 1, the most numerous, have slots of their own and displace no others'. Empty (and null) texts have
 empty slots only; two such are alike (1), one such and any other text are not (0).
 """
 
@@ -23,9 +24,8 @@ from pyspark.sql import types as T
 
 from .common import BASE, BASE_INVERSE, mix, passes, powers, prepare, quoted, utf8, with_arrow
 
-SLOTS, LEVELS = 128, (2, 3, 4, 5, 6)
-#: Texts of fewer bytes keep the names of level 1, too: they have few longer phrases.
-SHORT = 512
+#: All slots, and those of level 1, without which short texts would have few phrases.
+SLOTS, FIRST, LEVELS = 144, 16, (2, 3, 4, 5, 6)
 EMPTY = 0xFFFF
 ONE = np.uint64(1)
 
@@ -76,12 +76,10 @@ def sketch(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         names, at = data.astype(np.uint64), np.append(ends[:-1][full], ends[-1])
         for k in range(1, max(LEVELS) + 1):
             names, at = level(names, at)
-            own = np.diff(ends)[full] < SHORT if k == 1 else np.full(len(full), k in LEVELS)
-            if own.any():
-                each = np.diff(at)
-                got = names[np.repeat(own, each)]
-                slot = np.repeat(full[own], each[own]) * SLOTS + ((got >> np.uint64(48)) % np.uint64(SLOTS)).astype(np.int64)
-                np.minimum.at(out, slot, mix(got * np.uint64(0x2545F4914F6CDD1D)))
+            if k == 1 or k in LEVELS:
+                low, many = (0, FIRST) if k == 1 else (FIRST, SLOTS - FIRST)
+                slot = np.repeat(full, np.diff(at)) * SLOTS + low + ((names >> np.uint64(48)) % np.uint64(many)).astype(np.int64)
+                np.minimum.at(out, slot, mix(names * np.uint64(0x2545F4914F6CDD1D)))
     kept = (out >> np.uint64(20)).astype(np.uint16)
     kept[kept == EMPTY] = EMPTY - 1
     kept[out == np.iinfo(np.uint64).max] = EMPTY
