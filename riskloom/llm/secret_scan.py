@@ -1,11 +1,13 @@
 """Secret scans: fixed patterns, and a token-efficiency test.
 
-Random strings are spelled in more tokens than words are. Each run of letters, digits and `+/_=-` that holds both letters and
-digits and has CANDIDATE or more characters is encoded under a tiktoken vocabulary; few characters a token (RATIO or fewer)
-expose it, unless it is a digest of a known length, a UUID, or an identifier whose parts are plain words or plain numbers.
-
-Spans are in code points, end exclusive, over whole texts. Null and empty texts have no spans; repeated rows give repeated
-results. A span found by the test that touches a pattern's span is not given again.
+Random strings are spelled in more tokens than words are. Each run of letters, digits and `+/_=-`, less what the fixed patterns
+have found in it, of which a stretch of CANDIDATE or more characters is left, is encoded under a tiktoken vocabulary; few
+characters a token (RATIO or fewer) expose it, unless it is a digest of a known length, a UUID, a number, a rule of one
+repeated sign, or an identifier whose parts are numbers or words that the vocabulary spells efficiently.
+
+Spans are in code points, end exclusive, over whole texts. Null and empty texts have no spans, an empty table gives an empty
+one; repeated rows give repeated results; spans that start together come in the order of KINDS. A column of the input named
+like the new one (in any case) is replaced by it. mask_secrets uses `__text`, `__spans` and `__masked` for itself.
 """
 
 from __future__ import annotations
@@ -42,8 +44,6 @@ IN_RUN = np.zeros(256, bool)
 IN_RUN[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_=-"]] = True
 IN_HEX = np.zeros(256, bool)
 IN_HEX[[*range(48, 58), *range(97, 103)]] = True
-DIGIT = np.zeros(256, bool)
-DIGIT[48:58] = True
 
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("base", T.BooleanType())]))
 SPANS_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
@@ -66,44 +66,48 @@ def encoding(path: str):
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def long_runs(mask: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of runs of at least `least` bytes; a run may cross two texts, which only costs a look at both."""
-    m = np.zeros(len(mask) + 2, np.int8)
-    m[1:-1] = mask
-    d = np.diff(m)
-    a, b = np.flatnonzero(d == 1), np.flatnonzero(d == -1)
-    own = b - a >= least
-    return a[own], b[own]
+def long_runs(mask: np.ndarray, ends: np.ndarray, least: int) -> np.ndarray:
+    """Starts of runs of at least `least` bytes; a run ends where its text does."""
+    first, last = mask.copy(), mask.copy()
+    first[1:] &= ~mask[:-1]
+    last[:-1] &= ~mask[1:]
+    inner = ends[1:-1]
+    inner = inner[(inner > 0) & (inner < len(mask))]
+    first[inner] |= mask[inner]
+    last[inner - 1] |= mask[inner - 1]
+    a, b = np.flatnonzero(first), np.flatnonzero(last)
+    return a[b - a + 1 >= least]
 
 
 def suspects(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Numbers of texts that can hold a span; all others hold none."""
     found = []
-    low = data.tobytes().lower()
-    for k in KEYWORDS:
-        at = low.find(k)
-        while at >= 0:
-            found.append(at)
-            at = low.find(k, at + len(k))
     raw = data.tobytes()
-    at = raw.find(b"AKIA")
-    while at >= 0:
-        found.append(at)
-        at = raw.find(b"AKIA", at + 4)
-    a, b = long_runs(IN_HEX[data], ends, 24)
-    found += [*a, *b - 1]
-    a, b = long_runs(IN_RUN[data], ends, CANDIDATE)
-    digits = np.concatenate([[0], np.cumsum(DIGIT[data])]) if len(a) else np.zeros(1)
-    own = digits[b] > digits[a] if len(a) else np.zeros(0, bool)
-    found += [*a[own], *b[own] - 1]
-    n = np.unique(np.searchsorted(ends, np.array(found, dtype=np.int64), "right") - 1)
-    return np.unique(np.concatenate([n, n[n + 2 < len(ends)] + 1])) if len(n) else n
-
-
-def is_identifier(s: str) -> bool:
-    """Words of three letters or more, or numbers, between separators."""
+    for where, words in ((raw.lower(), KEYWORDS), (raw, [b"AKIA"])):
+        for k in words:
+            at = where.find(k)
+            while at >= 0:
+                found.append(at)
+                at = where.find(k, at + 1)
+    at = np.concatenate([np.array(found, dtype=np.int64), long_runs(IN_HEX[data], ends, 24), long_runs(IN_RUN[data], ends, CANDIDATE)])
+    return np.unique(np.searchsorted(ends, at, "right") - 1)
+
+
+def ratio(s: str, path: str) -> float:
+    return len(s) / len(encoding(path).encode_ordinary(s))
+
+
+def is_identifier(s: str, path: str) -> bool:
+    """A number; or several parts between separators, each a number or made of plain words of three letters or more."""
     parts = [p for p in re.split(r"[+/_=-]+", s) if p]
-    return len(parts) > 1 and all(p.isdigit() or all(len(w) >= 3 or w.isdigit() for w in PART.findall(p)) for p in parts)
+    plain = lambda w: w.isdigit() or len(w) >= 3 and ratio(w, path) > RATIO
+    return len(parts) == 1 and parts[0].isdigit() or len(parts) > 1 and all(p.isdigit() or all(map(plain, PART.findall(p))) for p in parts)
+
+
+def is_random(s: str, path: str) -> bool:
+    if len(set(s)) < 3 or len(s) in DIGESTS and DIGEST.match(s) or UUID.match(s):
+        return False
+    return ratio(s, path) <= RATIO and not is_identifier(s, path)
 
 
 def scan(text: str, path: str) -> list[tuple[str, int, int, bool]]:
@@ -111,14 +115,19 @@ def scan(text: str, path: str) -> list[tuple[str, int, int, bool]]:
     out += [("access", m.start(), m.end(), True) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     out += [("hex", m.start(), m.end(), True) for m in HEX_LONG.finditer(text)]  # a run is a match of HEX; shorter ones fail
     base = sorted((a, b) for _, a, b, _ in out)
+    k = 0
     for m in RUN.finditer(text):
-        s, (a, b) = m[0], m.span()
-        if any(x < b and a < y for x, y in base) or not any(c.isdigit() for c in s) or not any(c.isalpha() for c in s):
-            continue
-        if len(s) in DIGESTS and DIGEST.match(s) or UUID.match(s) or is_identifier(s):
-            continue
-        if len(s) <= RATIO * len(encoding(path).encode_ordinary(s)):
-            out.append(("random", a, b, False))
+        at, end = m.span()
+        while k < len(base) and base[k][1] <= at:
+            k += 1
+        pieces, i = [], k
+        while i < len(base) and base[i][0] < end:
+            pieces.append((at, base[i][0]))
+            at = max(at, base[i][1])
+            i += 1
+        for a, b in [*pieces, (at, end)]:
+            if b - a >= CANDIDATE and is_random(text[a:b], path):
+                out.append(("random", a, b, False))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
