@@ -1,16 +1,23 @@
 """Approximate nearest neighbours by a hash-prefix forest.
 
-Each tree gives a vector a string of BITS bits, signs of random projections, and is a sorted array of them. A query descends
-to the longest prefix that it shares with the array, and all trees together ascend, one bit at a time, until the vectors that
-share a prefix of that length with the query are enough; these are compared by exact distance.
+Each of TREES trees gives a vector a string of SYMBOLS symbols and is the sorted array of these strings. A symbol says which of
+2 * AXES half-axes of a randomly rotated space the vector is nearest to, AXES rotated coordinates at a time, so that vectors
+in like directions share long prefixes. A query descends in each tree to the longest prefix that it shares with the array;
+then all trees ascend together, a symbol at a time and tree by tree, until the vectors below are as many as the goal, counted
+once a tree. Those are its candidates, which are compared by exact distance.
 
-The sorted arrays are dealt out by prefix: a range of a tree holds about RANGE vectors. Counts by prefix say how far each query
-has to ascend; then it goes to the ranges that its prefix covers, in which the longest match is found by binary search.
+The goal is top + 1 for each tree and GOAL times the number of vectors to the power of 2/3. Neighbours of vectors without structure are hardly nearer
+than others, so that a goal that does not grow at all cannot keep recall; this one is an ever smaller part of the table.
 
-Equal vectors are one before that: the distinct vectors, each with its least TOP + 1 ids, are what is hashed and what is
-searched, so a very common vector is one candidate and one query. Vectors that are null, zero, or hold null or non-finite
-components take no part. Ties go to the smaller id. Repeated ids are rows of their own. With fewer than two vectors, or no
-queries, the result is empty.
+The arrays are dealt out by the first symbols in ranges of about RANGE strings. Only strings and row numbers go there, no
+vectors. Each range counts, by binary search, how many strings share each prefix with a query; the sums say where each tree's
+ascent ends; then the ranges list the candidates' row numbers by block of vectors, and each block (of BLOCK vectors or fewer)
+compares its candidates of a query once, whichever trees they come from.
+
+Equal vectors are one before that: the distinct vectors, each with its least top + 1 ids, are hashed and searched, so a very
+common vector is one candidate and one query. Vectors that are null, zero, or hold null or non-finite components take no part;
+vectors of different lengths never meet. Ties go to the smaller id. Repeated ids are rows of their own. With fewer than two
+vectors, or no queries, the result is empty. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -19,15 +26,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import cut, prepare, quoted, with_arrow
+from .common import cut, join_hot, prepare, quoted
 
-TOP, TREES, BITS, RANGE, LANE, SEED = 10, 10, 32, 2048, 8192, 3
-#: Candidates, over all trees, at which a query stops ascending, as a share of all vectors: nearest neighbours of vectors
-#: without structure share few bits with the query, so that recall of 0.9 or more takes this many.
-SHARE = 1.6
-LEAST = 400
+TOP, TREES, SYMBOLS, AXES, SEED = 10, 32, 16, 4, 3
+#: Bits of a symbol (its half-axis among 2 * AXES).
+WIDTH = 3
+GOAL = 18.0
+#: Strings of a range, and of a lane that a fuller range is shared out to; vectors of a block, and queries of a block's lane.
+RANGE, LANE, BLOCK, ASKERS = 8192, 32_768, 8192, 512
+RESULT = "query_id long, rank int, vec_id long, score double"
 
 
 def usable(vec: Column) -> Column:
@@ -35,130 +43,235 @@ def usable(vec: Column) -> Column:
     return vec.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
 
 
-def planes(dim: int, tree: int, bits: int = BITS) -> np.ndarray:
-    """A tree's projections; a block of orthogonal ones, then more such blocks."""
+def planes(dim: int, tree: int, n: int = SYMBOLS * AXES) -> np.ndarray:
+    """A tree's axes; a block of orthogonal ones, then more such blocks."""
     rng = np.random.default_rng([SEED, tree, dim])
-    out = []
-    while sum(len(x) for x in out) < bits:
-        q, _ = np.linalg.qr(rng.normal(size=(dim, dim)))
-        out.append(q.T)
-    return np.concatenate(out)[:bits]
+    out = [np.linalg.qr(rng.normal(size=(dim, dim)))[0].T for _ in range(-(-n // dim))]
+    return np.concatenate(out)[:n]
+
 
+def strings(x: np.ndarray, tree: int) -> np.ndarray:
+    """The tree's string of each row of x as an integer; the first symbol has the highest bits."""
+    p = (x @ planes(x.shape[1], tree).T).reshape(len(x), SYMBOLS, AXES)
+    symbol = np.concatenate([p, -p], axis=2).argmax(axis=2)
+    return symbol @ (np.int64(1) << (WIDTH * np.arange(SYMBOLS - 1, -1, -1, dtype=np.int64)))
 
-def hashes(x: np.ndarray, tree: int) -> np.ndarray:
-    bits = x @ planes(x.shape[1], tree).T > 0
-    return bits @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
 
+def shared(sorted_strings: np.ndarray, asked: np.ndarray, level: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretch of the sorted array whose first `level` symbols are those of each asked string."""
+    shift = WIDTH * (SYMBOLS - np.asarray(level, dtype=np.int64))
+    first = (asked >> shift) << shift
+    return np.searchsorted(sorted_strings, first, "left"), np.searchsorted(sorted_strings, first + (np.int64(1) << shift), "left")
 
-def matrix(column: pa.Array, kind=np.float64) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(kind)
+
+def matrix(column: pa.Array) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", top: int = TOP) -> DataFrame:
-    """query_id, rank, vec_id and score (Euclidean distance) of the nearest found for each row that is_query holds for."""
-    spark = vectors.sparkSession
-    prepare(spark)
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = vectors.where(usable(quoted(vec_col)) & quoted(id_col).isNotNull()).select(quoted(id_col).cast("long").alias("id"), quoted(vec_col).cast("array<double>").alias("vec"), is_query.alias("asks"))
-    rows = rows.withColumn("key", F.sha2(F.array_join(F.transform("vec", lambda v: F.hex(F.concat_ws(":", (v + 0.0).cast("string")))), ","), 256))
-    rows = cut(rows)
-    # The least top + 1 ids of each vector: Spark limits each partition's rows before it shuffles them.
-    w = Window.partitionBy("key").orderBy("id")
+def stretches(batch: pa.RecordBatch, n: int):
+    """Ranges of rows of a batch that are equal in the first n columns."""
+    if not len(batch):
+        return
+    keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(n)], axis=1)
+    at = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+    for i, j in zip(at[:-1], at[1:]):
+        yield tuple(keys[i].tolist()), i, j
+
+
+def distinct_vectors(rows: DataFrame, top: int) -> DataFrame:
+    """key, vec, dim, ids (the least top + 1) and asking (how many rows ask) of each distinct vector."""
+    w = Window.partitionBy("key").orderBy("id")  # Spark limits each partition's ranks before it shuffles them
     least = rows.select("key", "id").withColumn("r", F.row_number().over(w)).where(F.col("r") <= top + 1)
     ids = least.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    vecs = rows.groupBy("key").agg(F.first("vec").alias("vec"), F.max("asks").alias("asks"), F.size(F.first("vec")).alias("dim"))
-    points = cut(vecs.join(ids, "key"))
-    total = points.count()
-    if total == 0:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    prefix = max(0, min(BITS - 1, int(np.ceil(np.log2(max(1, total / RANGE))))))
-    shift = BITS - prefix
+    vecs = rows.groupBy("key").agg(F.first("vec").alias("vec"), F.count_if("asks").alias("asking"), F.size(F.first("vec")).alias("dim"))
+    return vecs.join(ids, "key")
 
-    def hashed(batches):
+
+def hashed(points: DataFrame) -> DataFrame:
+    """points with `strings`: one integer a tree."""
+
+    def run(batches):
         for b in batches:
-            dims = np.array(b.column(2).to_pylist())
+            dims = np.array(b.column("dim").to_pylist())
             for d in np.unique(dims):
                 own = b.filter(pa.array(dims == d))
-                x = matrix(own.column(1))
-                for t in range(TREES):
-                    h = hashes(x, t)
-                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), pa.array(np.full(len(h), t, np.int32)), pa.array(h), own.column(3), own.column(4)], ["key", "vec", "dim", "tree", "hash", "ids", "asks"])
-
-    forest = points.select("key", "vec", "dim", "ids", "asks").mapInArrow(hashed, "key string, vec array<double>, dim int, tree int, hash bigint, ids array<bigint>, asks boolean")
-
-    # How far each query ascends: the longest prefix whose counts, summed over the trees, reach the goal.
-    place = lambda x: F.shiftrightunsigned(F.col("hash"), BITS - x).cast("long")
-    queries = forest.where("asks").select("key", "dim", "tree", "hash", "vec")
-    ranges = forest.groupBy("dim", "tree", place(prefix).alias("range")).agg(F.count("*").alias("n"))
-    levels = ranges.select("dim", "tree", "n", F.explode(F.sequence(F.lit(0), F.lit(prefix))).alias("level"), "range")
-    levels = levels.withColumn("at", F.expr(f"shiftrightunsigned(range, {prefix} - level)")).groupBy("dim", "tree", "level", "at").agg(F.sum("n").alias("n"))
-    asked = queries.select("key", "dim", "tree", "hash", F.explode(F.sequence(F.lit(0), F.lit(prefix))).alias("level")).withColumn("at", F.expr(f"shiftrightunsigned(hash, {BITS} - level)"))
-    counts = asked.join(levels, ["dim", "tree", "level", "at"]).groupBy("key", "level").agg(F.sum("n").alias("n"))
-    goal = max(LEAST, SHARE * total)
-    reach = counts.groupBy("key").agg(F.coalesce(F.max(F.when(F.col("n") >= goal, F.col("level"))), F.lit(0)).alias("level"))
-
-    # Each query goes to the ranges that its prefix covers.
-    low = F.expr(f"shiftleft(shiftrightunsigned(hash, {BITS} - level), {prefix} - level)")
-    sent = queries.join(reach, "key").withColumn("low", low).withColumn("range", F.explode(F.sequence(F.col("low"), F.expr(f"low + shiftleft(1L, {prefix} - level) - 1"))))
-    # A range of more than LANE vectors is shared out over lanes, and a query goes to all lanes of its ranges.
-    lanes = ranges.select("dim", "tree", "range", F.ceil(F.col("n") / LANE).cast("int").alias("lanes"))
-    held = forest.withColumn("range", place(prefix)).join(lanes, ["dim", "tree", "range"]).select("dim", "tree", "range", F.pmod(F.xxhash64("key"), F.col("lanes")).cast("int").alias("lane"), "key", "hash", "vec", "ids", F.lit(False).alias("asks"), F.lit(0).alias("level"))
-    asks = sent.join(lanes, ["dim", "tree", "range"]).select("dim", "tree", "range", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), "key", "hash", "vec", F.lit(None).cast("array<bigint>").alias("ids"), F.lit(True).alias("asks"), "level")
-    meet = held.unionByName(asks).repartition(n_parts, "dim", "tree", "range", "lane").sortWithinPartitions("dim", "tree", "range", "lane", "asks", "hash")
-
-    def search(batches):
-        """In order of range: its vectors, sorted by hash, then its queries."""
-        at, store, found = None, [], None
+                x = matrix(own.column("vec"))
+                made = np.stack([strings(x, t) for t in range(TREES)], axis=1)
+                column = pa.ListArray.from_arrays(pa.array(np.arange(0, made.size + 1, TREES, dtype=np.int32)), pa.array(made.ravel()))
+                yield pa.RecordBatch.from_arrays([*own.columns, column], [*own.schema.names, "strings"])
+
+    return points.mapInArrow(run, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in points.schema.fields)}, strings array<bigint>")
+
+
+PLACE = ["dim", "tree", "range", "lane"]
+
+
+def met(held: DataFrame, asks: DataFrame) -> DataFrame:
+    """Each range's strings in order, then the queries sent to it (level: where the tree's ascent ends)."""
+    n = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = [*PLACE, "asks", "string", "pid", "level"]
+    return held.select(columns).unionByName(asks.select(columns)).repartition(n, *PLACE).sortWithinPartitions(*PLACE, "asks", "string")
+
+
+def answered(both: DataFrame, answer, schema: str) -> DataFrame:
+    """answer(sorted strings, their pids, query strings, query pids, levels, place) over each range's queries, batch by batch."""
+
+    def run(batches):
+        at, kept, held = None, [], None
         for b in batches:
-            where = list(zip(*(b.column(k).to_pylist() for k in range(4))))
-            asks = b.column(8).to_pylist()
-            i = 0
-            while i < len(where):
-                j = i
-                while j < len(where) and where[j] == where[i] and asks[j] == asks[i]:
-                    j += 1
-                if where[i] != at:
-                    at, store, found = where[i], [], None
-                part = b.slice(i, j - i)
-                if not asks[i]:
-                    store.append((part.column(5).to_numpy(), matrix(part.column(6)), part.column(7).to_pylist()))
-                elif store:
-                    found = found or (np.concatenate([s[0] for s in store]), np.concatenate([s[1] for s in store]), [x for s in store for x in s[2]])
-                    yield from answers(part, *found)
-                i = j
-
-    def answers(part, h, x, ids):
-        q, qh, levels = matrix(part.column(6)), part.column(5).to_numpy(), part.column(9).to_numpy()
-        keys, out = part.column(4).to_pylist(), []
-        sq, qq = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", q, q)
-        rounding = 4 * (x.shape[1] + 4) * np.finfo(np.float64).eps
-        # The longest match in this range, then upwards to the query's level: a stretch of the sorted array.
-        up = (np.int64(BITS) - levels).astype(np.int64)
-        lo = np.searchsorted(h, (qh >> up) << up, "left")
-        hi = np.searchsorted(h, ((qh >> up) + 1) << up, "left")
-        for k in range(len(keys)):
-            if hi[k] <= lo[k]:
-                continue
-            own = slice(int(lo[k]), int(hi[k]))
-            # All points that may be among the top + 1 by exact distance: rounding moves none of these by more than slack.
-            near = sq[own] - 2 * (x[own] @ q[k])
-            slack = rounding * (sq[own] + qq[k])
-            m = min(len(near), top + 1)
-            most = np.partition(near + slack, m - 1)[m - 1]
-            best = np.flatnonzero(~(near - slack > most)) + own.start
-            d = np.sqrt(((x[best] - q[k]) ** 2).sum(axis=1))
-            pairs = sorted((float(e), v) for e, p in zip(d, best) for v in ids[p])[: top + 1]
-            out.append((keys[k], [{"score": e, "vec_id": v} for e, v in pairs]))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out]), pa.array([b for _, b in out], FOUND_ARROW)], ["key", "found"])
-
-    near = meet.select("dim", "tree", "range", "lane", "key", "hash", "vec", "ids", "asks", "level").mapInArrow(search, "key string, found array<struct<score: double, vec_id: bigint>>")
-    # top + 1 from each tree's ranges: the union's top + 1 is among them.
-    merged = near.groupBy("key").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, top + 1).alias("found"))
+            for (*place, asks), i, j in stretches(b, 5):
+                if place != at:
+                    at, kept, held = place, [], None
+                part = [b.column(k).slice(i, j - i).to_numpy(zero_copy_only=False) for k in (5, 6, 7)]
+                if not asks:
+                    kept.append(part)
+                elif kept:
+                    held = held or tuple(np.concatenate([k[x] for k in kept]) for x in (0, 1))
+                    yield from answer(*held, *part, place)
+
+    return both.mapInArrow(run, schema)
+
+
+def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", top: int = TOP) -> DataFrame:
+    """query_id, rank, vec_id and score (Euclidean distance) of the nearest found for each row that is_query holds for."""
+    spark = vectors.sparkSession
+    prepare(spark)
+    vec = quoted(vec_col)
+    kind = vectors.select(vec).schema[0].dataType.simpleString()
+    rows = vectors.where(usable(vec) & quoted(id_col).isNotNull()).select(quoted(id_col).cast("long").alias("id"), (vec if kind == "array<float>" else vec.cast("array<double>")).alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    text = F.array_join(F.transform("vec", lambda v: F.hex(F.concat_ws(":", (v.cast("double") + 0.0).cast("string")))), ",")
+    rows = cut(rows.withColumn("key", F.sha2(text, 256)))
+    total = rows.select("key").distinct().count()
+    if total == 0:
+        return spark.createDataFrame([], RESULT)
+    # Rows are numbered in the order of the first tree, so that a block's vectors are near each other.
+    blocks = -(-total // BLOCK)
+    laid = hashed(distinct_vectors(rows, top)).repartitionByRange(blocks, "dim", F.col("strings")[0], "key")
+    points = cut(laid.withColumn("pid", F.monotonically_increasing_id()))
+    answers = compared(points, candidates(points, total, top), top)
+    merged = answers.groupBy("pid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, top + 1).alias("found"))
+    by_key = points.where("asking > 0").select("pid", "key", "asking").join(merged, "pid").drop("pid")
     asking = rows.where("asks").select(F.col("id").alias("query_id"), "key")
-    listed = asking.join(merged, "key").select("query_id", F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, top).alias("found"))
+    own = F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, top)
+    listed = join_hot(asking, cut(by_key), "key", "asking").select("query_id", own.alias("found"))
     return listed.select("query_id", F.posexplode("found").alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
+def candidates(points: DataFrame, total: int, top: int = TOP, goal: float = GOAL) -> DataFrame:
+    """pid (of a query), block, and places within the block: one row for each tree, range and block."""
+    enough = TREES * (top + 1) + goal * total ** (2 / 3)
+    deep = 0
+    while deep < SYMBOLS and total > RANGE << (WIDTH * deep):
+        deep += 1
+    forest = points.select("pid", "dim", F.col("asking") > 0, F.posexplode("strings").alias("tree", "string")).toDF("pid", "dim", "asks", "tree", "string")
+    head = lambda level: F.expr(f"shiftright(string, {WIDTH} * ({SYMBOLS} - ({level})))")
+    forest = forest.withColumn("range", head(deep))
+    ranges = cut(forest.groupBy("dim", "tree", "range").agg(F.count("*").alias("n")).withColumn("lanes", F.ceil(F.col("n") / LANE).cast("int")))
+    lanes = ranges.select("dim", "tree", "range", "lanes")
+    held = forest.join(lanes, ["dim", "tree", "range"]).withColumn("lane", F.pmod(F.xxhash64("pid"), F.col("lanes")).cast("int")).withColumn("asks", F.lit(False)).withColumn("level", F.lit(0))
+    queries = forest.where("asks").drop("range")
+
+    def sent(asks: DataFrame, level: Column) -> DataFrame:
+        """Each query at all lanes of the ranges that its first symbols, `level` or at most `deep`, lead to."""
+        up = F.greatest(F.lit(0), F.lit(deep) - level) * WIDTH
+        low = F.call_function("shiftleft", F.call_function("shiftright", head(deep), up), up)
+        d = asks.withColumn("low", low).withColumn("range", F.explode(F.sequence(F.col("low"), F.col("low") + F.call_function("shiftleft", F.lit(1).cast("long"), up) - 1)))
+        return d.join(lanes, ["dim", "tree", "range"]).withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)))
+
+    def count(held_strings, _, asked, pids, levels, place):
+        got = [shared(held_strings, asked, x) for x in range(deep, SYMBOLS + 1)]
+        n = np.stack([hi - lo for lo, hi in got], axis=1)
+        for level in range(n.shape[1]):
+            own = np.flatnonzero(n[:, level])
+            if len(own):
+                yield pa.RecordBatch.from_arrays([pa.array(pids[own]), pa.array(np.full(len(own), place[1], np.int32)), pa.array(np.full(len(own), deep + level, np.int32)), pa.array(n[own, level])], ["pid", "tree", "level", "n"])
+
+    at_own = sent(queries.withColumn("level", F.lit(deep)), F.lit(deep))
+    below = answered(met(held, at_own), count, "pid bigint, tree int, level int, n bigint").groupBy("pid", "tree", "level").agg(F.sum("n").alias("n"))
+    if deep:  # shorter prefixes than the ranges': sums of the ranges' counts
+        up = lambda c: F.expr(f"shiftright({c}, {WIDTH} * ({deep} - level))")
+        level = F.explode(F.sequence(F.lit(0), F.lit(deep - 1))).alias("level")
+        sums = ranges.select("dim", "tree", "range", "n", level).withColumn("at", up("range")).groupBy("dim", "tree", "level", "at").agg(F.sum("n").alias("n"))
+        asked = queries.select("pid", "dim", "tree", head(deep).alias("range"), level).withColumn("at", up("range"))
+        below = below.unionByName(asked.join(sums, ["dim", "tree", "level", "at"]).select("pid", "tree", "level", "n"))
+    # Upwards from the longest match: trees in turn at each level, each adding what the longer prefix had not. A query has
+    # at most TREES * (SYMBOLS + 1) such counts.
+    longer = Window.partitionBy("pid", "tree").orderBy(F.desc("level"))
+    path = Window.partitionBy("pid").orderBy(F.desc("level"), "tree")
+    steps = below.withColumn("more", F.col("n") - F.coalesce(F.lag("n").over(longer), F.lit(0))).withColumn("sum", F.sum("more").over(path))
+    reached = steps.where(F.col("sum") - F.col("more") < enough).groupBy("pid", "tree").agg(F.min("level").alias("level"))
+    ascents = cut(queries.join(reached, ["pid", "tree"]))
+
+    def fetch(held_strings, held_pids, asked, pids, levels, place):
+        for q, lo, hi in zip(pids.tolist(), *map(np.ndarray.tolist, shared(held_strings, asked, levels))):
+            if lo < hi:
+                own = np.sort(held_pids[lo:hi])
+                block = own >> 33
+                at = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(own)]
+                places = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array((own & ((1 << 33) - 1)).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at) - 1, q)), pa.array(block[at[:-1]]), places], ["pid", "block", "places"])
+
+    return answered(met(held, sent(ascents, F.col("level"))), fetch, "pid bigint, block bigint, places array<int>")
+
+
+def compared(points: DataFrame, found: DataFrame, top: int) -> DataFrame:
+    """pid and found: the nearest (score, vec_id) of each query's candidates in a block."""
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = points.withColumn("block", F.shiftright("pid", 33))
+    lists = cut(found.groupBy("block", "pid").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")))  # at most a block's vectors
+    lanes = lists.groupBy("block").agg(F.ceil(F.count("*") / ASKERS).cast("int").alias("lanes"))
+    asks = lists.join(lanes, "block").join(points.select("pid", "vec"), "pid").select("block", F.pmod(F.xxhash64("pid"), F.col("lanes")).cast("int").alias("lane"), F.lit(1).alias("asks"), "pid", "vec", "places", F.lit(None).cast("array<bigint>").alias("ids"))
+    stored = held.join(lanes, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), F.lit(0).alias("asks"), "pid", "vec", F.lit(None).cast("array<int>").alias("places"), "ids")
+    meet = stored.unionByName(asks).repartition(n, "block", "lane").sortWithinPartitions("block", "lane", "asks", "pid")
+
+    def run(batches):
+        at, kept, held, ids = None, [], None, []
+        for b in batches:
+            for where, i, j in stretches(b, 3):
+                if where[:2] != at:
+                    at, kept, held, ids = where[:2], [], None, []
+                part = b.slice(i, j - i)
+                if not where[2]:
+                    kept += by_length(part.column(4))
+                    ids += part.column(6).to_pylist()
+                    continue
+                held = held or stacked(kept)
+                found = [nearest_of(held[0][len(v)], held[1][own], ids, own, v) for v, own in zip(vectors_of(part.column(4)), vectors_of(part.column(5)))]
+                yield pa.RecordBatch.from_arrays([part.column(3), pa.array(found, FOUND_ARROW)], ["pid", "found"])
+
+    def nearest_of(x: np.ndarray, rows: np.ndarray, ids: list, own: np.ndarray, vec: np.ndarray) -> list[dict]:
+        d = np.sqrt(((x[rows] - vec) ** 2).sum(axis=1))
+        m = min(len(d), top + 1)
+        best = np.flatnonzero(d <= np.partition(d, m - 1)[m - 1])
+        pairs = sorted((float(d[k]), v) for k in best.tolist() for v in ids[own[k]])
+        return [{"score": e, "vec_id": v} for e, v in pairs[: top + 1]]
+
+    return meet.mapInArrow(run, "pid bigint, found array<struct<score: double, vec_id: bigint>>")
+
+
+def vectors_of(column: pa.Array) -> list[np.ndarray]:
+    flat, kind = column.flatten().to_numpy(zero_copy_only=False), np.int64 if pa.types.is_int32(column.type.value_type) else np.float64
+    at = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).tolist()
+    flat = flat.astype(kind)
+    return [flat[a:b] for a, b in zip(at[:-1], at[1:])]
+
+
+def by_length(column: pa.Array) -> list[np.ndarray]:
+    """Rows of a column of vectors as matrices: one for each stretch of equal length."""
+    n = column.value_lengths().to_numpy(zero_copy_only=False)
+    at = [0, *(np.flatnonzero(n[1:] != n[:-1]) + 1).tolist(), len(n)]
+    return [matrix(column.slice(i, j - i)) for i, j in zip(at[:-1], at[1:])]
+
+
+def stacked(parts: list[np.ndarray]) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """A matrix for each length, and each vector's row in the matrix of its length."""
+    rows, count = [], {}
+    for x in parts:
+        dim = x.shape[1]
+        rows.append(np.arange(len(x)) + count.get(dim, 0))
+        count[dim] = count.get(dim, 0) + len(x)
+    return {dim: np.concatenate([x for x in parts if x.shape[1] == dim]) for dim in count}, np.concatenate(rows)
+
+
 FOUND_ARROW = pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64())]))

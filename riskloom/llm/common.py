@@ -159,3 +159,18 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.n
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, n), out=total[1:])
     h = (total[stops] - total[starts]) * powers(BASE_INVERSE, n + 1)[starts]
     return mix(h)
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row a key and in `weight` how many rows of left have it; weight is dropped.
+
+    Keys of more rows than an even share of a partition are at most as many as there are partitions, so these rows of right
+    are broadcast and their rows of left stay where they are. Only the other keys are shuffled. how: inner or left.
+    """
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    most = max(1, total // parts)
+    hot, cold = right.where(F.col(weight) > most), right.where(F.col(weight) <= most).drop(weight)
+    keys = F.broadcast(hot.select(key))
+    split = F.broadcast(hot.drop(weight))
+    return left.join(split, key).unionByName(left.join(keys, key, "left_anti").join(cold, key, how))
