@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BATCH_ROWS, cut, prepare, quoted, with_arrow
+from .common import BATCH_ROWS, cut, join_hot, prepare, quoted, with_arrow
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Widths of the ring's segments, and the place of each one's lowest bit.
@@ -161,8 +161,9 @@ def links(prints: DataFrame, col: str = "simhash") -> DataFrame:
 
     rows = prints.select(col).mapInArrow(keyed, "key bigint, f bigint, role tinyint")
     # A key of many fingerprints: each one goes to one of its blocks, and each pair of blocks is a task's group.
-    hot = rows.where("role = 0").groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(hot, "key", "left").withColumn("own", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("f"), F.col("blocks")).cast("int")).otherwise(0))
+    plain = F.count_if(F.col("role") == 0)
+    hot = cut_edges(rows.groupBy("key").agg(F.ceil(plain / BLOCK).cast("int").alias("blocks"), F.count("*").alias("rows")).where("blocks > 1"))
+    dealt = join_hot(rows, hot, "key", "rows", "left").withColumn("own", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("f"), F.col("blocks")).cast("int")).otherwise(0))
     others = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     # Group (u, v): plain rows of block u, compared with plain rows of v (u <= v) and changed rows of v.
     grouped = dealt.select("key", "f", "role", "own", F.explode(others).alias("other"))
@@ -210,8 +211,12 @@ def links(prints: DataFrame, col: str = "simhash") -> DataFrame:
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(a, b): each node that has a smaller one in its component, and the least of them. Large-star and small-star rounds."""
+    """(a, b): each node that has a smaller one in its component, and the least of them. Large-star and small-star rounds.
+
+    A node of many edges meets its least neighbour by broadcast (see join_hot), so a hub's edges stay dealt out.
+    """
     pair = lambda a, b: (F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
+    near = lambda df: df.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("rows"))
     e = cut(edges.where("a <> b").select(*pair("a", "b")).distinct())
     before = None
     for _ in range(most_rounds):
@@ -220,10 +225,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             return e
         before = sign
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").select(*pair("a", "b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(*pair("b", "m")).unionByName(least.select("a", F.col("m").alias("b")))
+        least = near(both).withColumn("m", F.least("a", "m"))
+        large = join_hot(both.where("b > a"), least, "a", "rows").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").select(*pair("a", "b")).distinct()
+        least = near(large)
+        small = join_hot(large, least, "a", "rows").where("b <> m").select(*pair("b", "m")).unionByName(least.select("a", F.col("m").alias("b")))
         e = cut(small.distinct())
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
@@ -232,22 +237,22 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     """id_col, simhash (signed) and component_id: the least id that links lead to."""
     prints = cut(simhash(docs.select(quoted(id_col), quoted(text_col).cast("string").alias("__text")), "__text", keep=[id_col]))
     classed = classes(prints, quoted(id_col))
-    least = classed.groupBy("root").agg(F.min("first").alias("component_id"))
-    found = classed.join(least, "root").select("simhash", "component_id")
-    return prints.join(found, "simhash").select(quoted(id_col), "simhash", "component_id")
+    least = cut(classed.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("prints")))
+    found = cut(join_hot(classed, least, "root", "prints").select("simhash", "component_id", "rows"))
+    return join_hot(prints, found, "simhash", "rows").select(quoted(id_col), "simhash", "component_id")
 
 
 def classes(prints: DataFrame, value: Column) -> DataFrame:
-    """Each simhash with the least value of its rows (first) and the simhash that stands for its component (root)."""
+    """Each simhash with its rows, the least value of them (first) and the simhash that stands for its component (root)."""
     spark = prints.sparkSession
-    each = prints.groupBy("simhash").agg(F.min(value).alias("first"))
+    each = prints.groupBy("simhash").agg(F.min(value).alias("first"), F.count("*").alias("rows"))
     try:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8192")
         edges = cut_edges(links(each.select("simhash")))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     roots = components(edges)
-    return each.join(roots, each["simhash"] == roots["a"], "left").select("simhash", "first", F.coalesce("b", "simhash").alias("root"))
+    return cut(each.join(roots, each["simhash"] == roots["a"], "left").select("simhash", "first", "rows", F.coalesce("b", "simhash").alias("root")))
 
 
 def cut_edges(edges: DataFrame) -> DataFrame:
