@@ -11,8 +11,8 @@ than others, so that a goal that does not grow at all cannot keep recall; this o
 
 The arrays are dealt out by the first symbols in ranges of about RANGE strings. Only strings and row numbers go there, no
 vectors. Each range counts, by binary search, how many strings share each prefix with a query; the sums say where each tree's
-ascent ends; then the ranges list the candidates' row numbers by block of vectors, and each block (of BLOCK vectors or fewer)
-compares its candidates of a query once, whichever trees they come from.
+ascent ends; then the ranges list the candidates' row numbers by block of vectors (a range of the first tree or a lane of it),
+and each block compares its candidates of a query once, whichever trees they come from.
 
 Equal vectors are one before that: the distinct vectors, each with its least top + 1 ids, are hashed and searched, so a very
 common vector is one candidate and one query. Vectors that are null, zero, or hold null or non-finite components take no part;
@@ -33,8 +33,8 @@ TOP, TREES, SYMBOLS, AXES, SEED = 10, 32, 16, 4, 3
 #: Bits of a symbol (its half-axis among 2 * AXES).
 WIDTH = 3
 GOAL = 18.0
-#: Strings of a range, and of a lane that a fuller range is shared out to; vectors of a block, and queries of a block's lane.
-RANGE, LANE, BLOCK, ASKERS = 8192, 32_768, 8192, 512
+#: Strings of a range, and of a lane that a fuller range is shared out to; queries of a block's lane.
+RANGE, LANE, ASKERS = 8192, 16_384, 512
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
@@ -110,12 +110,12 @@ PLACE = ["dim", "tree", "range", "lane"]
 def met(held: DataFrame, asks: DataFrame) -> DataFrame:
     """Each range's strings in order, then the queries sent to it (level: where the tree's ascent ends)."""
     n = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    columns = [*PLACE, "asks", "string", "pid", "level"]
+    columns = [*PLACE, "asks", "string", "pid", "level", "block"]
     return held.select(columns).unionByName(asks.select(columns)).repartition(n, *PLACE).sortWithinPartitions(*PLACE, "asks", "string")
 
 
 def answered(both: DataFrame, answer, schema: str) -> DataFrame:
-    """answer(sorted strings, their pids, query strings, query pids, levels, place) over each range's queries, batch by batch."""
+    """answer(sorted strings, pids, blocks, query strings, query pids, levels, place) over each range's queries, batch by batch."""
 
     def run(batches):
         at, kept, held = None, [], None
@@ -123,11 +123,11 @@ def answered(both: DataFrame, answer, schema: str) -> DataFrame:
             for (*place, asks), i, j in stretches(b, 5):
                 if place != at:
                     at, kept, held = place, [], None
-                part = [b.column(k).slice(i, j - i).to_numpy(zero_copy_only=False) for k in (5, 6, 7)]
+                part = [b.column(k).slice(i, j - i).to_numpy(zero_copy_only=False) for k in (5, 6, 8 - asks)]
                 if not asks:
                     kept.append(part)
                 elif kept:
-                    held = held or tuple(np.concatenate([k[x] for k in kept]) for x in (0, 1))
+                    held = held or tuple(np.concatenate([k[x] for k in kept]) for x in range(3))
                     yield from answer(*held, *part, place)
 
     return both.mapInArrow(run, schema)
@@ -145,11 +145,8 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
     total = rows.select("key").distinct().count()
     if total == 0:
         return spark.createDataFrame([], RESULT)
-    # Rows are numbered in the order of the first tree, so that a block's vectors are near each other.
-    blocks = -(-total // BLOCK)
-    laid = hashed(distinct_vectors(rows, top)).repartitionByRange(blocks, "dim", F.col("strings")[0], "key")
-    points = cut(laid.withColumn("pid", F.monotonically_increasing_id()))
-    answers = compared(points, candidates(points, total, top), top)
+    points, ranges, deep = dealt(cut(hashed(distinct_vectors(rows, top)).withColumn("pid", F.monotonically_increasing_id())), total)
+    answers = compared(points, candidates(points, ranges, deep, TREES * (top + 1) + GOAL * total ** (2 / 3)), top)
     merged = answers.groupBy("pid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, top + 1).alias("found"))
     by_key = points.where("asking > 0").select("pid", "key", "asking").join(merged, "pid").drop("pid")
     asking = rows.where("asks").select(F.col("id").alias("query_id"), "key")
@@ -158,16 +155,28 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
     return listed.select("query_id", F.posexplode("found").alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
-def candidates(points: DataFrame, total: int, top: int = TOP, goal: float = GOAL) -> DataFrame:
-    """pid (of a query), block, and places within the block: one row for each tree, range and block."""
-    enough = TREES * (top + 1) + goal * total ** (2 / 3)
+def head(string: Column, level: int) -> Column:
+    """The string's first symbols as an integer."""
+    return F.shiftright(string, WIDTH * (SYMBOLS - level))
+
+
+def dealt(points: DataFrame, total: int) -> tuple[DataFrame, DataFrame, int]:
+    """points with the block of their vectors; each tree's ranges with n and lanes; and the number of symbols that make a range."""
     deep = 0
     while deep < SYMBOLS and total > RANGE << (WIDTH * deep):
         deep += 1
-    forest = points.select("pid", "dim", F.col("asking") > 0, F.posexplode("strings").alias("tree", "string")).toDF("pid", "dim", "asks", "tree", "string")
-    head = lambda level: F.expr(f"shiftright(string, {WIDTH} * ({SYMBOLS} - ({level})))")
-    forest = forest.withColumn("range", head(deep))
-    ranges = cut(forest.groupBy("dim", "tree", "range").agg(F.count("*").alias("n")).withColumn("lanes", F.ceil(F.col("n") / LANE).cast("int")))
+    each = points.select("dim", F.posexplode("strings").alias("tree", "string")).withColumn("range", head(F.col("string"), deep))
+    ranges = cut(each.groupBy("dim", "tree", "range").agg(F.count("*").alias("n")).withColumn("lanes", F.ceil(F.col("n") / LANE).cast("int")))
+    first = ranges.where("tree = 0").select("dim", F.col("range").alias("first"), F.col("lanes").alias("parts"))
+    lane = F.pmod(F.xxhash64("key"), F.col("parts"))
+    placed = points.withColumn("first", head(F.col("strings")[0], deep)).join(first, ["dim", "first"])
+    return placed.withColumn("block", F.shiftleft("first", 12) + lane).drop("first", "parts"), ranges, deep
+
+
+def candidates(points: DataFrame, ranges: DataFrame, deep: int, goal: float) -> DataFrame:
+    """pid (of a query), block, and pids of its candidates there: one row for each tree, range and block."""
+    forest = points.select("pid", "block", "dim", F.col("asking") > 0, F.posexplode("strings").alias("tree", "string")).toDF("pid", "block", "dim", "asks", "tree", "string")
+    forest = forest.withColumn("range", head(F.col("string"), deep))
     lanes = ranges.select("dim", "tree", "range", "lanes")
     held = forest.join(lanes, ["dim", "tree", "range"]).withColumn("lane", F.pmod(F.xxhash64("pid"), F.col("lanes")).cast("int")).withColumn("asks", F.lit(False)).withColumn("level", F.lit(0))
     queries = forest.where("asks").drop("range")
@@ -175,11 +184,11 @@ def candidates(points: DataFrame, total: int, top: int = TOP, goal: float = GOAL
     def sent(asks: DataFrame, level: Column) -> DataFrame:
         """Each query at all lanes of the ranges that its first symbols, `level` or at most `deep`, lead to."""
         up = F.greatest(F.lit(0), F.lit(deep) - level) * WIDTH
-        low = F.call_function("shiftleft", F.call_function("shiftright", head(deep), up), up)
+        low = F.call_function("shiftleft", F.call_function("shiftright", head(F.col("string"), deep), up), up)
         d = asks.withColumn("low", low).withColumn("range", F.explode(F.sequence(F.col("low"), F.col("low") + F.call_function("shiftleft", F.lit(1).cast("long"), up) - 1)))
         return d.join(lanes, ["dim", "tree", "range"]).withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)))
 
-    def count(held_strings, _, asked, pids, levels, place):
+    def count(held_strings, held_pids, held_blocks, asked, pids, levels, place):
         got = [shared(held_strings, asked, x) for x in range(deep, SYMBOLS + 1)]
         n = np.stack([hi - lo for lo, hi in got], axis=1)
         for level in range(n.shape[1]):
@@ -193,51 +202,51 @@ def candidates(points: DataFrame, total: int, top: int = TOP, goal: float = GOAL
         up = lambda c: F.expr(f"shiftright({c}, {WIDTH} * ({deep} - level))")
         level = F.explode(F.sequence(F.lit(0), F.lit(deep - 1))).alias("level")
         sums = ranges.select("dim", "tree", "range", "n", level).withColumn("at", up("range")).groupBy("dim", "tree", "level", "at").agg(F.sum("n").alias("n"))
-        asked = queries.select("pid", "dim", "tree", head(deep).alias("range"), level).withColumn("at", up("range"))
+        asked = queries.select("pid", "dim", "tree", head(F.col("string"), deep).alias("range"), level).withColumn("at", up("range"))
         below = below.unionByName(asked.join(sums, ["dim", "tree", "level", "at"]).select("pid", "tree", "level", "n"))
     # Upwards from the longest match: trees in turn at each level, each adding what the longer prefix had not. A query has
     # at most TREES * (SYMBOLS + 1) such counts.
     longer = Window.partitionBy("pid", "tree").orderBy(F.desc("level"))
     path = Window.partitionBy("pid").orderBy(F.desc("level"), "tree")
     steps = below.withColumn("more", F.col("n") - F.coalesce(F.lag("n").over(longer), F.lit(0))).withColumn("sum", F.sum("more").over(path))
-    reached = steps.where(F.col("sum") - F.col("more") < enough).groupBy("pid", "tree").agg(F.min("level").alias("level"))
+    reached = steps.where(F.col("sum") - F.col("more") < goal).groupBy("pid", "tree").agg(F.min("level").alias("level"))
     ascents = cut(queries.join(reached, ["pid", "tree"]))
 
-    def fetch(held_strings, held_pids, asked, pids, levels, place):
+    def fetch(held_strings, held_pids, held_blocks, asked, pids, levels, place):
         for q, lo, hi in zip(pids.tolist(), *map(np.ndarray.tolist, shared(held_strings, asked, levels))):
             if lo < hi:
-                own = np.sort(held_pids[lo:hi])
-                block = own >> 33
+                order = np.argsort(held_blocks[lo:hi], kind="stable")
+                block, own = held_blocks[lo:hi][order], held_pids[lo:hi][order]
                 at = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(own)]
-                places = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array((own & ((1 << 33) - 1)).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at) - 1, q)), pa.array(block[at[:-1]]), places], ["pid", "block", "places"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at) - 1, q)), pa.array(block[at[:-1]]), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(own))], ["pid", "block", "pids"])
 
-    return answered(met(held, sent(ascents, F.col("level"))), fetch, "pid bigint, block bigint, places array<int>")
+    return answered(met(held, sent(ascents, F.col("level"))), fetch, "pid bigint, block bigint, pids array<bigint>")
 
 
 def compared(points: DataFrame, found: DataFrame, top: int) -> DataFrame:
     """pid and found: the nearest (score, vec_id) of each query's candidates in a block."""
     n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held = points.withColumn("block", F.shiftright("pid", 33))
-    lists = cut(found.groupBy("block", "pid").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")))  # at most a block's vectors
+    lists = cut(found.groupBy("block", "pid").agg(F.array_distinct(F.flatten(F.collect_list("pids"))).alias("pids")))  # at most a block's vectors
     lanes = lists.groupBy("block").agg(F.ceil(F.count("*") / ASKERS).cast("int").alias("lanes"))
-    asks = lists.join(lanes, "block").join(points.select("pid", "vec"), "pid").select("block", F.pmod(F.xxhash64("pid"), F.col("lanes")).cast("int").alias("lane"), F.lit(1).alias("asks"), "pid", "vec", "places", F.lit(None).cast("array<bigint>").alias("ids"))
-    stored = held.join(lanes, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), F.lit(0).alias("asks"), "pid", "vec", F.lit(None).cast("array<int>").alias("places"), "ids")
+    asks = lists.join(lanes, "block").join(points.select("pid", "vec"), "pid").select("block", F.pmod(F.xxhash64("pid"), F.col("lanes")).cast("int").alias("lane"), F.lit(1).alias("asks"), "pid", "vec", "pids", F.lit(None).cast("array<bigint>").alias("ids"))
+    stored = points.join(lanes, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), F.lit(0).alias("asks"), "pid", "vec", F.lit(None).cast("array<bigint>").alias("pids"), "ids")
     meet = stored.unionByName(asks).repartition(n, "block", "lane").sortWithinPartitions("block", "lane", "asks", "pid")
 
     def run(batches):
-        at, kept, held, ids = None, [], None, []
+        at, kept, held, ids, pids = None, [], None, [], []
         for b in batches:
             for where, i, j in stretches(b, 3):
                 if where[:2] != at:
-                    at, kept, held, ids = where[:2], [], None, []
+                    at, kept, held, ids, pids = where[:2], [], None, [], []
                 part = b.slice(i, j - i)
                 if not where[2]:
                     kept += by_length(part.column(4))
                     ids += part.column(6).to_pylist()
+                    pids.append(part.column(3).to_numpy())
                     continue
-                held = held or stacked(kept)
-                found = [nearest_of(held[0][len(v)], held[1][own], ids, own, v) for v, own in zip(vectors_of(part.column(4)), vectors_of(part.column(5)))]
+                held = held or (*stacked(kept), np.concatenate(pids))
+                lists = [np.searchsorted(held[2], own) for own in vectors_of(part.column(5))]
+                found = [nearest_of(held[0][len(v)], held[1][own], ids, own, v) for v, own in zip(vectors_of(part.column(4)), lists)]
                 yield pa.RecordBatch.from_arrays([part.column(3), pa.array(found, FOUND_ARROW)], ["pid", "found"])
 
     def nearest_of(x: np.ndarray, rows: np.ndarray, ids: list, own: np.ndarray, vec: np.ndarray) -> list[dict]:
@@ -251,7 +260,7 @@ def compared(points: DataFrame, found: DataFrame, top: int) -> DataFrame:
 
 
 def vectors_of(column: pa.Array) -> list[np.ndarray]:
-    flat, kind = column.flatten().to_numpy(zero_copy_only=False), np.int64 if pa.types.is_int32(column.type.value_type) else np.float64
+    flat, kind = column.flatten().to_numpy(zero_copy_only=False), np.int64 if pa.types.is_integer(column.type.value_type) else np.float64
     at = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).tolist()
     flat = flat.astype(kind)
     return [flat[a:b] for a, b in zip(at[:-1], at[1:])]

@@ -18,8 +18,8 @@ def vectors(kind: str) -> np.ndarray:
 
 
 def candidate_rows(spark, rows, total):
-    points = ann.cut(ann.hashed(ann.distinct_vectors(rows, 10)).repartitionByRange(-(-total // ann.BLOCK), F.col("strings")[0]).withColumn("pid", F.monotonically_increasing_id()))
-    return ann.candidates(points, total)
+    points = ann.cut(ann.hashed(ann.distinct_vectors(rows, 10)).withColumn("pid", F.monotonically_increasing_id()))
+    return ann.candidates(*ann.dealt(points, total), ann.TREES * 11 + ann.GOAL * total ** (2 / 3))
 
 
 @pytest.mark.parametrize("kind", ["clustered", "unstructured"])
@@ -36,7 +36,7 @@ def test_recall_where_the_forest_prunes(spark, kind):
         d[q] = np.inf
         hit += len(set(np.argpartition(d, 10)[:10].tolist()) & set(got[q]))
     rows = df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), (F.col("vec_id") % ASK == 0).alias("asks"), F.col("vec_id").cast("string").alias("key"))
-    each = candidate_rows(spark, rows, N).groupBy("pid").agg(F.size(F.array_distinct(F.flatten(F.collect_list(F.transform("places", lambda p: F.col("block") * (1 << 33) + p))))).alias("n"))
+    each = candidate_rows(spark, rows, N).groupBy("pid").agg(F.size(F.array_distinct(F.flatten(F.collect_list("pids")))).alias("n"))
     n, most = each.agg(F.avg("n"), F.max("n")).first()
     print(f"{kind}: recall {hit / (10 * len(asks)):.3f}, compared {n / N:.3f} (at most {most / N:.3f})")
     assert hit >= 0.9 * 10 * len(asks) and n < 0.5 * N
