@@ -37,7 +37,15 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints"))
+        sc.setCheckpointDir(checkpoint_folder(spark))
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names; without one, a folder of this machine, and only where Spark runs on this machine."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or "/tmp/checkpoints"
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -7,8 +7,10 @@ conditional likelihood on at most WINDOWS windows whose spans the fixed patterns
 lost its plus sign or an address its `@`, so that the field also finds spans that the patterns miss. Fixed patterns' spans
 (base) are clamped: they are segments of each segmentation, so they are always in the result and added spans stop at them.
 
-Spans are in code points, end exclusive, over whole texts. Null and empty texts have none; repeated rows give repeated results.
-Without windows to learn from, only base spans are found.
+Spans are in code points, end exclusive, over whole texts. Null and empty texts have none, and an empty table gives an empty
+one; repeated rows give repeated results. An added span has MOST tokens and 24 digits at most (entities are bounded); base
+spans have no such limit. Of equally good segmentations the one with fewer, earlier-listed kinds is kept. A column of the input
+named like the new one (in any case) is replaced by it. Without windows to learn from, only base spans are found.
 """
 
 from __future__ import annotations
@@ -282,10 +284,16 @@ def lessons(window: str) -> list[tuple[str, list[tuple[str, int, int]]]]:
 
 
 def fit_field(docs: DataFrame, text_col: str, id_col: str, windows: int = WINDOWS) -> Field:
-    """A field fitted on the first digit's or `@`'s surroundings of at most `windows` texts: those whose ids hash lowest."""
-    text = quoted(text_col).cast("string")
-    some = docs.where(text.rlike("[0-9@]")).select(F.xxhash64(quoted(id_col)).alias("h"), F.regexp_extract(text, r"(?s).{0,60}[0-9@].{0,180}", 0).alias("w"))
-    got = some.orderBy("h", "w").limit(windows).collect()
+    """A field fitted on the first digit's or `@`'s surroundings of at most `windows` texts: those whose ids hash lowest.
+
+    Ids are ranked first; windows are cut from the chosen texts only.
+    """
+    text, hashed = quoted(text_col).cast("string"), F.xxhash64(quoted(id_col))
+    own = docs.where(text.rlike("[0-9@]")).select(hashed.alias("h"), text.alias("t"))
+    low = [r["h"] for r in own.select("h").orderBy("h").limit(windows).collect()]
+    at = F.length(F.regexp_extract("t", "^[^0-9@]*+", 0)) + 1
+    cut = F.substr("t", F.greatest(F.lit(1), at - 60), F.least(F.lit(60), at - 1) + 181)
+    got = own.where(F.col("h").isin(sorted(set(low)))).select("h", cut.alias("w")).orderBy("h", "w").limit(windows).collect() if low else []
     field = Field()
     field.fit(sorted(r["w"] for r in got))
     return field
