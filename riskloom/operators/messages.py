@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,7 +27,7 @@ RULES = {
     "investment": (3, "invest", ["(?:guaranteed|assured|double) (?:returns?|profit|your money)|[0-9]+ ?% (?:daily|weekly|monthly) (?:returns?|profit)"]),
     "prize": (3, "prize", ["you (?:have )?won|lucky (?:draw|winner)|claim your (?:prize|gift|reward)"]),
     "sextortion": (5, "sextortion", ["(?:your )?(?:private|intimate) (?:video|photos|pictures)", "(?:share|send|post|leak|upload) (?:it|them|this)", "(?:pay|transfer|send money)"]),
-    "wrong-transfer": (3, "misdirected", ["(?:by mistake|wrongly|accidentally) (?:sent|transferred|credited)|(?:sent|transferred|credited) (?:[a-z0-9.₹]+ ){0,5}by mistake", MONEY, "(?:return|refund|send) (?:it|the money|the amount|back)"]),
+    "wrong-transfer": (3, "misdirected", ["(?:by mistake|wrongly|accidentally) (?:sent|transferred|credited)|(?:sent|transferred|credited) (?:[a-z0-9.₹]+ ){0,5}by mistake", MONEY, "(?:return|refund|send) (?:it|the money|the amount|back)", "you|your|ur|aap|tum|tera|teri"]),
     "qr-receive": (3, "upi", ["scan (?:this |the )?(?:qr|code)(?: code)? (?:to|and) (?:receive|get)", MONEY]),
     "utility-cutoff": (2, "utility", ["(?:electricity|power|gas|water|connection)(?: [a-z]+){0,4} (?:disconnected|cut|stopped)", "(?:call|pay|update|contact)"]),
     "pay-first": (3, "fee", ["(?:pehle|first|abhi) (?:pay|bhejo|transfer)", "(?:loan|job|parcel|prize|refund)"]),
@@ -40,19 +42,76 @@ RULES = {
     "phone-number": (1, "contact", ["(?<![0-9])[6-9][0-9]{9}(?![0-9])"]),
     "callback": (1, "contact", ["call (?:us|back|now|this number)|contact (?:us|customer care)"]),
 }
-LINK_WEIGHT = {"scam": 5, "suspicious": 3, "unverified": 1, "official": 0}
-SCAM, SUSPICIOUS = 5, 3
 INTENTS = [
     ("lost-money", ["lost money", "paid", "debited", "transferred", "cheated"]), ("otp", ["otp", "pin", "code"]), ("upi", ["upi", "qr", "collect"]), ("kyc", ["kyc", "pan", "aadhaar"]), ("job", ["job", "task", "salary"]),
     ("loan", ["loan", "emi", "instalment"]), ("parcel", ["parcel", "courier", "customs"]), ("arrest", ["police", "cbi", "arrest"]), ("report", ["report", "complaint", "helpline"]),
 ]
 LOSS = "(?:lost|cheated|stolen|deducted|debited)(?: [a-z0-9₹.,]+){0,5} (?:money|rupees|amount|account|rs)|money (?:is |was )?(?:gone|lost|deducted)"
 SMALL_TALK = [("greeting", "^(?:hi|hello|hey|namaste)(?![a-z])"), ("thanks", "thank(?:s| you)|dhanyawad"), ("bye", "^(?:bye|goodbye|see you)"), ("who", "who are you|your name"), ("how", "how are you"), ("help", "^help(?![a-z])|what can you do")]
+LINK_WEIGHT = {"scam": 5, "suspicious": 3, "unverified": 1, "official": 0}
+SCAM, SUSPICIOUS = 5, 3
+#: Characters of a message that the rules read: the limit of the rules' definition, not of the data.
+MOST_CHARS = 4000
+#: Romanised Hindi and Telugu and Devanagari wording that feeds the rules above. Own lists, compared after `fold`.
+FEEDS = {
+    "threat": ["khata band", "account band", "sim band", "block ho jayega", "giraftar", "account block avutundi", "खाता बंद", "सिम बंद"],
+    "urgency": ["abhi ke abhi", "aaj hi", "aakhri mauka", "der mat karo", "ventane", "तुरंत", "अभी अपडेट", "आज ही"],
+    "secrecy": ["kisi ko mat batana", "kisi ko mat batao", "kisi ko na batayen", "evariki cheppakandi", "किसी को मत बताना", "किसी को न बताएं"],
+    "stay-on-call": ["call mat kato", "phone mat kato", "call cut mat karo", "line par rahiye", "call cut cheyakandi", "फोन मत काटना"],
+    "click-link": ["link par click", "link pe click", "link kholo", "link nokkandi", "लिंक पर क्लिक"],
+    "prize": ["aap jeet gaye", "inaam jeeta", "lottery lagi", "meeru gelicharu", "लॉटरी", "इनाम"],
+    "task-job": ["ghar baithe kamao", "ghar baithe paise", "roz kamao"],
+    "investment": ["paisa double", "paise double", "pakka munafa"],
+    "authority": ["police se bol", "crime branch se", "cbi se bol", "thane se bol", "गिरफ्तार"],
+    "refund-claim": ["refund le lo", "paisa wapas pane"],
+    "card-points": ["card band ho jayega", "points khatam"],
+    "parcel": ["parcel ruka", "parcel pakda", "courier ruk gaya"],
+    "callback": ["is number par call", "is number pe call", "is number par phone"],
+    "upi-receive": ["paise pane ke liye pin", "pin dalo paise", "pin daalo paisa"],
+}
+#: Words of the two asking rules. Own lists.
+ASKS = ["share", "send", "tell", "give", "provide", "forward", "reply", "bhejo", "bhejiye", "batao", "bataiye", "batayen", "dijiye", "dedo", "cheppandi", "pampandi", "ivvandi", "भेजें", "भेजो", "बताएं", "बताओ"]
+STEMS, HELPERS = ["bhej", "bata", "de", "dal"], ["do", "dijiye", "dena"]
+NEGATORS = ["not", "never", "don't", "dont", "no", "cannot", "can't", "without", "avoid", "mat", "na", "nahi", "nahin", "न", "मत", "नहीं"]
+AFTER, AFTER_VERBS = ["na", "mat", "nahi", "nahin", "न", "मत", "नहीं"], ["karo", "karen", "kare", "karna", "dena", "do", "batana", "batao", "batayen", "bhejna", "bhejo", "kijiye", "करें", "बताएं", "भेजें"]
+PAIRS = ["card number", "card details", "bank details", "account number", "security code"]
+CREDENTIALS = ["pin", "mpin", "cvv", "password", "passcode", "पिन", "पासवर्ड", *[p.replace(" ", "") for p in PAIRS]]
+CODES = ["otp", "aadhaar", "aadhar", "ओटीपी", "verificationcode"]
+DOOR = "delivery (?:agent|partner|executive|person|boy)"
+ABOUT = "otp|pin|mpin|cvv|password|passcode|card|aadhaar|aadhar|upi|code|ओटीपी|पिन|पासवर्ड"
+TOKEN = "[a-z0-9']+|[ऀ-ॿ]+"
+SENTENCE_END = "[.!?।]+"
+
+
+
+def prepared(c: Column, most: int = MOST_CHARS) -> Column:
+    """The message's first `most` characters in lower case, blanks collapsed, commas within numbers dropped."""
+    return F.regexp_replace(tx.squeeze(F.lower(F.substring(c, 1, most))), "(?<=[0-9]),(?=[0-9])", "")
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once however often `then` reads it."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+#: Spellings that romanised words differ in, and what they become; applied in turn, and once is enough.
+FOLDS = [("aa+", "a"), ("ee+|ii+", "i"), ("oo+|uu+", "u"), ("([bcdgjkpt])h", "$1")]
 
 
-def prepared(c: Column) -> Column:
-    """At most 4,000 characters, lower case, blanks collapsed, commas within numbers dropped."""
-    return F.regexp_replace(tx.squeeze(F.lower(F.substring(c, 1, 4000))), "(?<=[0-9]),(?=[0-9])", "")
+def fold(t: Column) -> Column:
+    """Lower-case text with the spellings of romanised words evened out."""
+    t = F.translate(t, "wzq", "vjk")
+    for pattern, to in FOLDS:
+        t = F.regexp_replace(t, pattern, to)
+    return t
+
+
+def folded(s: str) -> str:
+    """fold of a word written in this module."""
+    s = s.translate(str.maketrans("wzq", "vjk"))
+    for pattern, to in FOLDS:
+        s = re.sub(pattern, to.replace("$1", r"\1"), s)
+    return s
 
 
 def bounded(pattern: str) -> str:
@@ -60,6 +119,43 @@ def bounded(pattern: str) -> str:
     return f"(?<![a-z0-9])(?:{pattern})(?![a-z0-9])"
 
 
+def feed(rule: str) -> str:
+    """What of the folded text feeds a rule."""
+    return "|".join(folded(p) for p in FEEDS[rule])
+
+
+def words_of(t: Column) -> Column:
+    """Folded tokens; pairs such as `card number` are one, and an ask in a sentence on handing a code to a delivery agent is none."""
+    asks = bounded("|".join(w for w in ASKS if w.isascii()))
+    at_door = lambda s: F.when(s.rlike(bounded(DOOR)) & s.rlike(bounded("otp")), F.regexp_replace(s, asks, "x")).otherwise(s)
+    t = F.when(t.contains("delivery"), F.array_join(F.transform(F.split(t, SENTENCE_END), at_door), " ")).otherwise(t)
+    t = F.regexp_replace(t, "(card|bank|account|security|verification) (number|details|code)", "$1$2")
+    return F.regexp_extract_all(fold(t), F.lit(TOKEN), F.lit(0))
+
+
+def asks_for(t: Column, secrets: list[str]) -> Column:
+    """The first verb of a prepared text that asks for one of the secrets, as an array of one; empty if there is none.
+
+    The verb (or a stem with its helper) has no negator among the five tokens before it nor a negated verb right after it; a
+    secret is among the six tokens after it, or among the three before.
+    """
+    of = lambda ws: F.array(*[F.lit(folded(w)) for w in dict.fromkeys(ws)])
+    any_of = lambda part, ws: F.arrays_overlap(part, of(ws))
+
+    def each(w: Column) -> Column:
+        back = lambda i, n: F.slice(w, F.greatest(F.lit(1), i - n), i - F.greatest(F.lit(1), i - n))
+        at = lambda i: F.get(w, i - F.lit(1))
+        verb = lambda i: at(i).isin(*{folded(a) for a in ASKS}) | (at(i).isin(*map(folded, STEMS)) & F.coalesce(at(i + 1).isin(*map(folded, HELPERS)), F.lit(False)))
+        undone = lambda i: F.coalesce(at(i).isin(*AFTER) & at(i + 1).isin(*map(folded, AFTER_VERBS)), F.lit(False))
+        asked = lambda i: verb(i) & ~any_of(back(i, 5), NEGATORS) & ~undone(i + 1) & ~undone(i + 2) & (any_of(F.slice(w, i + 1, F.lit(6)), secrets) | any_of(back(i, 3), secrets))
+        return F.slice(F.transform(F.filter(F.sequence(F.lit(1), F.size(w)), asked), at), 1, 1)
+
+    # Most messages have no secret's name in them and are not cut into tokens.
+    worth = fold(t).rlike("|".join(folded(s) for s in dict.fromkeys([*[s for s in secrets if " " not in s], *(["card", "bank", "account", "security"] if "pin" in secrets else ["verification"])])))
+    none = F.array().cast("array<string>")
+    return F.when(worth, let(words_of(t), lambda w: F.when(F.size(w) > 0, each(w)).otherwise(none))).otherwise(none)
+
+
 def hits(t: Column, patterns: list[str]) -> Column:
     """Different matches of the first pattern, if the others occur, too."""
     found = F.array_distinct(F.regexp_extract_all(t, F.lit(bounded(patterns[0])), F.lit(0)))
@@ -67,38 +163,90 @@ def hits(t: Column, patterns: list[str]) -> Column:
     return F.when(rest, found).otherwise(F.array().cast("array<string>"))
 
 
-def weight(w: int, n: Column) -> Column:
+def secrecy_hits(t: Column, demand: str, asking: Column) -> Column:
+    """Demands of secrecy, less those in a sentence (or after one) that is about a code, unless the message asks for one."""
+    s = F.split(t, SENTENCE_END)
+    about = lambda x: F.coalesce(x.rlike(bounded(ABOUT)), F.lit(False))
+    kept = F.filter(s, lambda x, i: x.rlike(bounded(demand)) & (asking | ~(about(x) | about(F.get(s, i - 1)))))
+    return F.when(t.rlike(bounded(demand)), F.array_distinct(F.transform(kept, lambda x: F.regexp_extract(x, bounded(demand), 0)))).otherwise(F.array().cast("array<string>"))
+
+
+def third_party(t: Column) -> Column:
+    """The text without what others will give back."""
+    return F.regexp_replace(t, "(?:will|would|shall|they|he|she) (?:return|refund|send)", "")
+
+
+def rule_hits(rule: str) -> Column:
+    """What a rule finds in `prepared` and `folded`, given `asks_credential` and `asks_code`."""
+    t, patterns = F.col("prepared"), RULES[rule][2]
+    if rule in ("ask-credential", "ask-secret"):
+        return F.col("asks_credential" if rule == "ask-credential" else "asks_code")
+    if rule == "secrecy":
+        asking = (F.size("asks_credential") > 0) | (F.size("asks_code") > 0)
+        return F.array_union(secrecy_hits(t, patterns[0], asking), secrecy_hits(F.col("folded"), feed(rule), asking))
+    if rule == "wrong-transfer":
+        return F.when(third_party(t).rlike(bounded(patterns[2])), hits(t, patterns)).otherwise(F.array().cast("array<string>"))
+    own = hits(t, patterns)
+    return F.array_union(own, hits(F.col("folded"), [feed(rule)])) if rule in FEEDS else own
+
+
+def weight(w: Column, n: Column) -> Column:
     """A rule's weight: more by one for each further hit, by two at most, from weight two on."""
-    return F.when(n > 0, F.lit(w) + (F.least(F.lit(2), n - 1) if w >= 2 else F.lit(0))).otherwise(0)
+    return w + F.when(w >= 2, F.least(F.lit(2), n - 1)).otherwise(0)
 
 
 def evidence(df: DataFrame, text_col: str) -> DataFrame:
-    """df with prepared text and evidence: rule, family, weight, quote, count of each rule that fired."""
+    """df with prepared and folded text and evidence: rule, family, weight, quote, count of each rule that fired.
+
+    Each rule's hits are found once; weights and quotes are then read from them.
+    """
     d = df.withColumn("prepared", prepared(F.col(text_col)))
-    each = []
-    for rule, (w, family, patterns) in RULES.items():
-        h = hits(F.col("prepared"), patterns)
-        n = F.size(h)
-        each.append(F.when(n > 0, F.struct(F.lit(rule).alias("rule"), F.lit(family).alias("family"), weight(w, n).alias("weight"), F.try_element_at(h, F.lit(1)).alias("quote"), n.alias("count"))))
-    return d.withColumn("evidence", F.filter(F.array(*each), lambda x: x.isNotNull()))
+    d = d.withColumns({"folded": fold(F.col("prepared")), "asks_credential": asks_for(F.col("prepared"), CREDENTIALS), "asks_code": asks_for(F.col("prepared"), CODES)})
+    d = d.withColumn("found", F.array(*[rule_hits(rule) for rule in RULES]))
+    rules = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(family).alias("family"), F.lit(w).alias("w")) for rule, (w, family, _) in RULES.items()])
+    each = F.zip_with("found", rules, lambda h, r: F.struct(r["rule"].alias("rule"), r["family"].alias("family"), weight(r["w"], F.size(h)).alias("weight"), F.get(h, 0).alias("quote"), F.size(h).alias("count")))
+    return d.withColumn("evidence", F.filter(each, lambda e: e["count"] > 0)).drop("found", "asks_credential", "asks_code")
 
 
 def verdict(df: DataFrame, text_col: str, link_level: Column | None = None) -> DataFrame:
-    """df with score, level (scam, suspicious or nothing) and family."""
+    """df with score, level (scam, suspicious or nothing) and family. link_level: the verdict on the message's link, which adds to the score."""
     d = evidence(df, text_col)
     link = F.lit(0) if link_level is None else F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in LINK_WEIGHT.items() for x in kv]), link_level), F.lit(0))
     d = d.withColumn("score", F.aggregate("evidence", F.lit(0), lambda a, e: a + e["weight"]) + link)
-    families = F.transform("evidence", lambda e: e["family"])
-    place = F.array_min(F.transform(families, lambda f: F.array_position(F.array(*[F.lit(x) for x in FAMILIES]), f)))
-    return d.withColumns({"level": F.when(F.col("score") >= SCAM, "scam").when(F.col("score") >= SUSPICIOUS, "suspicious").otherwise("nothing"), "family": F.try_element_at(F.array(*[F.lit(x) for x in FAMILIES]), place.cast("int"))})
+    place = F.array_min(F.transform("evidence", lambda e: F.array_position(F.array(*[F.lit(x) for x in FAMILIES]), e["family"])))
+    family = F.try_element_at(F.array(*[F.lit(x) for x in FAMILIES]), place.cast("int"))
+    if link_level is not None:
+        family = F.coalesce(family, F.when(link_level == "scam", "kyc").when(link_level.isin("suspicious", "unverified"), "contact"))
+    return d.withColumns({"level": F.when(F.col("score") >= SCAM, "scam").when(F.col("score") >= SUSPICIOUS, "suspicious").otherwise("nothing"), "family": family})
+
+
+#: Families: what a message of the family is called, the intent that its help page has, and what to do. Own wording.
+ABOUT_FAMILIES = {
+    "sextortion": ("blackmail over private pictures", "Sextortion", "Do not pay or answer; keep the messages and report them."), "arrest": ("a caller who poses as an officer", "Digital Arrest", "Hang up and tell someone you trust."),
+    "otp": ("a theft of a code or PIN", "OTP Scam", "Keep codes to yourself; if one is gone, call your bank."), "upi": ("a payment dressed as a receipt", "UPI Fraud", "A PIN is for paying only; decline the request."),
+    "misdirected": ("a made-up wrong transfer", "UPI Fraud", "Look at your own statement and let the bank reverse it."), "fee": ("a fee before a payout", "Phishing", "Pay nothing in advance."), "app": ("a harmful app", "Phishing", "Do not install it."),
+    "job": ("a job that costs money", "Job Fraud", "Deposit nothing to earn."), "invest": ("a promise of sure profit", "Investment Scam", "Look the firm up with the regulator."), "prize": ("a prize never entered for", "Phishing", "Do not answer."),
+    "refund": ("a refund to be claimed", "Phishing", "Real refunds arrive by themselves."), "kyc": ("a made-up account check", "Phishing", "Use the bank's own app."), "utility": ("a made-up cut-off notice", "Phishing", "Look the bill up with the provider."),
+    "parcel": ("a made-up parcel notice", "Digital Arrest", "Follow the parcel on the courier's own site."), "card": ("a card or points notice", "Phishing", "Call the number on the card."), "threat": ("a threat", "Phishing", "Check the claim by a way you know."),
+    "urgency": ("pressure of time", "Phishing", "Take your time."), "contact": ("a call for contact", "Phishing", "Look the number up yourself."),
+}
+
+
+def told(verdicts: DataFrame) -> DataFrame:
+    """verdicts with the family's name and, where the level is not `nothing`, its intent and advice."""
+    rows = [(k, *v) for k, v in ABOUT_FAMILIES.items()]
+    families = F.broadcast(verdicts.sparkSession.createDataFrame(rows, "family string, name string, intent string, advice string"))  # 18 rows
+    flagged = F.col("level") != "nothing"
+    return verdicts.join(families, "family", "left").withColumns({"intent": F.when(flagged, F.col("intent")), "advice": F.when(flagged, F.col("advice")).otherwise("Nothing known was found; that does not make it genuine.")})
 
 
 def intent(c: Column) -> Column:
     """The intent with most keyword hits, the first of equals; null without hits."""
-    t = prepared(c)
-    n = {k: sum((F.when(t.rlike(bounded(w)), 1).otherwise(0) for w in words), F.lit(0)) for k, words in INTENTS}
-    best = F.array_max(F.array(*[F.struct(v.alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("intent")) for i, (k, v) in enumerate(n.items())]))
-    return F.when(best["n"] > 0, best["intent"])
+    def best(t: Column) -> Column:
+        n = {k: sum((F.when(t.rlike(bounded(w)), 1).otherwise(0) for w in words), F.lit(0)) for k, words in INTENTS}
+        return F.array_max(F.array(*[F.struct(v.alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("intent")) for i, (k, v) in enumerate(n.items())]))
+
+    return let(let(prepared(c), best), lambda x: F.when(x["n"] > 0, x["intent"]))
 
 
 def money_loss(c: Column) -> Column:
@@ -107,43 +255,7 @@ def money_loss(c: Column) -> Column:
 
 def small_talk(c: Column) -> Column:
     """The first small-talk kind that fits."""
-    t = prepared(c)
-    return F.coalesce(*[F.when(t.rlike(p), k) for k, p in SMALL_TALK])
-
-
-NEGATORS = ["not", "never", "don't", "dont", "no", "mat", "na"]
-ASKS = ["share", "send", "tell", "give", "enter", "provide", "forward", "bhejo", "batao"]
-SECRETS = ["otp", "pin", "password", "cvv", "aadhaar"]
-DOOR = ["agent", "partner", "executive", "person", "boy"]
-
-
-def asks_for_secret(c: Column) -> Column:
-    """Whether a message asks for a secret: an asking verb, no negator in the five tokens before, a secret in the six after or three before.
-
-    A code that is to be told to a delivery agent, in the same sentence, is not asked for.
-    """
-    asks, secrets, negators, door = (F.array(*[F.lit(w) for w in x]) for x in (ASKS, SECRETS, NEGATORS, DOOR))
-
-    def sentence(s: Column) -> Column:
-        t = tx.words(s, "[a-z']+|[0-9]+")
-        n = F.size(t)
-        at_door = F.arrays_overlap(t, F.array(F.lit("delivery"))) & F.arrays_overlap(t, door) & F.arrays_overlap(t, F.array(F.lit("otp")))
-        around = lambda i: (
-            F.array_contains(asks, F.element_at(t, i)) & ~F.arrays_overlap(F.slice(t, F.greatest(F.lit(1), i - 5), i - F.greatest(F.lit(1), i - 5)), negators)
-            & (F.arrays_overlap(F.slice(t, i + 1, F.lit(6)), secrets) | F.arrays_overlap(F.slice(t, F.greatest(F.lit(1), i - 3), i - F.greatest(F.lit(1), i - 3)), secrets))
-        )
-        return ~at_door & F.exists(F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>")), around)
-
-    return F.exists(F.split(F.lower(c), "[.!?\\n]+"), sentence)
-
-
-def secrecy_stands(c: Column) -> Column:
-    """Whether a demand for secrecy counts: not where its sentence or the one before is about a code, unless the message asks for it."""
-    s = F.split(F.lower(c), "[.!?\\n]+")
-    demand = lambda x: x.rlike(bounded(RULES["secrecy"][2][0]))
-    about = lambda x: x.rlike(bounded("|".join(SECRETS)))
-    alone = F.exists(F.sequence(F.lit(1), F.size(s)), lambda i: demand(F.element_at(s, i)) & ~about(F.element_at(s, i)) & ~F.when(i > 1, about(F.element_at(s, F.greatest(i - 1, F.lit(1))))).otherwise(False))
-    return F.exists(s, demand) & (alone | asks_for_secret(c))
+    return let(prepared(c), lambda t: F.coalesce(*[F.when(t.rlike(p), k) for k, p in SMALL_TALK]))
 
 
 def phrase_hits(df: DataFrame, key: list[str], text_col: str, lexicon: DataFrame) -> DataFrame:
@@ -157,8 +269,6 @@ def phrase_hits(df: DataFrame, key: list[str], text_col: str, lexicon: DataFrame
 
 def expand(pattern: str, most: int = 2000) -> list[str]:
     """Phrases of a pattern: (a|b) for alternatives, [x] for what may be absent."""
-    import re
-
     out = [""]
     for alt, opt, plain in re.findall(r"\(([^)]*)\)|\[([^\]]*)\]|([^(\[]+)", pattern):
         choices = alt.split("|") if alt else ["", opt] if opt else [plain]
@@ -169,5 +279,5 @@ def expand(pattern: str, most: int = 2000) -> list[str]:
 
 
 def quotes_hold(df: DataFrame) -> Column:
-    """Every quote is a part of the prepared text."""
-    return F.forall("evidence", lambda e: F.contains(F.col("prepared"), e["quote"]))
+    """Every quote is a part of the prepared or the folded text."""
+    return F.forall("evidence", lambda e: F.contains(F.col("prepared"), e["quote"]) | F.contains(F.col("folded"), e["quote"]))

@@ -1,85 +1,80 @@
-"""Personal data in messages: flags, masking by placeholders, small cells."""
+"""Personal data in messages: flags, masking by placeholders, small cells.
 
-from __future__ import annotations
+What a piece of text is follows from a table of shapes (MASKS): rows in order of precedence, each a placeholder and a pattern of
+what it stands for. Masking replaces them row by row inside the JVM; no later shape can match a placeholder.
+"""
 
-import re
+from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from ..session import ship
 
-#: Placeholders that masked texts may hold, and bank suffixes of payment addresses. (Fixed values.)
+#: Placeholders that masked texts may hold. (Fixed values.)
 PLACEHOLDERS = ["ACCOUNT", "ADDRESS", "CARD", "EMAIL", "HANDLE", "ID_NUMBER", "NAME", "OTP", "PAN", "PHONE", "UPI"]
-BANK_SUFFIXES = ["apl", "axl", "barodampay", "ibl", "icici", "oksbi", "okaxis", "okhdfcbank", "okicici", "paytm", "sbi", "upi", "ybl"]
+#: What follows the `@` of payment addresses, by provider: as apps and banks publish them with the payment system's operator.
+PAYMENT_HANDLES = {
+    "PhonePe": ["ybl", "ibl", "axl"], "Google Pay": ["okaxis", "okhdfcbank", "okicici", "oksbi"], "Paytm": ["paytm", "ptaxis", "pthdfc", "ptsbi", "ptyes"], "Amazon Pay": ["apl", "yapl", "rapl"],
+    "WhatsApp": ["waaxis", "wahdfcbank", "waicici", "wasbi"], "BHIM": ["upi"], "CRED": ["axisb", "yescred"], "Jupiter": ["jupiteraxis"], "MobiKwik": ["ikwik"], "Freecharge": ["freecharge"], "Airtel": ["airtel"],
+    "banks": ["sbi", "icici", "hdfcbank", "kotak", "axisbank", "barodampay", "pnb", "cnrb", "unionbank", "idfcbank", "federal", "indus", "yesbank", "rbl", "dbs", "citi", "hsbc", "sc", "aubank", "equitas", "kbl", "kvb", "uco", "mahb", "cboi"],
+}
+SUFFIXES = [s for own in PAYMENT_HANDLES.values() for s in own]
+LEFT, WORD = "[A-Za-z0-9._-]", "[A-Za-z0-9_]"
 ADDRESS = "([A-Za-z0-9._-]*)@([A-Za-z0-9.-]*)"
 
 
+def digits(first: str, least: int, most: int | None = None) -> str:
+    """A run that begins with `first` and goes on with `least` to `most` digits, one blank or hyphen between; nothing of it left over."""
+    return f"(?<![0-9])(?<![0-9][ -]){first}(?:[ -]?[0-9]){{{least},{'' if most is None else most}}}(?![ -]?[0-9])"
+
+
+#: Placeholder, pattern, and what of the match stays before the placeholder.
+MASKS = [
+    ("OTP", f"(?i)(?<!{WORD})((?:otp|cvv|verification code|one[- ]time (?:code|password))(?: *(?:code|is|no|number))? *[:=-]? *)[0-9]{{3,8}}(?!{WORD})", "$1"),
+    ("HANDLE", f"(?<!{LEFT})@[A-Za-z0-9._]*{WORD}", ""),
+    ("EMAIL", f"{LEFT}+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]*[A-Za-z0-9])+", ""),
+    ("UPI", f"(?i){LEFT}+@(?:{'|'.join(SUFFIXES)})(?![A-Za-z0-9-])", ""),
+    ("UPI", f"(?<!{LEFT})(?=[A-Za-z]*[0-9._-]){LEFT}+@[A-Za-z0-9-]*[A-Za-z0-9]", ""),
+    ("PAN", f"(?<!{WORD})[A-Z]{{5}}[0-9]{{4}}[A-Z](?!{WORD})", ""),
+    ("ACCOUNT", f"(?:[Xx*•]{{2,}}[ -]?)+[0-9]{{2,6}}(?!{WORD})", ""),
+    ("PHONE", digits("[+][0-9]", 9, 13), ""),  # with a country's code
+    ("PHONE", digits("[+]?[6-9]", 9, 9), ""),  # a mobile number
+    ("PHONE", digits("[+]?9[ -]?1[ -]?[6-9]", 9, 9), ""),
+    ("PHONE", digits("[+]?0", 9, 12), ""),  # a trunk call
+    ("PHONE", digits("[+]?1[ -]?8[ -]?[06][ -]?0", 6, 7), ""),  # toll-free
+    ("ID_NUMBER", digits("[+]?[0-9]", 11, 11), ""),
+    ("CARD", digits("[+]?[0-9]", 14, 15), ""),
+    ("ACCOUNT", digits("[+]?[0-9]", 8), ""),
+]
+
+
 def pii_flags(t: Column) -> dict[str, Column]:
     """What a masked text must not hold: a long digit run, a handle, an address, a PAN, an unknown placeholder, glued text."""
-    parts = F.arrays_zip(F.regexp_extract_all(t, F.lit(ADDRESS), F.lit(1)).alias("l"), F.regexp_extract_all(t, F.lit(ADDRESS), F.lit(2)).alias("r"))
-    address = F.exists(parts, lambda x: (x["l"] != "") & (F.lower(x["r"]).isin(*BANK_SUFFIXES) | x["l"].rlike("[0-9._-]") | x["r"].contains(".")))
+    sides = [F.regexp_extract_all(t, F.lit(ADDRESS), F.lit(k)) for k in (1, 2)]
+    personal = F.zip_with(*sides, lambda left, right: (left != "") & (F.lower(right).isin(*SUFFIXES) | left.rlike("[0-9._-]") | right.contains(".")))
+    named = F.regexp_extract_all(t, F.lit("\\[([^\\]]*)\\]"), F.lit(1))
     return {
-        "digits": t.rlike("[0-9](?:[ -]?[0-9]){8,}"), "handle": t.rlike("(?:^|[^A-Za-z0-9._-])@[A-Za-z0-9.-]"), "address": address,
-        "pan": t.rlike("(?<![A-Za-z0-9_])[A-Z]{5}[0-9]{4}[A-Z](?![A-Za-z0-9_])"),
-        "unknown_placeholder": F.size(F.array_except(F.regexp_extract_all(t, F.lit("\\[([^\\]]*)\\]"), F.lit(1)), F.array(*[F.lit(p) for p in PLACEHOLDERS]))) > 0,
+        "digits": t.rlike("[0-9](?:[ -]?[0-9]){8,}"), "handle": t.rlike("(?:^|[^A-Za-z0-9._-])@[A-Za-z0-9.-]"), "address": F.exists(personal, lambda x: x),
+        "pan": t.rlike(f"(?<!{WORD})[A-Z]{{5}}[0-9]{{4}}[A-Z](?!{WORD})"), "unknown_placeholder": F.size(F.array_except(named, F.array(*[F.lit(p) for p in PLACEHOLDERS]))) > 0,
         "glued": t.rlike("\\[[A-Z_]+\\][A-Za-z0-9_]"),
     }
 
 
-def digits_kind(raw: str) -> str:
-    """PHONE, ID_NUMBER, CARD or ACCOUNT for a run of nine or more digits."""
-    d = re.sub("[^0-9]", "", raw)
-    n, mobile = len(d), lambda s: len(s) == 10 and s[0] in "6789"
-    if raw.startswith("+") and 10 <= n <= 14 or mobile(d) or n == 12 and d[:2] == "91" and mobile(d[2:]):
-        return "PHONE"
-    if d[0] == "0" and 10 <= n <= 13 or d[:4] in ("1800", "1860") and 10 <= n <= 11:
-        return "PHONE"
-    return "ID_NUMBER" if n == 12 else "CARD" if n in (15, 16) else "ACCOUNT"
-
-
-def mask(text: str) -> tuple[str, dict[str, int]]:
-    """The text with personal data as placeholders, and how many of each. Masking again changes nothing."""
-    counts: dict[str, int] = {}
-
-    def note(kind: str) -> str:
-        counts[kind] = counts.get(kind, 0) + 1
-        return f"[{kind}]"
-
-    def address(m: re.Match) -> str:
-        left, right = m[1], m[2]
-        core = right.rstrip(".-")
-        tail = right[len(core) :]
-        before = m.string[m.start() - 1] if m.start() else " "
-        if not left:
-            return note("HANDLE") + tail if core and not re.match(r"[A-Za-z0-9._-]", before) else m[0]
-        if core.lower() in BANK_SUFFIXES or re.search(r"[0-9._-]", left) or "." in core:
-            return note("EMAIL" if "." in core else "UPI") + tail
-        return m[0]
-
-    t = re.sub(r"(?i)(?<![a-z0-9_])(otp|one[- ]time (?:password|code)|verification code|cvv)([ ]*(?:is|code|no|number)?[ ]*[:=-]?[ ]*)([0-9]{3,8})(?![a-z0-9_])", lambda m: m[1] + m[2] + note("OTP"), text)
-    t = re.sub(r"(^|[^A-Za-z0-9._-])@([A-Za-z0-9._]*[A-Za-z0-9_])", lambda m: m[1] + note("HANDLE"), t)
-    t = re.sub(ADDRESS, address, t)
-    t = re.sub(r"(?<![A-Za-z0-9_])[A-Z]{5}[0-9]{4}[A-Z](?![A-Za-z0-9_])", lambda m: note("PAN"), t)
-    t = re.sub(r"(?:[Xx*•]{2,}[ -]?)+[0-9]{2,6}(?![A-Za-z0-9_])", lambda m: note("ACCOUNT"), t)
-    t = re.sub(r"\+?[0-9](?:[ -]?[0-9]){8,}", lambda m: note(digits_kind(m[0])), t)
-    return t, counts
-
-
 def scrub(df: DataFrame, text_col: str) -> DataFrame:
-    """df with masked and counts (kind to number): which label a match gets depends on the match, so this is an Arrow pass."""
-    ship(df.sparkSession)
-    schema = T.StructType([*df.schema.fields, T.StructField("masked", T.StringType()), T.StructField("counts", T.MapType(T.StringType(), T.LongType()))])
-    at = df.columns.index(text_col)
-
-    def run(batches):
-        for b in batches:
-            got = [(None, {}) if t is None else mask(t) for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([list(g[1].items()) for g in got], pa.map_(pa.string(), pa.int64()))], [*b.schema.names, "masked", "counts"])
-
-    return df.mapInArrow(run, schema)
+    """df with masked and counts (placeholder to number, of those that were put in). Masking again changes nothing; a null stays null."""
+    steps = [F.col(text_col)]
+    for label, pattern, before in MASKS:
+        steps.append(F.regexp_replace(steps[-1], pattern, f"{before}[{label}]"))
+    masked = steps[-1]
+    of = lambda c, label: F.regexp_count(c, F.lit(f"\\[{label}\\]"))
+    more = F.array(*[F.struct(F.lit(p).alias("key"), (of(F.col("masked"), p) - of(F.col(text_col), p)).cast("long").alias("value")) for p in sorted({m[0] for m in MASKS})])
+    counted = F.map_from_entries(F.filter(more, lambda x: x["value"] > 0))
+    return df.withColumn("masked", masked).withColumn("counts", F.when(F.col("masked").isNull(), F.create_map().cast("map<string,bigint>")).otherwise(counted))
+
+
+def left_over(df: DataFrame, masked_col: str = "masked") -> DataFrame:
+    """df with the names of what the masked text still holds."""
+    flags = pii_flags(F.col(masked_col))
+    return df.withColumn("left_over", F.filter(F.array(*[F.when(x, k) for k, x in flags.items()]), lambda x: x.isNotNull()))
 
 
 def mask_terms(t: Column, terms: list[str], placeholder: str) -> Column:

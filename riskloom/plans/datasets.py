@@ -108,7 +108,7 @@ HOLDOUT = """h as (select doc_id as line, case when doc_id % 53 = 0 then 'bad id
  case when doc_id % 3 = 1 then case when doc_id % 41 = 1 then 'safe' else 'kyc' end when doc_id % 43 = 0 then 'otp' else 'safe' end as attack_category,
  case source when 'src0' then 'sms' when 'src1' then 'fax' else 'email' end as source_platform, '2024-02-' || lpad((doc_id % 31 + 1)::varchar, 2, '0') as date_received,
  case when doc_id % 5 = 0 then 'true' when doc_id % 61 = 1 then 'yes' else 'false' end as contains_obfuscation from documents)"""
-SUFFIXES = ", ".join(f"'{s}'" for s in privacy.BANK_SUFFIXES)
+SUFFIXES = ", ".join(f"'{s}'" for s in privacy.SUFFIXES)
 KNOWN = ", ".join(f"'{s}'" for s in privacy.PLACEHOLDERS)
 FLAGS = {
     "digits": "regexp_matches({t}, '[0-9]([ -]?[0-9]){{8,}}')", "handle": "regexp_matches({t}, '(^|[^A-Za-z0-9._-])@[A-Za-z0-9.-]')",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import assistant, messages
+from ..operators import assistant, links, messages
 from ..sources.tables import table
 
 #: One of these comes before each turn's text, by number.
@@ -82,11 +82,27 @@ def small_talk(spark, sf_dir):
 
 
 def ask_window(spark, sf_dir):
-    return turns(spark, sf_dir).select("conv_id", "turn", messages.asks_for_secret(F.col("text")).alias("asks"))
+    """Which kinds of secrets a message asks for."""
+    p = turns(spark, sf_dir).select("conv_id", "turn", messages.prepared(F.col("text")).alias("p"))
+    return p.select("conv_id", "turn", (F.size(messages.asks_for(F.col("p"), messages.CREDENTIALS)) > 0).alias("credential"), (F.size(messages.asks_for(F.col("p"), messages.CODES)) > 0).alias("code"))
 
 
 def secrecy_guard(spark, sf_dir):
-    return turns(spark, sf_dir).select("conv_id", "turn", messages.secrecy_stands(F.col("text")).alias("stands"))
+    """Messages whose demand for secrecy counts."""
+    e = messages.evidence(turns(spark, sf_dir), "text")
+    return e.select("conv_id", "turn", F.exists("evidence", lambda x: x["rule"] == "secrecy").alias("stands"))
+
+
+def message_link_verdict(spark, sf_dir):
+    """Verdicts on messages to which the verdict on their link adds, with the family's intent and advice."""
+    d = turns(spark, sf_dir).withColumn("link", text.link_in(F.col("text")))
+    judged = links.flagged(d.select("link").where("link <> ''").distinct(), "link").select("link", links.level().alias("link_level"))
+    d = d.join(judged, "link", "left")
+    return messages.told(messages.verdict(d, "text", F.col("link_level"))).select("conv_id", "turn", "link_level", "score", "level", "family", "intent", "advice")
+
+
+def family_advice(spark, sf_dir):
+    return messages.told(message_verdict(spark, sf_dir)).select("conv_id", "turn", "level", "family", "name", "intent", "advice")
 
 
 def normalised(spark, sf_dir):
@@ -147,17 +163,62 @@ def best_known(t: str) -> str:
     return "case " + " ".join(f"when {' and '.join(f'list_has_any({tokens}, [{', '.join(repr(w) for w in g)}])' for g in groups)} then '{e}'" for _, (e, groups) in ranked) + " end"
 
 
-def rule_sql(name: str, t: str = "p") -> str:
-    return " and ".join(has(t, p) for p in messages.RULES[name][2])
+def sql_list(ws) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in dict.fromkeys(ws)) + "]"
+
+
+def sql_fold(t: str) -> str:
+    t = f"translate({t}, 'wzq', 'vjk')"
+    for pattern, to in messages.FOLDS:
+        t = f"regexp_replace({t}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
+    return t
+
+
+def found(t: str, pattern: str) -> str:
+    return f"regexp_extract_all({t}, '{edge(pattern)}', 2)"
+
+
+def asked(secrets) -> str:
+    """Whether a verb among the tokens w asks for one of the secrets."""
+    fold = lambda ws: sql_list(messages.folded(x) for x in ws)
+    undone = lambda i: f"coalesce(list_contains({sql_list(messages.AFTER)}, w[{i}]) and list_contains({fold(messages.AFTER_VERBS)}, w[{i} + 1]), false)"
+    verb = f"(list_contains({fold(messages.ASKS)}, w[i]) or coalesce(list_contains({fold(messages.STEMS)}, w[i]) and list_contains({fold(messages.HELPERS)}, w[i + 1]), false))"
+    near = f"(list_has_any(w[i + 1 : i + 6], {fold(secrets)}) or list_has_any(w[greatest(1, i - 3) : i - 1], {fold(secrets)}))"
+    return f"len(list_filter(range(1, len(w) + 1), lambda i: {verb} and not list_has_any(w[greatest(1, i - 5) : i - 1], {fold(messages.NEGATORS)}) and not {undone('i + 1')} and not {undone('i + 2')} and {near})) > 0"
+
+
+def demands(t: str, pattern: str) -> str:
+    about = lambda x: f"coalesce(regexp_matches({x}, '{edge(messages.ABOUT)}'), false)"
+    return f"list_transform(list_filter(range(1, len({t}) + 1), lambda i: regexp_matches({t}[i], '{edge(pattern)}') and (ac or ao or not ({about(f'{t}[i]')} or {about(f'{t}[i - 1]')}))), lambda i: regexp_extract({t}[i], '{edge(pattern)}', 2))"
+
+
+def rule_count(rule: str) -> str:
+    """How many different hits a rule has."""
+    patterns = messages.RULES[rule][2]
+    if rule in ("ask-credential", "ask-secret"):
+        return f"case when {'ac' if rule == 'ask-credential' else 'ao'} then 1 else 0 end"
+    if rule == "secrecy":
+        return f"len(list_distinct(list_concat({demands('ps', patterns[0])}, {demands('fs', messages.feed(rule))})))"
+    where = " and ".join([*(has("p", x) for x in patterns), *([has("regexp_replace(p, '(will|would|shall|they|he|she) (return|refund|send)', '', 'g')", patterns[2])] if rule == "wrong-transfer" else [])])
+    own = f"case when {where} then {found('p', patterns[0])} else [] end"
+    return f"len(list_distinct(list_concat({own}, {found('f', messages.feed(rule))})))" if rule in messages.FEEDS else f"len(list_distinct({own}))"
 
 
+ASKING = edge("|".join(w for w in messages.ASKS if w.isascii()))
+AT_DOOR = f"array_to_string(list_transform(string_split_regex(p, '{messages.SENTENCE_END}'), lambda s: case when {has('s', messages.DOOR)} and {has('s', 'otp')} then regexp_replace(s, '{ASKING}', '\\1x\\3', 'g') else s end), ' ')"
+PAIRED = f"regexp_replace(case when p like '%delivery%' then {AT_DOOR} else p end, '(card|bank|account|security|verification) (number|details|code)', '\\1\\2', 'g')"
+READ = f"""with {TURNS}, m as (select conv_id, turn, {PREPARED} as p from turns), g as (select *, {sql_fold('p')} as f, regexp_extract_all({sql_fold(PAIRED)}, '{messages.TOKEN.replace("'", "''")}') as w from m),
+ k as (select *, string_split_regex(p, '{messages.SENTENCE_END}') as ps, string_split_regex(f, '{messages.SENTENCE_END}') as fs, {asked(messages.CREDENTIALS)} as ac, {asked(messages.CODES)} as ao from g),
+ c as (select conv_id, turn, p, ac, ao, {', '.join(f"{rule_count(r)} as n{i}" for i, r in enumerate(messages.RULES))} from k)"""
 FIRED = f"with {TURNS}, m as (select conv_id, turn, {PREPARED} as p from turns)"
 INTENT = ", ".join(f"{{'n': {' + '.join(f'{has('p', w)}::int' for w in words)}, 'i': {-i}, 'k': '{k}'}}" for i, (k, words) in enumerate(messages.INTENTS))
 TOPIC = f"case when len(list_filter(string_split(p, ' '), lambda w: w <> '')) <= 14 then case {' '.join(f"when regexp_matches(p, '{pat}') then '{k}'" for k, pat in assistant.TOPICS)} end end"
 DANGLING = ", ".join(f"'{w}'" for w in assistant.DANGLING)
 
 SQL = {
-    "rules_fired": f"{FIRED} select conv_id, turn, array_to_string(list_sort(list_filter([{', '.join(f"case when {rule_sql(r)} then '{r}' end" for r in messages.RULES)}], lambda x: x is not null)), ',') as rules from m",
+    "rules_fired": f"{READ} select conv_id, turn, array_to_string(list_sort(list_filter([{', '.join(f"case when n{i} > 0 then '{r}' end" for i, r in enumerate(messages.RULES))}], lambda x: x is not null)), ',') as rules from c",
+    "ask_window": f"{READ} select conv_id, turn, ac as credential, ao as code from c",
+    "secrecy_guard": f"{READ} select conv_id, turn, n{list(messages.RULES).index('secrecy')} > 0 as stands from c",
     "intent_top1": f"{FIRED}, i as (select conv_id, turn, list_sort([{INTENT}], 'desc')[1] as b from m) select conv_id, turn, case when b.n > 0 then b.k end as intent from i",
     "money_loss": f"{FIRED} select conv_id, turn, {has('p', messages.LOSS)} as loss from m",
     "small_talk": f"with {BARE}, m as (select conv_id, turn, {PREPARED} as p from bare) select conv_id, turn, case {' '.join(f"when regexp_matches(p, '{p.replace('(?![a-z])', '($|[^a-z])')}') then '{k}'" for k, p in messages.SMALL_TALK)} end as kind from m",
@@ -170,15 +231,16 @@ SQL = {
  p as (select conv_id, turn, tk, unnest(range(0, len(tk))) as pos from k), h as (select conv_id, turn, pos, id, ord, phrase from p, l where array_to_string(tk[pos + 1 : pos + len(string_split(phrase, ' '))], ' ') = phrase and len(tk) >= pos + len(string_split(phrase, ' ')))
  select conv_id, turn, pos::int as pos, id, arg_min(phrase, ord) as phrase from h group by 1, 2, 3, 4""",
 }
-LEVELS = f"""{FIRED}, f as (select conv_id, turn, {', '.join(f"case when {rule_sql(r)} then len(list_distinct(regexp_extract_all(p, '{edge(messages.RULES[r][2][0])}', 2))) else 0 end as n{i}" for i, r in enumerate(messages.RULES))} from m)"""
 SCORE = " + ".join(f"case when n{i} > 0 then {w}{f' + least(2, n{i} - 1)' if w >= 2 else ''} else 0 end" for i, (w, _, _) in enumerate(messages.RULES.values()))
 FAMILY = "case " + " ".join(f"when {' or '.join(f'n{i} > 0' for i, (_, g, _) in enumerate(messages.RULES.values()) if g == f)} then '{f}'" for f in messages.FAMILIES) + " end"
-VERDICTS = f"{LEVELS}, v as (select conv_id, turn, {SCORE} as score, {FAMILY} as family from f), lv as (select *, case when score >= 5 then 'scam' when score >= 3 then 'suspicious' else 'nothing' end as level from v)"
+VERDICTS = f"{READ}, v as (select conv_id, turn, {SCORE} as score, {FAMILY} as family from c), lv as (select *, case when score >= 5 then 'scam' when score >= 3 then 'suspicious' else 'nothing' end as level from v)"
 SQL["message_verdict"] = f"{VERDICTS} select conv_id, turn, score, level, family from lv"
+ADVICE = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in (k, *v)) + ")" for k, v in messages.ABOUT_FAMILIES.items())
+SQL["family_advice"] = f"{VERDICTS} select conv_id, turn, level, family, a.name, case when level <> 'nothing' then a.intent end as intent, case when level <> 'nothing' then a.advice else 'Nothing known was found; that does not make it genuine.' end as advice from lv left join (values {ADVICE}) a(fam, name, intent, advice) on fam = family"
 SQL["verdict_by_role"] = f"{VERDICTS} select role, level, count(*) as n, sum(score)::bigint as score from lv join conversations c using (conv_id, turn) group by 1, 2"
 SQL["followup_asof"] = f"""{VERDICTS}, t as (select conv_id, turn, turn * (600 + conv_id % 7 * 900) as s, case when level <> 'nothing' then level end as v from lv)
  select a.conv_id, a.turn, (select arg_max(b.v, b.s) from t b where b.conv_id = a.conv_id and b.v is not null and b.s < a.s and b.s >= a.s - 3600) as remembered from t a"""
 QUERIES = {f.__name__: f for f in (
-    phrase_hits, rules_fired, rule_weights, message_verdict, verdict_by_role, intent_top1, money_loss, small_talk, ask_window, secrecy_guard, normalised, link_in_text, followup_topic, followup_asof, followup_replies,
+    phrase_hits, rules_fired, rule_weights, message_verdict, verdict_by_role, intent_top1, money_loss, small_talk, ask_window, secrecy_guard, message_link_verdict, family_advice, normalised, link_in_text, followup_topic, followup_asof, followup_replies,
     route_case, incomplete_utterance, questions, knowledge_idf, knowledge_route,
 )}
