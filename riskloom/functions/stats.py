@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,12 +55,31 @@ def psi(counts: DataFrame, expected: str, actual: str, floor: float = 1e-4) -> D
     return shares.agg(F.when((F.max("_e") > 0) & (F.max("_a") > 0), F.sum((F.col("pa") - F.col("pe")) * F.log(F.col("pa") / F.col("pe")))).alias("psi"))
 
 
+def running(counts: DataFrame, order: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
+    """counts with each sum (new name: column) over the rows up to and with each one in order of `order`, which is unique.
+
+    Rows are dealt into stretches of the order by cuts of its quantiles, as many as there are shuffle partitions; each stretch is
+    summed by itself, and the stretches' totals (a row each) are added.
+    """
+    n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = counts.withColumn("_x", F.col(order).cast("double"))
+    cuts = sorted(set(place.approxQuantile("_x", [i / n for i in range(1, max(2, n))], 0.01))) or [0.0]
+    dealt = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_x", outputCol="_part", handleInvalid="keep").transform(place)
+    way = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
+    within = Window.partitionBy("_part").orderBy(way(order)).rowsBetween(Window.unboundedPreceding, 0)
+    parts = dealt.groupBy("_part").agg(*[F.sum(c).alias(f"_{k}") for k, c in sums.items()])
+    before = Window.orderBy(way("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("_part", *[F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in sums])  # at most n + 1 rows
+    own = dealt.withColumns({k: F.sum(c).over(within) for k, c in sums.items()}).join(F.broadcast(offsets), "_part")
+    return own.withColumns({k: F.col(k) + F.col(f"_{k}") for k in sums}).drop("_x", "_part", *[f"_{k}" for k in sums])
+
+
 def auc(df: DataFrame, score: Column, positive: Column, by: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve, ties counting half; null without positives or negatives. Rows meet as counts of each score."""
     by = by or []
     counts = df.groupBy(*by, score.alias("score")).agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
     w = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    below = counts.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    below = counts.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0))) if by else running(counts, "score", {"upto": "neg"}).withColumn("below", F.col("upto") - F.col("neg"))
     wins = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
     return below.groupBy(*by).agg(F.when((F.sum("pos") > 0) & (F.sum("neg") > 0), wins / F.nullif(F.sum("pos").cast("double") * F.sum("neg"), F.lit(0.0))).alias("auc"))
 
@@ -76,7 +96,8 @@ def ceil_rank(df: DataFrame, value: str, q: float, by: list[str] | None = None)
 
 def _at_rank(df: DataFrame, value: str, by: list[str], place) -> DataFrame:
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    each = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    upto = counts.withColumn("upto", F.sum("n").over(each)) if by else running(counts, value, {"upto": "n"})
     total = counts.groupBy(*by).agg(F.sum("n").alias("total"))
     joined = upto.join(total, by) if by else upto.crossJoin(F.broadcast(total))  # one row of totals
     return joined.where(F.col("upto") >= place(F.col("total"))).groupBy(*by).agg(F.min(value).alias(value))

@@ -87,12 +87,15 @@ def speech_provider(agent: Column) -> Column:
     return F.when(agent.rlike("Edg/"), "edge").when(agent.rlike("OPR/|SamsungBrowser"), "none").when(agent.rlike("Chrome/"), "google").when(agent.rlike("Safari/"), "apple").otherwise("none")
 
 
-def reachable(edges: DataFrame, start: str, hops: int = 12) -> DataFrame:
-    """flow and node of a dialogue graph (flow, node, next) within some steps of each flow's start."""
-    seen = edges.where(F.col("node") == start).select("flow", "node").distinct()
-    for _ in range(hops):
-        seen = seen.union(seen.join(edges, ["flow", "node"]).select("flow", F.col("next").alias("node"))).distinct()
-    return seen
+def reachable(edges: DataFrame, start: str) -> DataFrame:
+    """flow and node of a dialogue graph (flow, node, next) that steps from each flow's start lead to, however many; circles end."""
+    spark, seen = edges.sparkSession, 0
+    walk = edges.where(F.col("node") == start).select("flow", "node").distinct()
+    while (n := walk.count()) > seen:  # a dialogue graph is written by hand: a few hundred nodes
+        seen = n
+        more = walk.join(edges, ["flow", "node"]).select("flow", F.col("next").alias("node")).where("node is not null")
+        walk = spark.createDataFrame(walk.union(more).distinct().collect(), walk.schema)
+    return walk
 
 
 def quiz_scores(answers: DataFrame, key: DataFrame, messages_by_score: dict[int, str]) -> DataFrame:

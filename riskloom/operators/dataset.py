@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import dedup_key
@@ -10,11 +10,11 @@ from .privacy import pii_flags
 
 #: Enumerations of the labelled-message table. (Fixed values.)
 LANGUAGES = ["en", "hi", "hinglish"]
-CATEGORIES = ["otp", "kyc", "upi", "parcel", "job", "investment", "prize", "loan", "arrest", "sextortion", "safe"]
-PLATFORMS = ["sms", "whatsapp", "telegram", "email", "call", "social", "other"]
+CATEGORIES = ["upi_collect", "digital_arrest", "kyc_pan_block", "job_fraud", "electricity_disconnect", "investment_scam", "loan_app", "sextortion", "sim_swap", "other_scam", "safe"]
+PLATFORMS = ["sms", "whatsapp", "telegram", "email", "social_media", "advisory_quote", "other"]
 #: Least rows, shares (percent) and rows of each category for a stage. (Fixed values.)
 STAGES = {"s0": {"rows": 200, "language": 15.0, "safe": 25.0, "obfuscated": 5.0, "category": 0}, "s1": {"rows": 1000, "language": None, "safe": 25.0, "obfuscated": 10.0, "category": 20}}
-TARGET_MIX = {"en": 40.0, "hi": 30.0, "hinglish": 30.0}
+TARGET_MIX = {"en": 30.0, "hi": 40.0, "hinglish": 30.0}
 TOLERANCE = 5.0
 
 
@@ -28,9 +28,10 @@ def row_errors(df: DataFrame, today: str) -> DataFrame:
     c = F.col
     key = dedup_key(c("raw_text_scrubbed"))
     kept = df.withColumn("key", key)
-    first_id = F.row_number().over(Window.partitionBy("id").orderBy("line")) > 1
-    first_key = F.row_number().over(Window.partitionBy("key").orderBy("line")) > 1
-    marked = kept.withColumn("again_id", first_id).withColumn("again_key", first_key & (F.length("key") >= 10))
+    # A row repeats an id or key unless it is the first line of it: least lines are combined before the shuffle, and rows meet them.
+    first = lambda k: kept.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("line").alias(f"first_{k}"))
+    marked = kept.join(first("id"), "id", "left").join(first("key"), "key", "left")
+    marked = marked.withColumns({"again_id": F.coalesce(F.col("line") > F.col("first_id"), F.lit(False)), "again_key": F.coalesce((F.col("line") > F.col("first_key")) & (F.length("key") >= 10), F.lit(False))})
     flags = pii_flags(c("raw_text_scrubbed"))
     shape = c("id").rlike("^[A-Za-z0-9_-]+$")
     rules = {

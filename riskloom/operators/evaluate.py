@@ -52,7 +52,7 @@ def drift(df: DataFrame, bucket: str, order: list[str], least: int = 40) -> Data
     first = order[0]
     n = df.agg(F.count("*").alias("total"))
     per = df.groupBy(first).agg(F.count("*").alias("c"))
-    upto = per.select(first, (F.sum("c").over(Window.orderBy(first).rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")).alias("before"))
+    upto = stats.running(per, first, {"upto": "c"}).select(first, (F.col("upto") - F.col("c")).alias("before"))
     w = Window.partitionBy(first).orderBy(*order[1:])
     ranked = df.join(upto, first).withColumn("rank", F.col("before") + F.row_number().over(w)).crossJoin(F.broadcast(n))  # one row
     counts = ranked.groupBy(bucket).agg(F.count_if(F.col("rank") <= F.floor(F.col("total") / 2)).alias("e"), F.count_if(F.col("rank") > F.floor(F.col("total") / 2)).alias("a"))
@@ -63,9 +63,8 @@ def drift(df: DataFrame, bucket: str, order: list[str], least: int = 40) -> Data
 def pick_threshold(df: DataFrame, score: Column, positive: Column, target: float) -> DataFrame:
     """The threshold of best recall whose precision's lower bound reaches the target; ties go to the higher one."""
     counts = df.groupBy(score.alias("threshold")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
-    w = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
     total = counts.agg(F.sum("p").alias("positives"))
-    run = counts.select("threshold", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp")).crossJoin(F.broadcast(total))  # one row
+    run = stats.running(counts, "threshold", {"tp": "p", "fp": "n"}, descending=True).select("threshold", "tp", "fp").crossJoin(F.broadcast(total))  # one row
     lo, _ = stats.wilson(F.col("tp"), F.col("tp") + F.col("fp"))
     ok = run.withColumn("lo", lo).where(F.col("lo") >= target)
     best = ok.agg(F.max_by(F.struct("threshold", "tp", "fp", "positives", "lo"), F.struct("tp", "threshold")).alias("b")).where("b is not null")

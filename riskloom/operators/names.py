@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import urls
+from ..functions import stats, urls
 
 BUCKETS = 1 << 14
 KEYWORDS = ["account", "bank", "free", "login", "offer", "pay", "secure", "update", "verify", "win"]
@@ -56,7 +56,7 @@ def in_scope(host: Column, platforms: list[str]) -> Column:
 def edges(df: DataFrame, value: str, bins: int) -> DataFrame:
     """Values at place floor(i n / bins) of the sorted values, i from 1 to bins - 1; places come from counts of each value."""
     counts = df.groupBy(value).agg(F.count("*").alias("c"))
-    upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    upto = stats.running(counts, value, {"upto": "c"})
     wanted = df.agg(F.count("*").alias("n")).select(F.explode(F.sequence(F.lit(1), F.lit(bins - 1))).alias("i"), "n").select("i", F.floor(F.col("i") * F.col("n") / bins).alias("place"))
     met = upto.join(F.broadcast(wanted), F.col("upto") > F.col("place"))  # bins - 1 rows
     return met.groupBy("i").agg(F.min(value).alias("edge"))

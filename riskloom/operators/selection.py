@@ -20,10 +20,11 @@ def prepared(rows: DataFrame, id_col: str, text: Column, positive: Column, seed:
 
 def leaked(base: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Keys that are nearly equal to a key of another fold: their rows are not held out. Equal keys share a fold."""
-    pairs = leakage.similar_keys(base.select("key"), threshold)
-    at = base.select("key", "fold").distinct()
-    both = pairs.join(at.select(F.col("key").alias("a"), F.col("fold").alias("fa")), "a").join(at.select(F.col("key").alias("b"), F.col("fold").alias("fb")), "b").where("fa <> fb")
-    return both.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    each = base.select("key", "fold").distinct().withColumn("digest", leakage.digest(F.col("key")))
+    pairs = leakage.similar_keys(each.select(F.col("digest").alias("key"), leakage.token_hashes(F.col("key")).alias("tokens")), threshold)
+    at = each.select("digest", "fold")
+    both = pairs.join(at.select(F.col("digest").alias("a"), F.col("fold").alias("fa")), "a").join(at.select(F.col("digest").alias("b"), F.col("fold").alias("fb")), "b").where("fa <> fb")
+    return each.join(both.select(F.explode(F.array("a", "b")).alias("digest")).distinct(), "digest", "left_semi").select("key").distinct()
 
 
 def cross_validate(base: DataFrame, margins: list[float], least: int = 5, near: DataFrame | None = None, folds: int = FOLDS) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import stats
 from . import textmodel
 
 WIDTH = 1 << 14
@@ -43,7 +44,7 @@ def threshold_at(rows: DataFrame, score: Column, positive: Column, most_false: f
     """The threshold just above the score with ceil(n (1 - most_false)) negatives before it (the last at most)."""
     counts = rows.where(~positive).groupBy(score.alias("s")).agg(F.count("*").alias("c"))
     total = counts.agg(F.sum("c").alias("n"))
-    upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0))).crossJoin(F.broadcast(total))  # one row
+    upto = stats.running(counts, "s", {"upto": "c"}).crossJoin(F.broadcast(total))  # one row
     return upto.where(F.col("upto") >= F.least(F.col("n"), F.ceil(F.col("n") * (1 - most_false)) + 1)).agg((F.min("s") + 1e-9).alias("threshold"))
 
 

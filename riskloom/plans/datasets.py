@@ -81,7 +81,7 @@ def holdout(spark, sf_dir):
     return docs(spark, sf_dir).select(
         i.alias("line"), F.when(i % 53 == 0, "bad id").when(i % 59 == 1, "m1").otherwise(F.concat(F.lit("m"), i.cast("string"))).alias("id"), F.col("text").alias("raw_text_scrubbed"),
         F.when(F.col("lang") == "en", "en").when(F.col("lang") == "fr", "hi").when(F.col("lang") == "de", "hinglish").otherwise(F.col("lang")).alias("language_tag"),
-        (i % 3 % 2).cast("string").alias("is_scam"), F.when(i % 3 == 1, F.when(i % 41 == 1, "safe").otherwise("kyc")).when(i % 43 == 0, "otp").otherwise("safe").alias("attack_category"),
+        (i % 3 % 2).cast("string").alias("is_scam"), F.when(i % 3 == 1, F.when(i % 41 == 1, "safe").otherwise("kyc_pan_block")).when(i % 43 == 0, "sim_swap").otherwise("safe").alias("attack_category"),
         F.when(F.col("source") == "src0", "sms").when(F.col("source") == "src1", "fax").otherwise("email").alias("source_platform"),
         F.concat(F.lit("2024-02-"), F.lpad((i % 31 + 1).cast("string"), 2, "0")).alias("date_received"), F.when(i % 5 == 0, "true").when(i % 61 == 1, "yes").otherwise("false").alias("contains_obfuscation"),
     )
@@ -105,7 +105,7 @@ def source_share(spark, sf_dir):
 
 HOLDOUT = """h as (select doc_id as line, case when doc_id % 53 = 0 then 'bad id' when doc_id % 59 = 1 then 'm1' else 'm' || doc_id end as id, text as raw_text_scrubbed,
  case lang when 'en' then 'en' when 'fr' then 'hi' when 'de' then 'hinglish' else lang end as language_tag, (doc_id % 3 % 2)::varchar as is_scam,
- case when doc_id % 3 = 1 then case when doc_id % 41 = 1 then 'safe' else 'kyc' end when doc_id % 43 = 0 then 'otp' else 'safe' end as attack_category,
+ case when doc_id % 3 = 1 then case when doc_id % 41 = 1 then 'safe' else 'kyc_pan_block' end when doc_id % 43 = 0 then 'sim_swap' else 'safe' end as attack_category,
  case source when 'src0' then 'sms' when 'src1' then 'fax' else 'email' end as source_platform, '2024-02-' || lpad((doc_id % 31 + 1)::varchar, 2, '0') as date_received,
  case when doc_id % 5 = 0 then 'true' when doc_id % 61 = 1 then 'yes' else 'false' end as contains_obfuscation from documents)"""
 SUFFIXES = ", ".join(f"'{s}'" for s in privacy.SUFFIXES)
@@ -208,7 +208,7 @@ def leak_exact(spark, sf_dir):
 def leak_near(spark, sf_dir):
     """Pairs of different keys' first documents with Jaccard likeness of 0.85 or more; membership is dedup_first_line's."""
     keyed = leakage.keyed(docs(spark, sf_dir), "doc_id", "text")
-    first = keyed.groupBy("key").agg(F.min("id").alias("id"))
+    first = keyed.groupBy("key").agg(F.min("id").alias("id"), F.first("tokens").alias("tokens"))
     pairs = leakage.similar_keys(first, 0.85)
     a, b = first.select(F.col("key").alias("a"), F.col("id").alias("x")), first.select(F.col("key").alias("b"), F.col("id").alias("y"))
     return pairs.join(a, "a").join(b, "b").select(F.least("x", "y").alias("first_id"), F.greatest("x", "y").alias("second_id"), F.round("jaccard", 6).alias("jaccard"))

@@ -8,9 +8,9 @@ from ..functions import text, urls
 from ..operators import links, names
 from ..sources.tables import table
 
-#: One of these stands for each page, by its number: pages' own addresses, and forms that pages don't have.
+#: Forms that pages' own addresses don't have; one is planted beside each page, by its number.
 FORMS = [
-    "{u}", "http://sbi-kyc-verify{n}.xyz/login", "https://onlinesbi.sbi/personal/{n}", "https://sbi.co.in.account{n}.top/verify", "https://hdfcbank.com@198.51.100.7/x{n}",
+    "https://sub.example.net/{n}", "http://sbi-kyc-verify{n}.xyz/login", "https://onlinesbi.sbi/personal/{n}", "https://sbi.co.in.account{n}.top/verify", "https://hdfcbank.com@198.51.100.7/x{n}",
     "http://203.0.113.9/kyc/{n}.apk", "https://bit.ly/a{n}", "https://www.google.com/url?q=http://icici-reward{n}.click/claim", "<https://blog.example.org/{n}>.",
     "https://incometax.gov.in/refund/{n}", "https://phonepee.in/{n}", "https://shop{n}.example.com/paytm/login.php", "https://a.b.c.d{n}.example.org/path", "https://free-gift-for-you{n}.tk/claim?site=icicibank.com",
     "javascript:alert({n})", "upi://pay?pa=shop{n}@okaxis&pn=SBI%20Support&am=500", "mailto:a{n}@example.com", "ftp://files.example.org/{n}", "not a link {n}", "https://netflix-login{n}.example.net/account/verify",
@@ -18,12 +18,19 @@ FORMS = [
 ]
 
 
+#: Numbers of planted addresses begin here.
+PLANTED = 1_000_000_000
+
+
 def cases(spark, sf_dir):
+    """The addresses of all pages, and the planted ones."""
     form = F.element_at(F.array(*[F.lit(f) for f in FORMS]), (F.col("page_id") % len(FORMS) + 1).cast("int"))
-    return table(spark, sf_dir, "pages").select("page_id", F.replace(F.replace(form, F.lit("{u}"), F.col("url")), F.lit("{n}"), F.col("page_id").cast("string")).alias("link"))
+    pages = table(spark, sf_dir, "pages").withColumn("page_id", F.col("page_id").cast("long"))
+    planted = pages.select((F.col("page_id") + PLANTED).alias("page_id"), F.replace(form, F.lit("{n}"), F.col("page_id").cast("string")).alias("link"))
+    return pages.select("page_id", F.col("url").alias("link")).unionByName(planted)
 
 
-CASES = f"cases as (select page_id, replace(replace([{', '.join(chr(39) + f + chr(39) for f in FORMS)}][page_id % {len(FORMS)} + 1], '{{u}}', url), '{{n}}', page_id::varchar) as link from pages)"
+CASES = f"cases as (select page_id, url as link from pages union all select page_id + {PLANTED}, replace([{', '.join(chr(39) + f + chr(39) for f in FORMS)}][page_id % {len(FORMS)} + 1], '{{n}}', page_id::varchar) from pages)"
 DOUBLE = ", ".join(f"'{s}'" for s in urls.DOUBLE_SUFFIXES)
 
 

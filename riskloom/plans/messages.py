@@ -18,20 +18,25 @@ OPENINGS = [
 LEXICON = {"pay": ["pay a processing fee", "pay now"], "call": ["stay on the video call", "call us back", "call"], "won": messages.expand("you [have ]won"), "secret": messages.expand("do not (tell|inform) anyone"), "share": ["share the otp", "share your otp"]}
 
 
+#: Turn numbers of planted utterances begin here.
+PLANTED = 1_000_000
+
+
 def turns(spark, sf_dir):
     form = F.element_at(F.array(*[F.lit(o) for o in OPENINGS]), ((F.col("conv_id") * 7 + F.col("turn") * 3) % len(OPENINGS) + 1).cast("int"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.concat(form, "text").alias("text"))
 
 
 def bare(spark, sf_dir):
-    """Openings alone, for what depends on how short an utterance is."""
+    """All turns as they are, and each one's opening alone (turn numbers from PLANTED on), for what depends on how short an utterance is."""
     form = F.element_at(F.array(*[F.lit(o) for o in OPENINGS]), ((F.col("conv_id") * 7 + F.col("turn") * 3) % len(OPENINGS) + 1).cast("int"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.rtrim(form).alias("text"))
+    t = table(spark, sf_dir, "conversations")
+    return t.select("conv_id", "turn", "text").unionByName(t.select("conv_id", (F.col("turn") + PLANTED).cast(t.schema["turn"].dataType).alias("turn"), F.rtrim(form).alias("text")))
 
 
 OPEN = f"[{', '.join(chr(39) + o.replace(chr(39), chr(39) * 2) + chr(39) for o in OPENINGS)}][(conv_id * 7 + turn * 3) % {len(OPENINGS)} + 1]"
 TURNS = f"turns as (select conv_id, turn, role, {OPEN} || text as text from conversations)"
-BARE = f"bare as (select conv_id, turn, rtrim({OPEN}, ' ') as text from conversations)"
+BARE = f"bare as (select conv_id, turn, text from conversations union all select conv_id, turn + {PLANTED}, rtrim({OPEN}, ' ') from conversations)"
 PREPARED = r"regexp_replace(trim(regexp_replace(lower(substr(text, 1, 4000)), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' '), '([0-9]),([0-9])', '\1\2', 'g')"
 
 
@@ -130,7 +135,8 @@ def followup_asof(spark, sf_dir):
 
 
 def followup_replies(spark, sf_dir):
-    d = assistant.last_verdict(timed(spark, sf_dir), "conv_id", "ts", "verdict").drop("text").join(bare(spark, sf_dir), ["conv_id", "turn"])
+    d = assistant.last_verdict(timed(spark, sf_dir), "conv_id", "ts", "verdict").select("conv_id", F.col("turn").alias("of"), "remembered")
+    d = bare(spark, sf_dir).withColumn("of", F.col("turn") % PLANTED).join(d, ["conv_id", "of"])
     return d.select("conv_id", "turn", assistant.followup_reply(assistant.followup_topic(F.col("text")), F.coalesce("remembered", F.lit("none"))).alias("reply"))
 
 

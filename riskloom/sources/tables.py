@@ -108,7 +108,9 @@ def write_json_report(df: DataFrame, path: str) -> None:
 
 
 def markdown(df: DataFrame, most: int = 200) -> str:
-    """A small aggregate as a Markdown table."""
-    rows = df.limit(most).collect()
+    """A small aggregate as a Markdown table; more than `most` rows fail, as none may be left out."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows: aggregate it first, or raise `most`")
     head = f"| {' | '.join(df.columns)} |\n|{'---|' * len(df.columns)}"
     return "\n".join([head, *(f"| {' | '.join('' if v is None else str(v) for v in r)} |" for r in rows)])

@@ -59,9 +59,17 @@ def remembered(events: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
     ).select(key, "event_id", F.timestamp_micros("micros").cast("timestamp_ntz").alias("ts"), "remembered")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names; without one, a folder of this machine, and only where Spark runs on this machine."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or "/tmp/checkpoints"
+
+
 def run_available(stream: DataFrame, folder: str | None = None) -> DataFrame:
     """What a stream gives for the files that are there now, written as Parquet; a folder given again goes on where it stopped."""
     spark = stream.sparkSession
-    folder = folder or f"{spark.sparkContext.getConf().get('spark.checkpoint.dir', '/tmp/checkpoints')}/stream-{uuid.uuid4().hex}"
+    folder = folder or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
