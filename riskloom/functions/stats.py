@@ -62,7 +62,8 @@ def running(counts: DataFrame, order: str, sums: dict[str, str], descending: boo
     summed by itself, and the stretches' totals (a row each) are added.
     """
     n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    place = counts.withColumn("_x", F.col(order).cast("double"))
+    x = F.col(order).cast("timestamp") if counts.schema[order].dataType.typeName() in ("timestamp_ntz", "date") else F.col(order)
+    place = counts.withColumn("_x", x.cast("double"))
     cuts = sorted(set(place.approxQuantile("_x", [i / n for i in range(1, max(2, n))], 0.01))) or [0.0]
     dealt = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_x", outputCol="_part", handleInvalid="keep").transform(place)
     way = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
