@@ -57,25 +57,26 @@ def svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 150) -> tuple
     """A linear machine with squared hinge loss, by accelerated gradient steps; weights, bias, and a scale for the margin."""
     n, d = x.shape
     mean = x.mean(axis=0, dtype=np.float64)
-    z = x - mean  # the one copy of the sample in double precision
-    sd = np.sqrt(np.einsum("ij,ij->j", z, z) / n) + 1e-5
-    z /= sd
+    z = x - mean.astype(np.float32)  # the one copy of the sample, in single precision as the features are
+    sd = np.sqrt(np.einsum("ij,ij->j", z, z).astype(np.float64) / n) + 1e-5
+    z /= sd.astype(np.float32)
+    times = lambda m, v: (m @ v.astype(np.float32)).astype(np.float64)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
     power = np.ones(d) / np.sqrt(d)
     for _ in range(10):
-        power = z.T @ (z @ power)
+        power = times(z.T, times(z, power))
         power /= np.linalg.norm(power) + 1e-12
-    top = float(np.linalg.norm(z @ power) ** 2) / n * 2 + 2
+    top = float(np.linalg.norm(times(z, power)) ** 2) / n * 2 + 2
     step = 1 / (2 * top * max(weight) * n / 1 + 1e-3)
     w, b, lam = np.zeros(d), 0.0, 1e-3 / c
     vw, vb = w.copy(), b
     for k in range(steps):
-        gap = np.maximum(0, 1 - y * (z @ vw + vb))
+        gap = np.maximum(0, 1 - y * (times(z, vw) + vb))
         g = -2 * weight * y * gap
-        nw, nb = vw - step * (z.T @ g + lam * vw), vb - step * g.sum()
+        nw, nb = vw - step * (times(z.T, g) + lam * vw), vb - step * g.sum()
         m = k / (k + 3)
         vw, vb, w, b = nw + m * (nw - w), nb + m * (nb - b), nw, nb
-    margins = y * (z @ w + b)
+    margins = y * (times(z, w) + b)
     return w / sd, b - float((w / sd) @ mean), 2.0 / max(1e-3, float(np.median(margins)))
 
 
