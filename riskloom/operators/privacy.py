@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 #: Placeholders that masked texts may hold. (Fixed values.)
 PLACEHOLDERS = ["ACCOUNT", "ADDRESS", "CARD", "EMAIL", "HANDLE", "ID_NUMBER", "NAME", "OTP", "PAN", "PHONE", "UPI"]
 #: What follows the `@` of payment addresses, by provider: as apps and banks publish them with the payment system's operator.
+#: Written from general knowledge; not checked against their lists.
 PAYMENT_HANDLES = {
     "PhonePe": ["ybl", "ibl", "axl"], "Google Pay": ["okaxis", "okhdfcbank", "okicici", "oksbi"], "Paytm": ["paytm", "ptaxis", "pthdfc", "ptsbi", "ptyes"], "Amazon Pay": ["apl", "yapl", "rapl"],
     "WhatsApp": ["waaxis", "wahdfcbank", "waicici", "wasbi"], "BHIM": ["upi"], "CRED": ["axisb", "yescred"], "Jupiter": ["jupiteraxis"], "MobiKwik": ["ikwik"], "Freecharge": ["freecharge"], "Airtel": ["airtel"],
