@@ -11,6 +11,7 @@ equal predictions. Ties go to the language that comes first by code point.
 
 from __future__ import annotations
 
+import zlib
 from itertools import combinations
 
 import numpy as np
@@ -158,7 +159,7 @@ def lowered(texts: pa.Array) -> pa.Array:
 
 
 def fit_language_model(docs: DataFrame, text_col: str, label_col: str, id_col: str, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Machines fitted on at most per_language labelled rows of each language; only their features reach the driver."""
+    """Machines fitted on at most per_language labelled rows of each language; only their features reach the driver, compressed, as most are 0."""
     prepare(docs.sparkSession)
     labelled = docs.where(quoted(label_col).isNotNull() & quoted(text_col).isNotNull()).select(quoted(label_col).cast("string").alias("label"), quoted(id_col).alias("id"))
     # Rows whose hash is so low that they are likely among the lowest per_language of their language: few enough to be ranked.
@@ -173,14 +174,15 @@ def fit_language_model(docs: DataFrame, text_col: str, label_col: str, id_col: s
     def features(texts):
         out = []
         for i, j in passes(texts, 1 << 18):
-            out += frequencies(*utf8(lowered(texts.slice(i, j - i)))).tolist()
-        return [pa.array([np.array(x, np.float32).tobytes() for x in out], pa.binary())]
+            out += [zlib.compress(row, 1) for row in frequencies(*utf8(lowered(texts.slice(i, j - i))))]
+        return [pa.array(out, pa.binary())]
 
     got = with_arrow(rows, ["text"], [T.StructField("x", T.BinaryType())], features, ["label"]).collect()
     got = sorted((r["label"], r["x"]) for r in got)
-    labels, x = [label for label, _ in got], np.frombuffer(b"".join([x for _, x in got]), np.float32).reshape(len(got), sum(SIZES))
-    del got
-    return Model(x, labels)
+    x = np.empty((len(got), sum(SIZES)), np.float32)
+    for row, (_, packed) in zip(x, got):
+        row[:] = np.frombuffer(zlib.decompress(packed), np.float32)
+    return Model(x, [label for label, _ in got])
 
 
 def detect_language(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
