@@ -39,17 +39,23 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def read_vocabulary(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Tokens' bytes and special tokens' strings, each with its id, of a tokenizers JSON file."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    to_byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
+    specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    return {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in specials}, specials
+
+
 class ByteBpe:
     """A byte-level BPE of a tokenizers JSON file, run by tiktoken."""
 
     def __init__(self, path: str):
         import tiktoken
 
-        spec = json.load(open(path, encoding="utf-8"))
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        to_byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
-        specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in specials}
+        ranks, specials = read_vocabulary(path)
         self.enc = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=specials)
         self.specials = specials
         self.piece = self.enc._core_bpe.encode_single_piece
@@ -150,15 +156,22 @@ class ByteBpe:
                 return [*left[: len(left) - a], *window, *right[b:]]
             k *= 2
 
-    def decode(self, ids: np.ndarray) -> str:
-        return self.enc.decode_bytes(ids.tolist()).decode("utf-8", errors="replace")
-
-
 @functools.lru_cache(maxsize=2)
 def tokenizer(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+@functools.lru_cache(maxsize=2)
+def token_bytes(path: str) -> dict[int, bytes]:
+    """The bytes of each id: all that decoding needs."""
+    ranks, specials = read_vocabulary(path)
+    return {i: b for b, i in ranks.items()} | {i: s.encode() for s, i in specials.items()}
+
+
+def decode(ids: np.ndarray, path: str) -> str:
+    return b"".join(map(token_bytes(path).__getitem__, ids.tolist())).decode("utf-8", errors="replace")
+
+
 def packed(ids: list[int]) -> bytes:
     return np.array(ids, dtype="<u4").tobytes()
 
@@ -175,8 +188,8 @@ def bpe_encode(docs: DataFrame, text_col: str = "text", vocabulary: str | None =
 
     def here(texts):
         encode = tokenizer(path).encode
-        ids = [encode(t or "") for t in texts.to_pylist()]
-        return pa.array([packed(x) for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())
+        ids = [packed(encode(t.as_py() or "")) for t in texts]
+        return pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())
 
     short = with_arrow(docs.where(~is_long), [text_col], IDS, here, keep)
 
@@ -228,7 +241,6 @@ def bpe_decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", vo
     prepare(df.sparkSession)
 
     def run(ids):
-        decode = tokenizer(path).decode
-        return [pa.array([decode(np.frombuffer(x or b"", "<u4")) for x in ids.to_pylist()], pa.string())]
+        return [pa.array([decode(np.frombuffer(x.as_py() or b"", "<u4"), path) for x in ids], pa.string())]
 
     return with_arrow(df, [ids_col], [T.StructField(out_col, T.StringType())], run, keep)

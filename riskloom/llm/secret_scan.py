@@ -7,7 +7,7 @@ repeated sign, or an identifier whose parts are numbers or words that the vocabu
 
 Spans are in code points, end exclusive, over whole texts. Null and empty texts have no spans, an empty table gives an empty
 one; repeated rows give repeated results; spans that start together come in the order of KINDS. A column of the input named
-like the new one (in any case) is replaced by it. mask_secrets uses `__text`, `__spans` and `__masked` for itself.
+like the new one (in any case) is replaced by it. mask_secrets uses `__text` and `__masked` for itself.
 """
 
 from __future__ import annotations
@@ -131,42 +131,43 @@ def scan(text: str, path: str) -> list[tuple[str, int, int, bool]]:
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
+def scanned(texts: pa.Array, path: str) -> list[list[tuple[str, int, int, bool]]]:
+    """The spans of each text."""
+    out: list[list] = [[] for _ in range(len(texts))]
+    for i, j in passes(texts):
+        for k in suspects(*utf8(texts.slice(i, j - i))):
+            text = texts[i + int(k)].as_py()
+            if text:
+                out[i + int(k)] = scan(text, path)
+    return out
+
+
 def find_secrets(docs: DataFrame, text_col: str = "text", out_col: str = "secret_spans", vocabulary: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """docs with an array of spans (kind, start, end, base) by start, then kind as listed in KINDS; base: by a pattern."""
     path = vocabulary or default_vocabulary()
     prepare(docs.sparkSession)
 
     def run(texts):
-        out: list[list] = [[] for _ in range(len(texts))]
-        for i, j in passes(texts):
-            for k in suspects(*utf8(texts.slice(i, j - i))):
-                text = texts[i + int(k)].as_py()
-                if text:
-                    out[i + int(k)] = [dict(zip(("kind", "start", "end", "base"), s)) for s in scan(text, path)]
-        return [pa.array(out, SPANS_ARROW)]
+        return [pa.array([[dict(zip(("kind", "start", "end", "base"), s)) for s in own] for own in scanned(texts, path)], SPANS_ARROW)]
 
     return with_arrow(docs, [text_col], [T.StructField(out_col, SPANS)], run, keep)
 
 
-def mask_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
+def mask_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", vocabulary: str | None = None) -> DataFrame:
     """docs in whose texts each found span (or several that overlap) has become the mask; clean texts stay as they are."""
-    found = find_secrets(docs.withColumn("__text", quoted(text_col).cast("string")), "__text", "__spans")
+    path = vocabulary or default_vocabulary()
+    prepare(docs.sparkSession)
 
-    def run(texts, spans):
+    def run(texts):
         out = []
-        for t, own in zip(texts, spans):
-            if not len(own or ()):
-                out.append(t.as_py())
-                continue
+        for t, own in zip(texts, scanned(texts, path)):
             s, at, parts = t.as_py(), 0, []
-            for x in sorted(own.as_py(), key=lambda x: x["start"]):
-                if x["start"] >= at:
-                    parts += [s[at : x["start"]], mask]
-                at = max(at, x["end"])
-            out.append("".join([*parts, s[at:]]))
+            for _, start, end, _ in own:
+                if start >= at:
+                    parts += [s[at:start], mask]
+                at = max(at, end)
+            out.append("".join([*parts, s[at:]]) if own else s)
         return [pa.array(out, pa.string())]
 
-    clean = [c for c in docs.columns]
-    return with_arrow(found, ["__text", "__spans"], [T.StructField("__masked", T.StringType())], run, [c for c in clean if c != text_col]).select(
-        *[F.col("__masked").alias(c) if c == text_col else quoted(c) for c in clean]
-    )
+    masked = with_arrow(docs.withColumn("__text", quoted(text_col).cast("string")), ["__text"], [T.StructField("__masked", T.StringType())], run, [c for c in docs.columns if c != text_col])
+    return masked.select(*[F.col("__masked").alias(c) if c == text_col else quoted(c) for c in docs.columns])
