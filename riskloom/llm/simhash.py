@@ -262,16 +262,31 @@ def cut_edges(edges: DataFrame) -> DataFrame:
     return edges.checkpoint(eager=True)
 
 
+def row_key(row_id: Column, digest: Column) -> Column:
+    """32 bytes that stand for an id and the digest of a text (empty for a null text)."""
+    told = F.coalesce(F.concat(F.lit(b"="), row_id.cast("string").cast("binary")), F.lit(b""))
+    return F.unhex(F.sha2(F.concat(F.sha2(told, 256).cast("binary"), digest), 256))
+
+
 def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs with one row of each component: the first by id and digest of the text (of rows equal in both, one of them).
 
     A row is told by its id and text together, so null and repeated ids on texts of different components lose none of them.
+    Rows meet the ones to keep by one key, by which they are also made distinct: texts are shuffled once. Rows that are
+    repeated more often than an even share of a partition are kept once in each task before they are shuffled.
     """
     digest = F.coalesce(F.unhex(F.sha2(quoted(text_col).cast("string").cast("binary"), 256)), F.lit(b""))
     rows = docs.select(quoted(id_col).alias("__id"), digest.alias("__digest"), quoted(text_col).cast("string").alias("__text"))
     prints = cut(simhash(rows, "__text", keep=["__id", "__digest"]))
     classed = classes(prints, F.struct(F.col("__id").isNull().alias("none"), "__id", "__digest"))
-    first = classed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.__id").alias("__first"), F.col("first.__digest").alias("__of"))
-    told = docs.withColumn("__digest", digest)
-    kept = told.join(first, quoted(id_col).eqNullSafe(F.col("__first")) & (F.col("__digest") == F.col("__of")), "left_semi")
-    return kept.dropDuplicates([id_col, "__digest"]).drop("__digest")
+    first = classed.groupBy("root").agg(F.min("first").alias("first"), F.sum("rows").alias("rows"))
+    kept = cut(first.select(row_key(F.col("first.__id"), F.col("first.__digest")).alias("__key"), "rows"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = max(1, (kept.agg(F.sum("rows")).first()[0] or 0) // parts)
+    # A component of more rows than that: there are fewer of them than partitions.
+    hot = F.broadcast(kept.where(F.col("rows") > most).select("__key"))
+    cold = kept.where(F.col("rows") <= most).select("__key").hint("merge")
+    told = docs.withColumn("__key", row_key(quoted(id_col), digest))
+    many = told.join(hot, "__key", "left_semi").dropDuplicates(["__key"])
+    few = told.join(cold, "__key", "left_semi").dropDuplicates(["__key"])
+    return few.unionByName(many).drop("__key")
