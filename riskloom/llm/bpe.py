@@ -71,7 +71,7 @@ class ByteBpe:
 
     def encode(self, text: str) -> list[int]:
         """Whole text, cut into leaves and joined as the distributed path does."""
-        if len(text) <= PIECE and "<|" not in text:
+        if len(text) <= PIECE and not any(s in text for s in self.specials):
             return self.enc.encode_ordinary(text)
         out: list[int] = []
         for k, part in self.parts(text):
