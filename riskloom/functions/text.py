@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,14 +33,20 @@ def token_set(key: Column) -> Column:
     return F.array_distinct(F.filter(F.split(key, " "), lambda t: t != ""))
 
 
-def nfkc(c: Column) -> Column:
-    """Compatibility composition; Spark has no built-in form of it."""
+@functools.lru_cache(maxsize=1)
+def _composer():
+    @F.arrow_udf("string")
+    def compose(values: pa.Array) -> pa.Array:
+        if pc.all(pc.string_is_ascii(values)).as_py() is not False:
+            return values
+        return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in values.to_pylist()], pa.string())
+
+    return compose
 
-    @F.pandas_udf("string")
-    def compose(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
-    return compose(c)
+def nfkc(c: Column) -> Column:
+    """Compatibility composition; Spark has no built-in form of it. Batches of ASCII alone are passed on as they are."""
+    return _composer()(c)
 
 
 def normalise(c: Column) -> Column:

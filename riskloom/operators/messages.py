@@ -10,37 +10,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from . import lexicon
+from .lexicon import expand, fold, folded
 
 #: Families by priority: the first of a message's families names it. (Fixed values.)
 FAMILIES = ["sextortion", "arrest", "otp", "upi", "misdirected", "fee", "app", "job", "invest", "prize", "refund", "kyc", "utility", "parcel", "card", "threat", "urgency", "contact"]
 MONEY = "(?:rs[.]? ?[0-9]+|₹ ?[0-9]+|[0-9]+ ?(?:rupees|lakh|crore)|money|amount|payment)"
-#: Rules: weight, family, patterns of which every one must hold (the first one's matches are quoted). Own wording throughout.
+#: Rules: weight, family, patterns of which every one must hold, and phrase lists (operators/lexicon.py) that feed the rule, too:
+#: matches of the first pattern and hits of the first list are quoted, further lists must be met. Own wording throughout.
 RULES = {
-    "ask-credential": (5, "otp", ["(?:share|send|tell|give|enter|provide|forward)(?: [a-z]+){0,4} (?:pin|password|cvv|mpin)"]),
-    "ask-secret": (3, "otp", ["(?:share|send|tell|give|enter|provide|forward)(?: [a-z]+){0,4} (?:otp|verification code|aadhaar)"]),
-    "pay-to-receive": (3, "fee", ["pay (?:a |the )?(?:small )?(?:processing|registration|handling|release) fee", "(?:receive|release|get|claim)"]),
-    "upi-receive": (3, "upi", ["(?:enter|use) (?:your )?upi pin to (?:receive|get)|accept the (?:collect )?request to (?:receive|get)"]),
-    "stay-on-call": (3, "arrest", ["stay on (?:the|this) (?:video )?call|do not (?:hang up|disconnect)"]),
-    "secrecy": (3, "arrest", ["(?:do not|don't) tell (?:anyone|anybody|your family)|keep (?:this|it) (?:secret|confidential)"]),
-    "install-app": (3, "app", ["(?:install|download) (?:the |this |our )?(?:app|apk|anydesk|teamviewer)|[a-z0-9_-]+[.]apk"]),
-    "task-job": (3, "job", ["(?:earn|income) (?:daily|per day|from home)|(?:like|rate|review) (?:videos|hotels|products) (?:and|to) earn|part time job"]),
-    "investment": (3, "invest", ["(?:guaranteed|assured|double) (?:returns?|profit|your money)|[0-9]+ ?% (?:daily|weekly|monthly) (?:returns?|profit)"]),
-    "prize": (3, "prize", ["you (?:have )?won|lucky (?:draw|winner)|claim your (?:prize|gift|reward)"]),
-    "sextortion": (5, "sextortion", ["(?:your )?(?:private|intimate) (?:video|photos|pictures)", "(?:share|send|post|leak|upload) (?:it|them|this)", "(?:pay|transfer|send money)"]),
-    "wrong-transfer": (3, "misdirected", ["(?:by mistake|wrongly|accidentally) (?:sent|transferred|credited)|(?:sent|transferred|credited) (?:[a-z0-9.₹]+ ){0,5}by mistake", MONEY, "(?:return|refund|send) (?:it|the money|the amount|back)", "you|your|ur|aap|tum|tera|teri"]),
-    "qr-receive": (3, "upi", ["scan (?:this |the )?(?:qr|code)(?: code)? (?:to|and) (?:receive|get)", MONEY]),
-    "utility-cutoff": (2, "utility", ["(?:electricity|power|gas|water|connection)(?: [a-z]+){0,4} (?:disconnected|cut|stopped)", "(?:call|pay|update|contact)"]),
-    "pay-first": (3, "fee", ["(?:pehle|first|abhi) (?:pay|bhejo|transfer)", "(?:loan|job|parcel|prize|refund)"]),
-    "authority": (2, "arrest", ["(?:cbi|police|customs|narcotics|court|trai|enforcement) (?:officer|department|notice|case|official)|digital arrest"]),
-    "kyc": (2, "kyc", ["kyc|pan card", "(?:update|verify|complete|expire[ds]?|suspend(?:ed)?|block(?:ed)?)"]),
-    "parcel": (2, "parcel", ["(?:parcel|package|courier|shipment)(?: [a-z]+){0,4} (?:held|seized|pending|undelivered|returned)"]),
-    "refund-claim": (2, "refund", ["(?:claim|get|process) (?:your )?refund|refund (?:is )?(?:approved|pending)"]),
-    "card-points": (2, "card", ["(?:reward|card) points (?:will )?expire|redeem (?:your )?points"]),
-    "click-link": (2, "contact", ["(?:click|tap|open) (?:on )?(?:the |this )?(?:link|below)"]),
-    "threat": (1, "threat", ["(?:legal action|account (?:will be )?(?:blocked|suspended|closed)|arrest warrant)"]),
-    "urgency": (1, "urgency", ["immediately|urgent(?:ly)?|within [0-9]+ (?:minutes|hours)|last chance|today only|turant|jaldi"]),
-    "phone-number": (1, "contact", ["(?<![0-9])[6-9][0-9]{9}(?![0-9])"]),
-    "callback": (1, "contact", ["call (?:us|back|now|this number)|contact (?:us|customer care)"]),
+    "ask-credential": (5, "otp", [], []),
+    "ask-secret": (3, "otp", [], []),
+    "pay-to-receive": (3, "fee", [], ["pay-to-receive", "pay-to-receive/what"]),
+    "upi-receive": (3, "upi", [], ["upi-receive"]),
+    "stay-on-call": (3, "arrest", [], ["stay-on-call"]),
+    "secrecy": (3, "arrest", ["(?:do not|don't) tell (?:anyone|anybody|your family)|keep (?:this|it) (?:secret|confidential)"], ["secrecy"]),
+    "install-app": (3, "app", ["[a-z0-9_-]+[.]apk"], ["install-app"]),
+    "task-job": (3, "job", [], ["task-job"]),
+    "investment": (3, "invest", ["[0-9]+ ?% (?:daily|weekly|monthly) (?:returns?|profit)"], ["investment"]),
+    "prize": (3, "prize", [], ["prize"]),
+    "sextortion": (5, "sextortion", ["(?:your )?(?:private|intimate) (?:video|photos|pictures)", "(?:share|send|post|leak|upload) (?:it|them|this)", "(?:pay|transfer|send money)"], []),
+    "wrong-transfer": (3, "misdirected", ["(?:by mistake|wrongly|accidentally) (?:sent|transferred|credited)|(?:sent|transferred|credited) (?:[a-z0-9.₹]+ ){0,5}by mistake", MONEY, "(?:return|refund|send) (?:it|the money|the amount|back)", "you|your|ur|aap|tum|tera|teri"], []),
+    "qr-receive": (3, "upi", ["scan (?:this |the )?(?:qr|code)(?: code)? (?:to|and) (?:receive|get)", MONEY], []),
+    "utility-cutoff": (2, "utility", ["(?:electricity|power|gas|water|connection)(?: [a-z]+){0,4} (?:disconnected|cut|stopped)", "(?:call|pay|update|contact)"], ["utility-cutoff", "utility-cutoff/act"]),
+    "pay-first": (3, "fee", [], ["pay-first", "pay-first/for"]),
+    "authority": (2, "arrest", [], ["authority"]),
+    "kyc": (2, "kyc", [], ["kyc", "kyc/act"]),
+    "parcel": (2, "parcel", ["(?:parcel|package|courier|shipment)(?: [a-z]+){0,4} (?:held|seized|pending|undelivered|returned)"], ["parcel"]),
+    "refund-claim": (2, "refund", [], ["refund-claim"]),
+    "card-points": (2, "card", [], ["card-points"]),
+    "click-link": (2, "contact", [], ["click-link"]),
+    "threat": (1, "threat", [], ["threat"]),
+    "urgency": (1, "urgency", [], ["urgency"]),
+    "phone-number": (1, "contact", ["(?<![0-9])[6-9][0-9]{9}(?![0-9])"], []),
+    "callback": (1, "contact", [], ["callback"]),
 }
 INTENTS = [
     ("lost-money", ["lost money", "paid", "debited", "transferred", "cheated"]), ("otp", ["otp", "pin", "code"]), ("upi", ["upi", "qr", "collect"]), ("kyc", ["kyc", "pan", "aadhaar"]), ("job", ["job", "task", "salary"]),
@@ -52,23 +55,6 @@ LINK_WEIGHT = {"scam": 5, "suspicious": 3, "unverified": 1, "official": 0}
 SCAM, SUSPICIOUS = 5, 3
 #: Characters of a message that the rules read: the limit of the rules' definition, not of the data.
 MOST_CHARS = 4000
-#: Romanised Hindi and Telugu and Devanagari wording that feeds the rules above. Own lists, compared after `fold`.
-FEEDS = {
-    "threat": ["khata band", "account band", "sim band", "block ho jayega", "giraftar", "account block avutundi", "खाता बंद", "सिम बंद"],
-    "urgency": ["abhi ke abhi", "aaj hi", "aakhri mauka", "der mat karo", "ventane", "तुरंत", "अभी अपडेट", "आज ही"],
-    "secrecy": ["kisi ko mat batana", "kisi ko mat batao", "kisi ko na batayen", "evariki cheppakandi", "किसी को मत बताना", "किसी को न बताएं"],
-    "stay-on-call": ["call mat kato", "phone mat kato", "call cut mat karo", "line par rahiye", "call cut cheyakandi", "फोन मत काटना"],
-    "click-link": ["link par click", "link pe click", "link kholo", "link nokkandi", "लिंक पर क्लिक"],
-    "prize": ["aap jeet gaye", "inaam jeeta", "lottery lagi", "meeru gelicharu", "लॉटरी", "इनाम"],
-    "task-job": ["ghar baithe kamao", "ghar baithe paise", "roz kamao"],
-    "investment": ["paisa double", "paise double", "pakka munafa"],
-    "authority": ["police se bol", "crime branch se", "cbi se bol", "thane se bol", "गिरफ्तार"],
-    "refund-claim": ["refund le lo", "paisa wapas pane"],
-    "card-points": ["card band ho jayega", "points khatam"],
-    "parcel": ["parcel ruka", "parcel pakda", "courier ruk gaya"],
-    "callback": ["is number par call", "is number pe call", "is number par phone"],
-    "upi-receive": ["paise pane ke liye pin", "pin dalo paise", "pin daalo paisa"],
-}
 #: Words of the two asking rules. Own lists.
 ASKS = ["share", "send", "tell", "give", "provide", "forward", "reply", "bhejo", "bhejiye", "batao", "bataiye", "batayen", "dijiye", "dedo", "cheppandi", "pampandi", "ivvandi", "भेजें", "भेजो", "बताएं", "बताओ"]
 STEMS, HELPERS = ["bhej", "bata", "de", "dal"], ["do", "dijiye", "dena"]
@@ -79,14 +65,14 @@ CREDENTIALS = ["pin", "mpin", "cvv", "password", "passcode", "पिन", "प
 CODES = ["otp", "aadhaar", "aadhar", "ओटीपी", "verificationcode"]
 DOOR = "delivery (?:agent|partner|executive|person|boy)"
 ABOUT = "otp|pin|mpin|cvv|password|passcode|card|aadhaar|aadhar|upi|code|ओटीपी|पिन|पासवर्ड"
-TOKEN = "[a-z0-9']+|[ऀ-ॿ]+"
 SENTENCE_END = "[.!?।]+"
-
+#: Words that an asking rule looks at, folded; a token with ANY is the first of these that it fits.
+ASKING = list(dict.fromkeys(folded(w) for w in [*CREDENTIALS, *CODES, *ASKS, *STEMS, *HELPERS, *NEGATORS, *AFTER, *AFTER_VERBS]))
 
 
 def prepared(c: Column, most: int = MOST_CHARS) -> Column:
-    """The message's first `most` characters in lower case, blanks collapsed, commas within numbers dropped."""
-    return F.regexp_replace(tx.squeeze(F.lower(F.substring(c, 1, most))), "(?<=[0-9]),(?=[0-9])", "")
+    """The message's first `most` characters normalised, in lower case, blanks collapsed, commas within numbers dropped."""
+    return F.regexp_replace(F.lower(tx.normalise(F.substring(c, 1, most))), "(?<=[0-9]),(?=[0-9])", "")
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -94,24 +80,8 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), 0)
 
 
-#: Spellings that romanised words differ in, and what they become; applied in turn, and once is enough.
-FOLDS = [("aa+", "a"), ("ee+|ii+", "i"), ("oo+|uu+", "u"), ("([bcdgjkpt])h", "$1")]
-
-
-def fold(t: Column) -> Column:
-    """Lower-case text with the spellings of romanised words evened out."""
-    t = F.translate(t, "wzq", "vjk")
-    for pattern, to in FOLDS:
-        t = F.regexp_replace(t, pattern, to)
-    return t
-
-
-def folded(s: str) -> str:
-    """fold of a word written in this module."""
-    s = s.translate(str.maketrans("wzq", "vjk"))
-    for pattern, to in FOLDS:
-        s = re.sub(pattern, to.replace("$1", r"\1"), s)
-    return s
+def none() -> Column:
+    return F.array().cast("array<string>")
 
 
 def bounded(pattern: str) -> str:
@@ -119,18 +89,19 @@ def bounded(pattern: str) -> str:
     return f"(?<![a-z0-9])(?:{pattern})(?![a-z0-9])"
 
 
-def feed(rule: str) -> str:
-    """What of the folded text feeds a rule."""
-    return "|".join(folded(p) for p in FEEDS[rule])
-
-
 def words_of(t: Column) -> Column:
     """Folded tokens; pairs such as `card number` are one, and an ask in a sentence on handing a code to a delivery agent is none."""
     asks = bounded("|".join(w for w in ASKS if w.isascii()))
     at_door = lambda s: F.when(s.rlike(bounded(DOOR)) & s.rlike(bounded("otp")), F.regexp_replace(s, asks, "x")).otherwise(s)
     t = F.when(t.contains("delivery"), F.array_join(F.transform(F.split(t, SENTENCE_END), at_door), " ")).otherwise(t)
     t = F.regexp_replace(t, "(card|bank|account|security|verification) (number|details|code)", "$1$2")
-    return F.regexp_extract_all(fold(t), F.lit(TOKEN), F.lit(0))
+    return F.transform(lexicon.tokens(fold(t)), lambda w: F.when(w.contains(tx.ANY), cleared(w)).otherwise(w))
+
+
+def cleared(w: Column) -> Column:
+    """A token with ANY as the first word of ASKING that it may be; as it is if there is none."""
+    fits = F.filter(F.array(*[F.lit(x) for x in ASKING]), lambda x: F.like(x, F.translate(w, tx.ANY, "_")))
+    return F.coalesce(F.get(fits, 0), w)
 
 
 def asks_for(t: Column, secrets: list[str]) -> Column:
@@ -151,24 +122,43 @@ def asks_for(t: Column, secrets: list[str]) -> Column:
         return F.slice(F.transform(F.filter(F.sequence(F.lit(1), F.size(w)), asked), at), 1, 1)
 
     # Most messages have no secret's name in them and are not cut into tokens.
-    worth = fold(t).rlike("|".join(folded(s) for s in dict.fromkeys([*[s for s in secrets if " " not in s], *(["card", "bank", "account", "security"] if "pin" in secrets else ["verification"])])))
-    none = F.array().cast("array<string>")
-    return F.when(worth, let(words_of(t), lambda w: F.when(F.size(w) > 0, each(w)).otherwise(none))).otherwise(none)
+    worth = t.contains(tx.ANY) | fold(t).rlike("|".join(folded(s) for s in dict.fromkeys([*[s for s in secrets if " " not in s], *(["card", "bank", "account", "security"] if "pin" in secrets else ["verification"])])))
+    return F.when(worth, let(words_of(t), lambda w: F.when(F.size(w) > 0, each(w)).otherwise(none()))).otherwise(none())
 
 
-def hits(t: Column, patterns: list[str]) -> Column:
+def matches(t: Column, patterns: list[str]) -> Column:
     """Different matches of the first pattern, if the others occur, too."""
     found = F.array_distinct(F.regexp_extract_all(t, F.lit(bounded(patterns[0])), F.lit(0)))
     rest = reduce(lambda a, b: a & b, [t.rlike(bounded(p)) for p in patterns[1:]], F.lit(True))
-    return F.when(rest, found).otherwise(F.array().cast("array<string>"))
+    return F.when(rest, found).otherwise(none())
+
+
+def quote(h: Column) -> Column:
+    """The words of a hit as the prepared text has them, with what stands between them."""
+    words = F.slice("tokens", h["start"] + 1, h["words"])
+    return F.regexp_substr("prepared", F.array_join(F.transform(words, lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), lexicon.BETWEEN))
 
 
-def secrecy_hits(t: Column, demand: str, asking: Column) -> Column:
+def phrase_quotes(lists: list[str], keep: Callable[[Column], Column] | None = None) -> Column:
+    """Different quotes of the first list's hits, if the other lists have hits, too."""
+    own = F.filter("hits", lambda h: (h["id"] == lists[0]) & (keep(h) if keep else F.lit(True)))
+    met = lambda name: F.exists("hits", lambda h: h["id"] == name)
+    return F.when(reduce(lambda a, b: a & b, map(met, lists)), F.array_distinct(F.transform(own, quote))).otherwise(none())
+
+
+def secrecy_quotes(asking: Column) -> Column:
     """Demands of secrecy, less those in a sentence (or after one) that is about a code, unless the message asks for one."""
-    s = F.split(t, SENTENCE_END)
+    demand = bounded(RULES["secrecy"][2][0])
+    s = F.split("prepared", SENTENCE_END)
     about = lambda x: F.coalesce(x.rlike(bounded(ABOUT)), F.lit(False))
-    kept = F.filter(s, lambda x, i: x.rlike(bounded(demand)) & (asking | ~(about(x) | about(F.get(s, i - 1)))))
-    return F.when(t.rlike(bounded(demand)), F.array_distinct(F.transform(kept, lambda x: F.regexp_extract(x, bounded(demand), 0)))).otherwise(F.array().cast("array<string>"))
+    stands = lambda x, i: asking | ~(about(x) | about(F.get(s, i - 1)))
+    kept = F.filter(s, lambda x, i: x.rlike(demand) & stands(x, i))
+    own = F.when(F.col("prepared").rlike(demand), F.array_distinct(F.transform(kept, lambda x: F.regexp_extract(x, demand, 0)))).otherwise(none())
+    # The sentence of a token: how many sentences end before it.
+    ends = F.transform(F.sequence(F.lit(1), F.size(s)), lambda n: F.size(lexicon.tokens(F.array_join(F.slice(s, 1, n), " . "))))
+    sentence = lambda h: F.size(F.filter(ends, lambda e: e <= h["start"]))
+    fed = phrase_quotes(["secrecy"], lambda h: asking | ~(about(F.get(s, sentence(h))) | about(F.get(s, sentence(h) - 1))))
+    return F.array_union(own, fed)
 
 
 def third_party(t: Column) -> Column:
@@ -177,17 +167,16 @@ def third_party(t: Column) -> Column:
 
 
 def rule_hits(rule: str) -> Column:
-    """What a rule finds in `prepared` and `folded`, given `asks_credential` and `asks_code`."""
-    t, patterns = F.col("prepared"), RULES[rule][2]
+    """What a rule finds in `prepared`, `tokens` and `hits`, given `asks_credential` and `asks_code`."""
+    t, (_, _, patterns, lists) = F.col("prepared"), RULES[rule]
     if rule in ("ask-credential", "ask-secret"):
         return F.col("asks_credential" if rule == "ask-credential" else "asks_code")
     if rule == "secrecy":
-        asking = (F.size("asks_credential") > 0) | (F.size("asks_code") > 0)
-        return F.array_union(secrecy_hits(t, patterns[0], asking), secrecy_hits(F.col("folded"), feed(rule), asking))
+        return secrecy_quotes((F.size("asks_credential") > 0) | (F.size("asks_code") > 0))
     if rule == "wrong-transfer":
-        return F.when(third_party(t).rlike(bounded(patterns[2])), hits(t, patterns)).otherwise(F.array().cast("array<string>"))
-    own = hits(t, patterns)
-    return F.array_union(own, hits(F.col("folded"), [feed(rule)])) if rule in FEEDS else own
+        return F.when(third_party(t).rlike(bounded(patterns[2])), matches(t, patterns)).otherwise(none())
+    parts = [*([matches(t, patterns)] if patterns else []), *([phrase_quotes(lists)] if lists else [])]
+    return reduce(F.array_union, parts)
 
 
 def weight(w: Column, n: Column) -> Column:
@@ -196,16 +185,17 @@ def weight(w: Column, n: Column) -> Column:
 
 
 def evidence(df: DataFrame, text_col: str) -> DataFrame:
-    """df with prepared and folded text and evidence: rule, family, weight, quote, count of each rule that fired.
+    """df with the prepared text, its tokens and evidence: rule, family, weight, quote, count of each rule that fired.
 
     Each rule's hits are found once; weights and quotes are then read from them.
     """
     d = df.withColumn("prepared", prepared(F.col(text_col)))
-    d = d.withColumns({"folded": fold(F.col("prepared")), "asks_credential": asks_for(F.col("prepared"), CREDENTIALS), "asks_code": asks_for(F.col("prepared"), CODES)})
+    d = d.withColumn("tokens", lexicon.tokens(F.col("prepared")))
+    d = d.withColumns({"hits": lexicon.finder(df.sparkSession)(F.col("tokens")), "asks_credential": asks_for(F.col("prepared"), CREDENTIALS), "asks_code": asks_for(F.col("prepared"), CODES)})
     d = d.withColumn("found", F.array(*[rule_hits(rule) for rule in RULES]))
-    rules = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(family).alias("family"), F.lit(w).alias("w")) for rule, (w, family, _) in RULES.items()])
+    rules = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(family).alias("family"), F.lit(w).alias("w")) for rule, (w, family, _, _) in RULES.items()])
     each = F.zip_with("found", rules, lambda h, r: F.struct(r["rule"].alias("rule"), r["family"].alias("family"), weight(r["w"], F.size(h)).alias("weight"), F.get(h, 0).alias("quote"), F.size(h).alias("count")))
-    return d.withColumn("evidence", F.filter(each, lambda e: e["count"] > 0)).drop("found", "asks_credential", "asks_code")
+    return d.withColumn("evidence", F.filter(each, lambda e: e["count"] > 0)).drop("found", "hits", "asks_credential", "asks_code")
 
 
 def verdict(df: DataFrame, text_col: str, link_level: Column | None = None) -> DataFrame:
@@ -243,7 +233,7 @@ def told(verdicts: DataFrame) -> DataFrame:
 def intent(c: Column) -> Column:
     """The intent with most keyword hits, the first of equals; null without hits."""
     def best(t: Column) -> Column:
-        n = {k: sum((F.when(t.rlike(bounded(w)), 1).otherwise(0) for w in words), F.lit(0)) for k, words in INTENTS}
+        n = {k: sum((F.when(t.rlike(tx.keyword(w)), 1).otherwise(0) for w in words), F.lit(0)) for k, words in INTENTS}
         return F.array_max(F.array(*[F.struct(v.alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("intent")) for i, (k, v) in enumerate(n.items())]))
 
     return let(let(prepared(c), best), lambda x: F.when(x["n"] > 0, x["intent"]))
@@ -258,26 +248,11 @@ def small_talk(c: Column) -> Column:
     return let(prepared(c), lambda t: F.coalesce(*[F.when(t.rlike(p), k) for k, p in SMALL_TALK]))
 
 
-def phrase_hits(df: DataFrame, key: list[str], text_col: str, lexicon: DataFrame) -> DataFrame:
-    """key, position, lexicon id and phrase of each phrase of the lexicon (id, ord, phrase) in the texts; of phrases that begin at one
-    place the first one by ord. Tokens meet phrases by their first word, as an equi-join; the rest of the phrase is compared then."""
-    tokens = df.select(*key, tx.words(F.col(text_col), "[a-z']+|[0-9]+").alias("tokens")).select(*key, "tokens", F.posexplode("tokens").alias("pos", "first"))
-    lex = lexicon.withColumn("words", F.split("phrase", " ")).withColumn("first", F.element_at("words", 1))
-    met = tokens.join(F.broadcast(lex), "first").where(F.slice("tokens", F.col("pos") + 1, F.size("words")) == F.col("words"))  # the lexicon is written here
-    return met.groupBy(*key, "pos", "id").agg(F.min_by("phrase", "ord").alias("phrase"))
-
-
-def expand(pattern: str, most: int = 2000) -> list[str]:
-    """Phrases of a pattern: (a|b) for alternatives, [x] for what may be absent."""
-    out = [""]
-    for alt, opt, plain in re.findall(r"\(([^)]*)\)|\[([^\]]*)\]|([^(\[]+)", pattern):
-        choices = alt.split("|") if alt else ["", opt] if opt else [plain]
-        out = [o + c for o in out for c in choices]
-        if len(out) > most:
-            raise ValueError("too many phrases")
-    return list(dict.fromkeys(" ".join(o.split()) for o in out))
+def phrase_hits(df: DataFrame, key: list[str], text_col: str, phrases: DataFrame) -> DataFrame:
+    """key, pos, id and phrase of each phrase of a lexicon (id, ord, phrase) in the prepared texts' tokens."""
+    return lexicon.phrase_hits(df.select(*key, lexicon.tokens(prepared(F.col(text_col))).alias("tokens")), key, "tokens", phrases)
 
 
 def quotes_hold(df: DataFrame) -> Column:
-    """Every quote is a part of the prepared or the folded text."""
-    return F.forall("evidence", lambda e: F.contains(F.col("prepared"), e["quote"]) | F.contains(F.col("folded"), e["quote"]))
+    """Every quote is a part of the prepared text, but for the verbs that ask, which are folded."""
+    return F.forall("evidence", lambda e: F.contains(F.col("prepared"), e["quote"]) | e["rule"].startswith("ask-"))

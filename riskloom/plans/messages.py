@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import assistant, links, messages
+from ..operators import assistant, lexicon, links, messages
 from ..sources.tables import table
 
-#: One of these comes before each turn's text, by number.
+#: Utterances that stand beside the turns, one for each turn by its numbers.
 OPENINGS = [
-    "", "Urgent! Your KYC will expire today, click the link https://sbi-kyc-verify.xyz/login immediately. ", "You have won a lucky draw. Claim your prize, pay a processing fee to receive it. ", "Do not share your OTP with anyone. ",
-    "Please share the OTP and call us back. ", "CBI officer here: stay on the video call and do not tell anyone. ", "I transferred 5,000 rupees by mistake, please return the money. ", "Scan this QR code to receive Rs 2000 cashback. ",
-    "Your electricity connection will be disconnected, call 9876543210 now. ", "Part time job: like videos and earn, income daily guaranteed returns. ", "Parcel is held by customs department. ", "I lost a lot of money, where can I report this fraud? ",
-    "hello ", "what should i do ", "is it safe? ", "Enter your UPI PIN to receive money. ", "We have your private video. Pay now or we post it. ", "My card points will expire, redeem points within 2 hours. ", "why ", "is digital arrest real? ",
+    "Good morning, the minutes of the meeting are attached.", "Urgent! Your KYC will expire today, click the link https://sbi-kyc-verify.xyz/login immediately.", "You have won a lucky draw. Claim your prize, pay a processing fee to receive it.", "Do not share your OTP with anyone.",
+    "Please share the OTP and call us back.", "CBI officer here: stay on the video call and do not tell anyone.", "I transferred 5,000 rupees by mistake, please return the money.", "Scan this QR code to receive Rs 2000 cashback.",
+    "Your electricity connection will be disconnected, call 9876543210 now.", "Part time job: like videos and earn, income daily guaranteed returns.", "Parcel is held by customs department.", "I lost a lot of money, where can I report this fraud?",
+    "hello", "what should i do", "is it safe?", "Enter your UPI PIN to receive money.", "We have your private video. Pay now or we post it.", "My card points will expire, redeem points within 2 hours.", "why", "is digital arrest real?",
+    "please forward the o t p now", "p@ssword bhejo, warna khata band hoga", "ｓｈａｒｅ your ＯＴＰ with us", "u​rgent: cl@im your pr!ze and c@ll us back", "kisi ko mat batana. call mat kato, police se bol raha hu", "Your OTP is 4. kisi ko mat batana.", "OTP bejo abhi. kisi ko mat batana.", "खाता बंद हो जाएगा, तुरंत केवाईसी अपडेट करें",
+    "మీరు గెలిచారు, డబ్బులు పొందడానికి పిన్ ఎంటర్ చేయండి", "घर बैठे कमाएं, इस नंबर पर कॉल करें", "sim card blo¢k nahi, parcel ruk gaya customs me", "pay 500 to release the parcel within 10 minutes", "n e v e r share your pin", "уоu wоn а lucky draw", "download our app update.apk and pay first for the loan", "is it the 1930 helpline number?",
 ]
-LEXICON = {"pay": ["pay a processing fee", "pay now"], "call": ["stay on the video call", "call us back", "call"], "won": messages.expand("you [have ]won"), "secret": messages.expand("do not (tell|inform) anyone"), "share": ["share the otp", "share your otp"]}
+LEXICON = {"pay": ["pay a processing fee", "pay now"], "call": ["stay on the video call", "call us back", "call"], "won": messages.expand("you [have ]won"), "secret": messages.expand("do not (tell|inform) anyone"), "share": ["share the otp", "share your otp"], "number": ["within # hours", "within # minutes"], "other": ["खाता बंद", "మీరు గెలిచారు", "mat batana", "mat batana call"]}
 
 
 #: Turn numbers of planted utterances begin here.
@@ -23,21 +25,33 @@ PLANTED = 1_000_000
 
 
 def turns(spark, sf_dir):
+    """All turns as they are, and beside each a planted utterance (turn numbers from PLANTED on)."""
     form = F.element_at(F.array(*[F.lit(o) for o in OPENINGS]), ((F.col("conv_id") * 7 + F.col("turn") * 3) % len(OPENINGS) + 1).cast("int"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.concat(form, "text").alias("text"))
+    t = table(spark, sf_dir, "conversations")
+    return t.select("conv_id", "turn", "role", "text").unionByName(t.select("conv_id", (F.col("turn") + PLANTED).cast(t.schema["turn"].dataType).alias("turn"), "role", form.alias("text")))
 
 
-def bare(spark, sf_dir):
-    """All turns as they are, and each one's opening alone (turn numbers from PLANTED on), for what depends on how short an utterance is."""
-    form = F.element_at(F.array(*[F.lit(o) for o in OPENINGS]), ((F.col("conv_id") * 7 + F.col("turn") * 3) % len(OPENINGS) + 1).cast("int"))
-    t = table(spark, sf_dir, "conversations")
-    return t.select("conv_id", "turn", "text").unionByName(t.select("conv_id", (F.col("turn") + PLANTED).cast(t.schema["turn"].dataType).alias("turn"), F.rtrim(form).alias("text")))
+def quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
 
 
-OPEN = f"[{', '.join(chr(39) + o.replace(chr(39), chr(39) * 2) + chr(39) for o in OPENINGS)}][(conv_id * 7 + turn * 3) % {len(OPENINGS)} + 1]"
-TURNS = f"turns as (select conv_id, turn, role, {OPEN} || text as text from conversations)"
-BARE = f"bare as (select conv_id, turn, text from conversations union all select conv_id, turn + {PLANTED}, rtrim({OPEN}, ' ') from conversations)"
-PREPARED = r"regexp_replace(trim(regexp_replace(lower(substr(text, 1, 4000)), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' '), '([0-9]),([0-9])', '\1\2', 'g')"
+OPEN = f"[{', '.join(map(quoted, OPENINGS))}][(conv_id * 7 + turn * 3) % {len(OPENINGS)} + 1]"
+TURNS = f"turns as (select conv_id, turn, role, text from conversations union all select conv_id, turn + {PLANTED}, role, {OPEN} from conversations)"
+#: Fullwidth letters and digits and what compatibility composition makes of them: all that the planted rows hold of its cases.
+WIDE = "".join(chr(0xFEE0 + c) for c in [*range(48, 58), *range(65, 91), *range(97, 123)])
+NARROW = "".join(chr(c) for c in [*range(48, 58), *range(65, 91), *range(97, 123)])
+#: A text normalised step by step: composition, invisible signs, look-alikes, blanks; letters set apart singly; signs within words.
+#: Written with lists, as DuckDB's patterns know no lookaround.
+NORMAL = rf"""n1 as (select *, trim(regexp_replace(translate(regexp_replace(translate(nfc_normalize(substr(text, 1, 4000)), '{WIDE}', '{NARROW}'), '[\x{{200B}}-\x{{200F}}\x{{202A}}-\x{{202E}}\x{{2060}}-\x{{2064}}\x{{FEFF}}]', '', 'g'), 'асеорхуіјѕνοαρτικ', 'aceopxyijsvoaptik'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') as t from turns),
+ n2 as (select *, string_split(t, ' ') as s from n1),
+ n3 as (select *, array_to_string(list_transform(range(1, len(s) + 1), lambda i: s[i] || case when i = len(s) then ''
+   when regexp_matches(coalesce(s[i - 1], ''), '(^|[^A-Za-z])[A-Za-z]$') and i > 1 and regexp_matches(s[i], '^[A-Za-z]$') and regexp_matches(s[i + 1], '^[A-Za-z]($|[^A-Za-z])') then ''
+   when regexp_matches(s[i], '(^|[^A-Za-z])[A-Za-z]$') and regexp_matches(s[i + 1], '^[A-Za-z]$') and regexp_matches(coalesce(s[i + 2], ''), '^[A-Za-z]($|[^A-Za-z])') then '' else ' ' end), '') as j from n2),
+ n4 as (select *, list_transform(string_split(j, ' '), lambda x: case when not contains(x, '://') and len(regexp_extract_all(x, '[A-Za-z]')) >= 2
+   and len(list_filter(range(2, length(x)), lambda k: x[k] in ('@', '$', '!', '|', '*') and regexp_matches(x[k - 1] || x[k + 1], '^[A-Za-z][A-Za-z]$'))) between 1 and 2
+   then array_to_string(list_transform(range(1, length(x) + 1), lambda k: case when k > 1 and x[k] in ('@', '$', '!', '|', '*') and regexp_matches(x[k - 1] || x[k + 1], '^[A-Za-z][A-Za-z]$') then chr(57344) else x[k] end), '') else x end) as x from n3),
+ m as (select conv_id, turn, role, text, array_to_string(x, ' ') as t, regexp_replace(lower(array_to_string(x, ' ')), '([0-9]),([0-9])', '\1\2', 'g') as p from n4)"""
+READ_P = f"with {TURNS}, {NORMAL}"
 
 
 def edge(pattern: str) -> str:
@@ -83,7 +97,7 @@ def money_loss(spark, sf_dir):
 
 
 def small_talk(spark, sf_dir):
-    return bare(spark, sf_dir).select("conv_id", "turn", messages.small_talk(F.col("text")).alias("kind"))
+    return turns(spark, sf_dir).select("conv_id", "turn", messages.small_talk(F.col("text")).alias("kind"))
 
 
 def ask_window(spark, sf_dir):
@@ -121,13 +135,15 @@ def link_in_text(spark, sf_dir):
 
 
 def followup_topic(spark, sf_dir):
-    return bare(spark, sf_dir).select("conv_id", "turn", assistant.followup_topic(F.col("text")).alias("topic"))
+    return turns(spark, sf_dir).select("conv_id", "turn", assistant.followup_topic(F.col("text")).alias("topic"))
 
 
 def timed(spark, sf_dir):
-    """Turns with a verdict and a time: some minutes apart, by conversation."""
-    v = messages.verdict(turns(spark, sf_dir), "text")
-    return v.select("conv_id", "turn", "text", F.timestamp_seconds(F.lit(1704067200) + F.col("turn") * (600 + F.col("conv_id") % 7 * 900)).alias("ts"), F.when(F.col("level") != "nothing", F.col("level")).alias("verdict"))
+    """Turns with a verdict and a time: some minutes apart, by conversation. A text that several turns have is judged once."""
+    t = turns(spark, sf_dir).withColumn("said", F.sha2("text", 256))
+    judged = messages.verdict(t.groupBy("said").agg(F.first("text").alias("text")), "text").select("said", F.when(F.col("level") != "nothing", F.col("level")).alias("verdict"))
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("turn") * (600 + F.col("conv_id") % 7 * 900))
+    return t.join(judged, "said").select("conv_id", "turn", "text", at.alias("ts"), "verdict")
 
 
 def followup_asof(spark, sf_dir):
@@ -135,22 +151,21 @@ def followup_asof(spark, sf_dir):
 
 
 def followup_replies(spark, sf_dir):
-    d = assistant.last_verdict(timed(spark, sf_dir), "conv_id", "ts", "verdict").select("conv_id", F.col("turn").alias("of"), "remembered")
-    d = bare(spark, sf_dir).withColumn("of", F.col("turn") % PLANTED).join(d, ["conv_id", "of"])
+    d = assistant.last_verdict(timed(spark, sf_dir), "conv_id", "ts", "verdict")
     return d.select("conv_id", "turn", assistant.followup_reply(assistant.followup_topic(F.col("text")), F.coalesce("remembered", F.lit("none"))).alias("reply"))
 
 
 def route_case(spark, sf_dir):
-    b = messages.verdict(bare(spark, sf_dir), "text").select("conv_id", "turn", "text", "level", text.link_in(F.col("text")).alias("link"))
+    b = messages.verdict(turns(spark, sf_dir), "text").select("conv_id", "turn", "text", "level", text.link_in(F.col("text")).alias("link"))
     return b.select("conv_id", "turn", assistant.route(F.col("text"), F.col("link"), F.col("level"), F.when(F.col("turn") > 1, "scam"), F.lit(False)).alias("route"))
 
 
 def incomplete_utterance(spark, sf_dir):
-    return bare(spark, sf_dir).select("conv_id", "turn", assistant.incomplete(F.col("text")).alias("incomplete"))
+    return turns(spark, sf_dir).select("conv_id", "turn", assistant.incomplete(F.col("text")).alias("incomplete"))
 
 
 def questions(spark, sf_dir):
-    return bare(spark, sf_dir).select("conv_id", "turn", assistant.is_question(F.col("text")).alias("question"))
+    return turns(spark, sf_dir).select("conv_id", "turn", assistant.is_question(F.col("text")).alias("question"))
 
 
 def knowledge_idf(spark, sf_dir):
@@ -160,7 +175,7 @@ def knowledge_idf(spark, sf_dir):
 
 
 def knowledge_route(spark, sf_dir):
-    return bare(spark, sf_dir).select("conv_id", "turn", assistant.knowledge(F.col("text")).alias("entry"))
+    return turns(spark, sf_dir).select("conv_id", "turn", assistant.knowledge(F.col("text")).alias("entry"))
 
 
 def best_known(t: str) -> str:
@@ -170,14 +185,11 @@ def best_known(t: str) -> str:
 
 
 def sql_list(ws) -> str:
-    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in dict.fromkeys(ws)) + "]"
+    return "[" + ", ".join(map(quoted, dict.fromkeys(ws))) + "]"
 
 
 def sql_fold(t: str) -> str:
-    t = f"translate({t}, 'wzq', 'vjk')"
-    for pattern, to in messages.FOLDS:
-        t = f"regexp_replace({t}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
-    return t
+    return rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate({t}, 'wzq', 'vjk'), 'aa+', 'a', 'g'), 'ee+|ii+', 'i', 'g'), 'oo+|uu+', 'u', 'g'), '([bcdgjkpt])h', '\1', 'g')"
 
 
 def found(t: str, pattern: str) -> str:
@@ -190,7 +202,7 @@ def asked(secrets) -> str:
     undone = lambda i: f"coalesce(list_contains({sql_list(messages.AFTER)}, w[{i}]) and list_contains({fold(messages.AFTER_VERBS)}, w[{i} + 1]), false)"
     verb = f"(list_contains({fold(messages.ASKS)}, w[i]) or coalesce(list_contains({fold(messages.STEMS)}, w[i]) and list_contains({fold(messages.HELPERS)}, w[i + 1]), false))"
     near = f"(list_has_any(w[i + 1 : i + 6], {fold(secrets)}) or list_has_any(w[greatest(1, i - 3) : i - 1], {fold(secrets)}))"
-    return f"len(list_filter(range(1, len(w) + 1), lambda i: {verb} and not list_has_any(w[greatest(1, i - 5) : i - 1], {fold(messages.NEGATORS)}) and not {undone('i + 1')} and not {undone('i + 2')} and {near})) > 0"
+    return f"list_filter(range(1, len(w) + 1), lambda i: {verb} and not list_has_any(w[greatest(1, i - 5) : i - 1], {fold(messages.NEGATORS)}) and not {undone('i + 1')} and not {undone('i + 2')} and {near})[1]"
 
 
 def demands(t: str, pattern: str) -> str:
@@ -198,26 +210,42 @@ def demands(t: str, pattern: str) -> str:
     return f"list_transform(list_filter(range(1, len({t}) + 1), lambda i: regexp_matches({t}[i], '{edge(pattern)}') and (ac or ao or not ({about(f'{t}[i]')} or {about(f'{t}[i - 1]')}))), lambda i: regexp_extract({t}[i], '{edge(pattern)}', 2))"
 
 
-def rule_count(rule: str) -> str:
-    """How many different hits a rule has."""
-    patterns = messages.RULES[rule][2]
+def rule_found(rule: str) -> str:
+    """The different things that a rule finds, in order: matches of its pattern, then quotes of its phrases."""
+    _, _, patterns, lists = messages.RULES[rule]
     if rule in ("ask-credential", "ask-secret"):
-        return f"case when {'ac' if rule == 'ask-credential' else 'ao'} then 1 else 0 end"
+        return f"case when {'ac' if rule == 'ask-credential' else 'ao'} then [w[{'ic' if rule == 'ask-credential' else 'io'}]] else [] end"
     if rule == "secrecy":
-        return f"len(list_distinct(list_concat({demands('ps', patterns[0])}, {demands('fs', messages.feed(rule))})))"
+        return f"list_concat({demands('ps', patterns[0])}, list_transform(list_filter(coalesce(\"secrecy\", []), lambda h: ac or ao or not h.about), lambda h: h.q))"
     where = " and ".join([*(has("p", x) for x in patterns), *([has("regexp_replace(p, '(will|would|shall|they|he|she) (return|refund|send)', '', 'g')", patterns[2])] if rule == "wrong-transfer" else [])])
-    own = f"case when {where} then {found('p', patterns[0])} else [] end"
-    return f"len(list_distinct(list_concat({own}, {found('f', messages.feed(rule))})))" if rule in messages.FEEDS else f"len(list_distinct({own}))"
+    own = f"case when {where} then {found('p', patterns[0])} else [] end" if patterns else "[]"
+    fed = f"case when {' and '.join(f'\"{x}\" is not null' for x in lists)} then list_transform(\"{lists[0]}\", lambda h: h.q) else [] end" if lists else "[]"
+    return f"list_concat({own}, {fed})"
 
 
 ASKING = edge("|".join(w for w in messages.ASKS if w.isascii()))
 AT_DOOR = f"array_to_string(list_transform(string_split_regex(p, '{messages.SENTENCE_END}'), lambda s: case when {has('s', messages.DOOR)} and {has('s', 'otp')} then regexp_replace(s, '{ASKING}', '\\1x\\3', 'g') else s end), ' ')"
 PAIRED = f"regexp_replace(case when p like '%delivery%' then {AT_DOOR} else p end, '(card|bank|account|security|verification) (number|details|code)', '\\1\\2', 'g')"
-READ = f"""with {TURNS}, m as (select conv_id, turn, {PREPARED} as p from turns), g as (select *, {sql_fold('p')} as f, regexp_extract_all({sql_fold(PAIRED)}, '{messages.TOKEN.replace("'", "''")}') as w from m),
- k as (select *, string_split_regex(p, '{messages.SENTENCE_END}') as ps, string_split_regex(f, '{messages.SENTENCE_END}') as fs, {asked(messages.CREDENTIALS)} as ac, {asked(messages.CODES)} as ao from g),
- c as (select conv_id, turn, p, ac, ao, {', '.join(f"{rule_count(r)} as n{i}" for i, r in enumerate(messages.RULES))} from k)"""
-FIRED = f"with {TURNS}, m as (select conv_id, turn, {PREPARED} as p from turns)"
-INTENT = ", ".join(f"{{'n': {' + '.join(f'{has('p', w)}::int' for w in words)}, 'i': {-i}, 'k': '{k}'}}" for i, (k, words) in enumerate(messages.INTENTS))
+SQL_TOKEN = quoted(lexicon.TOKEN)
+CLEARED = f"list_transform(regexp_extract_all({sql_fold(PAIRED)}, {SQL_TOKEN}), lambda x: case when contains(x, chr(57344)) then coalesce(list_filter({sql_list(messages.ASKING)}, lambda v: v like replace(x, chr(57344), '_'))[1], x) else x end)"
+PHRASES = ", ".join(f"('{k}', {i}, {quoted(p)})" for k, i, p in lexicon.phrases())
+ABOUT = lambda x: f"coalesce(regexp_matches({x}, '{edge(messages.ABOUT)}'), false)"
+#: Hits of phrases as a join of all windows of up to nine tokens with all phrases: equal ones, and those that a window with ANY is like.
+HITS = f"""lex as materialized (select id, ord, len(string_split(phrase, ' ')) as n, {sql_fold('phrase')} as f from (values {PHRASES}) v(id, ord, phrase)),
+ k as materialized (select *, regexp_extract_all(p, {SQL_TOKEN}) as tk, string_split_regex(p, '{messages.SENTENCE_END}') as ps, {CLEARED} as w from m),
+ fd as materialized (select conv_id, turn, tk, ps, list_transform(tk, lambda x: case when regexp_matches(x, '^[0-9]+$') then '#' else {sql_fold('x')} end) as fk from k),
+ spots as (select conv_id, turn, unnest(range(0, len(tk))) as pos from fd),
+ wins as materialized (select conv_id, turn, pos, n, array_to_string(fk[pos + 1 : pos + n], ' ') as s, array_to_string(tk[pos + 1 : pos + n], ' ') as q from spots join fd using (conv_id, turn), range(1, 10) r(n) where pos + n <= len(tk)),
+ met as (select conv_id, turn, pos, q, id, ord from wins x join lex l on x.s = l.f and x.n = l.n union all select conv_id, turn, pos, q, id, ord from wins x join lex l on x.n = l.n and contains(x.s, chr(57344)) and l.f like replace(x.s, chr(57344), '_')),
+ best as (select conv_id, turn, pos, id, arg_min(q, ord) as q from met group by 1, 2, 3, 4),
+ placed as (select b.*, ps, case when id = 'secrecy' then len(list_filter(range(1, len(ps) + 1), lambda i: list_sum(list_transform(ps[1 : i], lambda x: len(regexp_extract_all(x, {SQL_TOKEN})))) <= pos)) end as sn from best b join fd using (conv_id, turn)),
+ lead as (select conv_id, turn, pos, id, {{'q': q, 'about': {ABOUT('ps[sn + 1]')} or {ABOUT('ps[sn]')}}} as h from placed),
+ hits as (select conv_id, turn, {', '.join(f"list(h order by pos) filter (where id = '{x}') as \"{x}\"" for x in lexicon.PATTERNS)} from lead group by 1, 2)"""
+READ = f"""{READ_P}, {HITS}, q as (select k.*, {asked(messages.CREDENTIALS)} as ic, {asked(messages.CODES)} as io from k), g as (select *, ic is not null as ac, io is not null as ao from q),
+ c as (select conv_id, turn, p, ac, ao, {', '.join(f"list_distinct({rule_found(r)}) as l{i}, ({rule_found(r)})[1] as q{i}, len(l{i}) as n{i}" for i, r in enumerate(messages.RULES))} from g left join hits using (conv_id, turn))"""
+FIRED = READ_P
+KEY = lambda w: "(^|[^a-z0-9])" + "".join(f"[{c}]" if c.isalnum() else c for c in w) + "($|[^a-z0-9])"
+INTENT = ", ".join(f"{{'n': {' + '.join(f"regexp_matches(p, '{KEY(w)}')::int" for w in words)}, 'i': {-i}, 'k': '{k}'}}" for i, (k, words) in enumerate(messages.INTENTS))
 TOPIC = f"case when len(list_filter(string_split(p, ' '), lambda w: w <> '')) <= 14 then case {' '.join(f"when regexp_matches(p, '{pat}') then '{k}'" for k, pat in assistant.TOPICS)} end end"
 DANGLING = ", ".join(f"'{w}'" for w in assistant.DANGLING)
 
@@ -227,23 +255,24 @@ SQL = {
     "secrecy_guard": f"{READ} select conv_id, turn, n{list(messages.RULES).index('secrecy')} > 0 as stands from c",
     "intent_top1": f"{FIRED}, i as (select conv_id, turn, list_sort([{INTENT}], 'desc')[1] as b from m) select conv_id, turn, case when b.n > 0 then b.k end as intent from i",
     "money_loss": f"{FIRED} select conv_id, turn, {has('p', messages.LOSS)} as loss from m",
-    "small_talk": f"with {BARE}, m as (select conv_id, turn, {PREPARED} as p from bare) select conv_id, turn, case {' '.join(f"when regexp_matches(p, '{p.replace('(?![a-z])', '($|[^a-z])')}') then '{k}'" for k, p in messages.SMALL_TALK)} end as kind from m",
-    "followup_topic": f"with {BARE}, m as (select conv_id, turn, {PREPARED} as p from bare) select conv_id, turn, {TOPIC} as topic from m",
-    "incomplete_utterance": f"with {BARE}, m as (select conv_id, turn, {PREPARED} as p from bare) select conv_id, turn, p = '' or string_split(regexp_replace(p, '[^a-z0-9'' ]+', '', 'g'), ' ')[-1] in ({DANGLING}) or regexp_matches(p, '([.]{{3}}|…|,|-)$') as incomplete from m",
-    "questions": f"with {BARE}, m as (select conv_id, turn, {PREPARED} as p from bare) select conv_id, turn, len(list_filter(string_split(p, ' '), lambda w: w <> '')) <= 24 and (regexp_matches(p, '[?]$') or regexp_matches(p, '^(who|what|when|where|why|how|can|should|is|are|do|does|will|kya|kaise|kab)($|[^a-z])')) as question from m",
+    "small_talk": f"{READ_P} select conv_id, turn, case {' '.join(f"when regexp_matches(p, '{p.replace('(?![a-z])', '($|[^a-z])')}') then '{k}'" for k, p in messages.SMALL_TALK)} end as kind from m",
+    "followup_topic": f"{READ_P} select conv_id, turn, {TOPIC} as topic from m",
+    "incomplete_utterance": f"{READ_P} select conv_id, turn, p = '' or string_split(regexp_replace(p, '[^a-z0-9'' ]+', '', 'g'), ' ')[-1] in ({DANGLING}) or regexp_matches(p, '([.]{{3}}|…|,|-)$') as incomplete from m",
+    "questions": f"{READ_P} select conv_id, turn, len(list_filter(string_split(p, ' '), lambda w: w <> '')) <= 24 and (regexp_matches(p, '[?]$') or regexp_matches(p, '^(who|what|when|where|why|how|can|should|is|are|do|does|will|kya|kaise|kab)($|[^a-z])')) as question from m",
     "knowledge_idf": "with w as (select distinct conv_id as entry, unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from conversations) select word, count(*) as df, round(ln((select count(distinct entry) from w) / count(*)::double), 6) as idf from w group by word",
-    "knowledge_route": f"with {BARE} select conv_id, turn, {best_known('text')} as entry from bare",
-    "phrase_hits": f"""with {TURNS}, k as (select conv_id, turn, regexp_extract_all(regexp_replace(lower(text), '([0-9]),([0-9])', '\\1\\2', 'g'), '[a-z'']+|[0-9]+') as tk from turns), l as (select * from (values {', '.join(f"('{k}', {i}, '{p}')" for k, ps in LEXICON.items() for i, p in enumerate(ps))}) v(id, ord, phrase)),
- p as (select conv_id, turn, tk, unnest(range(0, len(tk))) as pos from k), h as (select conv_id, turn, pos, id, ord, phrase from p, l where array_to_string(tk[pos + 1 : pos + len(string_split(phrase, ' '))], ' ') = phrase and len(tk) >= pos + len(string_split(phrase, ' ')))
+    "knowledge_route": f"with {TURNS} select conv_id, turn, {best_known('text')} as entry from turns",
+    "phrase_hits": f"""{READ_P}, k as (select conv_id, turn, regexp_extract_all(p, {SQL_TOKEN}) as tk from m), l as (select id, ord, phrase, len(string_split(phrase, ' ')) as n, {sql_fold('phrase')} as f from (values {', '.join(f"('{k}', {i}, '{p}')" for k, ps in LEXICON.items() for i, p in enumerate(ps))}) v(id, ord, phrase)),
+ p as (select conv_id, turn, list_transform(tk, lambda x: case when regexp_matches(x, '^[0-9]+$') then '#' else {sql_fold('x')} end) as fk, unnest(range(0, len(tk))) as pos from k),
+ h as (select conv_id, turn, pos, id, ord, phrase from p, l where len(fk) >= pos + n and f like replace(array_to_string(fk[pos + 1 : pos + n], ' '), chr(57344), '_'))
  select conv_id, turn, pos::int as pos, id, arg_min(phrase, ord) as phrase from h group by 1, 2, 3, 4""",
 }
-SCORE = " + ".join(f"case when n{i} > 0 then {w}{f' + least(2, n{i} - 1)' if w >= 2 else ''} else 0 end" for i, (w, _, _) in enumerate(messages.RULES.values()))
-FAMILY = "case " + " ".join(f"when {' or '.join(f'n{i} > 0' for i, (_, g, _) in enumerate(messages.RULES.values()) if g == f)} then '{f}'" for f in messages.FAMILIES) + " end"
+SCORE = " + ".join(f"case when n{i} > 0 then {w}{f' + least(2, n{i} - 1)' if w >= 2 else ''} else 0 end" for i, (w, _, _, _) in enumerate(messages.RULES.values()))
+FAMILY = "case " + " ".join(f"when {' or '.join(f'n{i} > 0' for i, (_, g, _, _) in enumerate(messages.RULES.values()) if g == f)} then '{f}'" for f in messages.FAMILIES) + " end"
 VERDICTS = f"{READ}, v as (select conv_id, turn, {SCORE} as score, {FAMILY} as family from c), lv as (select *, case when score >= 5 then 'scam' when score >= 3 then 'suspicious' else 'nothing' end as level from v)"
 SQL["message_verdict"] = f"{VERDICTS} select conv_id, turn, score, level, family from lv"
 ADVICE = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in (k, *v)) + ")" for k, v in messages.ABOUT_FAMILIES.items())
 SQL["family_advice"] = f"{VERDICTS} select conv_id, turn, level, family, a.name, case when level <> 'nothing' then a.intent end as intent, case when level <> 'nothing' then a.advice else 'Nothing known was found; that does not make it genuine.' end as advice from lv left join (values {ADVICE}) a(fam, name, intent, advice) on fam = family"
-SQL["verdict_by_role"] = f"{VERDICTS} select role, level, count(*) as n, sum(score)::bigint as score from lv join conversations c using (conv_id, turn) group by 1, 2"
+SQL["verdict_by_role"] = f"{VERDICTS} select role, level, count(*) as n, sum(score)::bigint as score from lv join turns c using (conv_id, turn) group by 1, 2"
 SQL["followup_asof"] = f"""{VERDICTS}, t as (select conv_id, turn, turn * (600 + conv_id % 7 * 900) as s, case when level <> 'nothing' then level end as v from lv)
  select a.conv_id, a.turn, (select arg_max(b.v, b.s) from t b where b.conv_id = a.conv_id and b.v is not null and b.s < a.s and b.s >= a.s - 3600) as remembered from t a"""
 QUERIES = {f.__name__: f for f in (
