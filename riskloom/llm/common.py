@@ -182,3 +182,25 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, how: str
     keys = F.broadcast(hot.select(key))
     split = F.broadcast(hot.drop(weight))
     return left.join(split, key).unionByName(left.join(keys, key, "left_anti").join(cold, key, how))
+
+
+def join_salted(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "inner", rows: int | None = None) -> DataFrame:
+    """join_hot by one shuffle, in which left is read once: rows of a hot key are dealt to places by their hash, and the key's row
+    of right stands in each of these places. rows: how many rows left has, if that is known; else right's weights are added up.
+
+    The broadcast table has a row for each key of more rows than an even share of a partition: fewer than there are partitions.
+    """
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = rows if rows is not None else right.agg(F.sum(weight)).first()[0] or 0
+    most = max(1, total // parts)
+    places = F.ceil(F.col(weight) / most).cast("int")
+    hot = F.broadcast(right.where(F.col(weight) > most).select(key, places.alias("__places")))
+    dealt = left.join(hot, key, "left").withColumn("__place", F.when(F.col("__places").isNotNull(), F.pmod(F.xxhash64(*[quoted(c) for c in left.columns]), F.col("__places")).cast("int")).otherwise(0)).drop("__places")
+    spread = right.withColumn("__place", F.explode(F.sequence(F.lit(0), F.greatest(places, F.lit(1)) - 1))).drop(weight)
+    return dealt.join(spread, [key, "__place"], how).drop("__place")
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of the file system that its path names."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -109,9 +109,13 @@ def running(ranged: DataFrame, order: list[str]) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([*ranged.schema.fields, T.StructField("before", T.LongType())]))
 
 
-def mixed(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
-    """docs as the mix takes them: each row as often as its taken words hold it, a half or more counting as once."""
-    keyed = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+def mixed(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", row_col: str | None = None) -> DataFrame:
+    """docs as the mix takes them: each row as often as its taken words hold it, a half or more counting as once.
+
+    row_col: a unique key of docs' rows that is the same each time they are read, and is dropped; without one, docs are written
+    to the shared checkpoint folder with such a key.
+    """
+    keyed = cut(docs.withColumn("__row", F.monotonically_increasing_id())) if row_col is None else docs.withColumnRenamed(row_col, "__row")
     took = mix(keyed, text_col, source_col, id_col, row_col="__row").where("size > 0").select("__row", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("__times")).where("__times > 0")
     joined = keyed.join(took, "__row")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[quoted(c) for c in docs.columns])
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[quoted(c) for c in docs.columns if c != row_col])

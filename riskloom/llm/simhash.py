@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BATCH_ROWS, cut, join_hot, prepare, quoted, with_arrow
+from .common import BATCH_ROWS, cut, join_salted, prepare, quoted, with_arrow
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Widths of the ring's segments, and the place of each one's lowest bit.
@@ -163,7 +163,7 @@ def links(prints: DataFrame, col: str = "simhash") -> DataFrame:
     # A key of many fingerprints: each one goes to one of its blocks, and each pair of blocks is a task's group.
     plain = F.count_if(F.col("role") == 0)
     hot = cut_edges(rows.groupBy("key").agg(F.ceil(plain / BLOCK).cast("int").alias("blocks"), F.count("*").alias("rows")).where("blocks > 1"))
-    dealt = join_hot(rows, hot, "key", "rows", "left").withColumn("own", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("f"), F.col("blocks")).cast("int")).otherwise(0))
+    dealt = join_salted(rows, hot, "key", "rows", "left").withColumn("own", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("f"), F.col("blocks")).cast("int")).otherwise(0))
     others = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     # Group (u, v): plain rows of block u, compared with plain rows of v (u <= v) and changed rows of v.
     grouped = dealt.select("key", "f", "role", "own", F.explode(others).alias("other"))
@@ -213,22 +213,25 @@ def links(prints: DataFrame, col: str = "simhash") -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(a, b): each node that has a smaller one in its component, and the least of them. Large-star and small-star rounds.
 
-    A node of many edges meets its least neighbour by broadcast (see join_hot), so a hub's edges stay dealt out.
+    A hub's edges are dealt out where they meet its least neighbour (see join_salted).
     """
-    pair = lambda a, b: (F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
+    pair = lambda a, b: F.struct(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
     near = lambda df: df.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("rows"))
-    e = cut(edges.where("a <> b").select(*pair("a", "b")).distinct())
+    e = cut(edges.where("a <> b").select(pair("a", "b").alias("p")).select("p.*").distinct())
     before = None
     for _ in range(most_rounds):
         sign = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if sign == before or not sign[0]:
             return e
         before = sign
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # Each node's larger neighbours go to the least of all its neighbours and itself.
+        both = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.*")
         least = near(both).withColumn("m", F.least("a", "m"))
-        large = join_hot(both.where("b > a"), least, "a", "rows").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").select(*pair("a", "b")).distinct()
-        least = near(large)
-        small = join_hot(large, least, "a", "rows").where("b <> m").select(*pair("b", "m")).unionByName(least.select("a", F.col("m").alias("b")))
+        up = e.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        large = join_salted(up, least, "a", "rows", rows=sign[0]).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # Each node and its smaller neighbours go to the least of these.
+        met = join_salted(large, near(large), "a", "rows", rows=sign[0])
+        small = met.select(F.explode(F.array(pair("b", "m"), F.struct(F.col("a"), F.col("m").alias("b")))).alias("p")).select("p.*").where("a <> b")
         e = cut(small.distinct())
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
@@ -238,8 +241,8 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     prints = cut(simhash(docs.select(quoted(id_col), quoted(text_col).cast("string").alias("__text")), "__text", keep=[id_col]))
     classed = classes(prints, quoted(id_col))
     least = cut(classed.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("prints")))
-    found = cut(join_hot(classed, least, "root", "prints").select("simhash", "component_id", "rows"))
-    return join_hot(prints, found, "simhash", "rows").select(quoted(id_col), "simhash", "component_id")
+    found = cut(join_salted(classed, least, "root", "prints").select("simhash", "component_id", "rows"))
+    return join_salted(prints, found, "simhash", "rows").select(quoted(id_col), "simhash", "component_id")
 
 
 def classes(prints: DataFrame, value: Column) -> DataFrame:
