@@ -12,11 +12,12 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import bpe, langid, mixing, secret_scan, simhash
-from riskloom.llm.common import checkpoint_folder, crc_mod, prepare, table
+from riskloom.llm.common import checkpoint_folder, crc_mod, delete, prepare, table
 
 #: A text whose language is less sure than this is rejected, as are texts without a letter. On sf0.1 this rejects 8 of 10,000
 #: documents (half of them shouted or strewn with signs), all of 100 Greek texts, and about half of 300 texts of random letters,
@@ -27,9 +28,9 @@ LEAST_LANGUAGE_SCORE = 0.40
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model can tell; it learns from those whose crc32(doc_id) mod 4 is not 2."""
     model = langid.fit_language_model(docs.where(crc_mod(F.col("doc_id"), 4) != 2), "text", "lang", "doc_id")
-    slim = docs.select("*", F.struct("*").alias("__row"))
-    found = langid.detect_language(slim, model, keep=["__row"])
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("__row.*")
+    own = {f"__c{i}": c for i, c in enumerate(docs.columns)}  # names that clash with no new column
+    found = langid.detect_language(docs.toDF(*own), model, next(k for k, c in own.items() if c == "text"))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*[F.col(k).alias(c) for k, c in own.items()])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +44,12 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
-    return mixing.mixed(docs)
+    """Documents as often as the mix of sources takes them. Rows of files are told by file and place there."""
+    try:
+        rows = docs.select("*", F.concat_ws(":", "_metadata.file_name", "_metadata.row_index").alias("__row"))
+    except AnalysisException:  # not read from files
+        return mixing.mixed(docs)
+    return mixing.mixed(rows, row_col="__row")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,5 +70,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        if k:  # what that stage was made of
+            delete(spark, f"{folder}/{k - 1}")
         docs = spark.read.parquet(f"{folder}/{k}")
     return STAGES[-1][1](spark, docs, sf_dir)
