@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BATCH_ROWS, cut, join_salted, prepare, quoted, with_arrow
+from .common import BATCH_ROWS, cut, join_hot, join_salted, prepare, quoted, with_arrow
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Widths of the ring's segments, and the place of each one's lowest bit.
@@ -163,7 +163,7 @@ def links(prints: DataFrame, col: str = "simhash") -> DataFrame:
     # A key of many fingerprints: each one goes to one of its blocks, and each pair of blocks is a task's group.
     plain = F.count_if(F.col("role") == 0)
     hot = cut_edges(rows.groupBy("key").agg(F.ceil(plain / BLOCK).cast("int").alias("blocks"), F.count("*").alias("rows")).where("blocks > 1"))
-    dealt = join_salted(rows, hot, "key", "rows", "left").withColumn("own", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("f"), F.col("blocks")).cast("int")).otherwise(0))
+    dealt = join_hot(rows, hot, "key", "rows", "left").withColumn("own", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("f"), F.col("blocks")).cast("int")).otherwise(0))
     others = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     # Group (u, v): plain rows of block u, compared with plain rows of v (u <= v) and changed rows of v.
     grouped = dealt.select("key", "f", "role", "own", F.explode(others).alias("other"))
