@@ -11,12 +11,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANK = "[ \\t\\n\\x0B\\f\\r]+"
-#: Cyrillic and Greek letters that look like Latin ones, and those. (Fixed values: public confusables.)
-LOOKALIKES = ("асеорхуіјѕνοαρτικ", "aceopxyijsvoaptik")
-ZERO_WIDTH = "[\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{FEFF}]"
+#: Cyrillic and Greek letters that look like Latin ones, and those: small ones, and capitals that look so only as capitals.
+#: (Fixed values: public confusables.)
+LOOKALIKES = ("асеорхуіјѕһνοαρτικ" "АВСЕНІЈКМОРЅТХУ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aceopxyijshvoaptik" "ABCEHIJKMOPSTXY" "ABEZHIKMNOPTYX")
+ZERO_WIDTH = "[\\x{00AD}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{FEFF}]"
 #: Stands for any letter where a sign has been put in a letter's place.
 ANY = "\ue000"
-SWAPS = "[@$!|*]"
+#: Signs that are put in a letter's place. (Fixed values.)
+SWAPS = "[013457@$]"
 
 
 def squeeze(c: Column) -> Column:
@@ -50,16 +52,16 @@ def nfkc(c: Column) -> Column:
 
 
 def normalise(c: Column) -> Column:
-    """NFKC, no invisible characters, look-alikes as Latin, spaced-out letters joined, swapped signs as ANY.
+    """NFKC, no invisible characters, look-alikes as Latin, letters set apart joined, swapped signs as ANY.
 
-    Applied twice it gives what it gives once. Letters set apart singly (three or more) become one word.
+    Applied twice it gives what it gives once. Three or more single letters with one blank, dot, hyphen or underscore between become
+    one word. A word with two letters or more and one or two swapped signs has ANY for them, so amounts and numbers stay.
     """
     t = squeeze(F.translate(F.regexp_replace(nfkc(c), ZERO_WIDTH, ""), *LOOKALIKES))
-    single = "(?<=(?<![A-Za-z])[A-Za-z] [A-Za-z]) (?=[A-Za-z](?![A-Za-z]))|(?<=(?<![A-Za-z])[A-Za-z]) (?=[A-Za-z] [A-Za-z](?![A-Za-z]))"
-    t = F.regexp_replace(t, single, "")
-    swapped = lambda w: F.regexp_replace(w, f"(?<=[A-Za-z]){SWAPS}(?=[A-Za-z])", ANY)
-    fits = lambda w: (F.regexp_count(w, F.lit("[A-Za-z]")) >= 2) & F.regexp_count(w, F.lit(f"(?<=[A-Za-z]){SWAPS}(?=[A-Za-z])")).between(1, 2) & ~w.contains("://")
-    return F.array_join(F.transform(F.split(t, " "), lambda w: F.when(fits(w), swapped(w)).otherwise(w)), " ")
+    s, one = "[ ._-]", "[A-Za-z]"
+    t = F.regexp_replace(t, f"(?<=(?<!{one}){one}{s}{one}){s}(?={one}(?!{one}))|(?<=(?<!{one}){one}){s}(?={one}{s}{one}(?!{one}))", "")
+    fits = lambda w: (F.regexp_count(w, F.lit(one)) >= 2) & F.regexp_count(w, F.lit(SWAPS)).between(1, 2)
+    return F.array_join(F.transform(F.split(t, " "), lambda w: F.when(fits(w), F.regexp_replace(w, SWAPS, ANY)).otherwise(w)), " ")
 
 
 def keyword(word: str, prefix: bool = False) -> str:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,12 +13,6 @@ TOPICS = [
     ("why", "^why|how do you know|what makes"), ("sure", "are you sure|really|certain"), ("safe", "is it (?:safe|real|genuine|ok)"), ("next", "what (?:should|do|can) i do|what now|next"),
     ("paid", "i (?:already )?(?:paid|sent|transferred)"), ("clicked", "i (?:already )?(?:clicked|opened|tapped)"), ("shared", "i (?:already )?(?:shared|gave|told)"), ("report", "(?:where|how) (?:do|can|to) (?:i )?report|complain"), ("block", "block (?:it|them|him|her|this)"),
 ]
-#: Known questions: id, words of which each group must be met. Own wording.
-KNOWLEDGE = [
-    ("report-fraud", [["report", "complaint", "complain"], ["fraud", "scam", "cheating"]]), ("helpline", [["helpline", "number", "1930"]]), ("otp-share", [["share", "give", "tell"], ["otp", "code"]]),
-    ("upi-pin", [["upi"], ["pin"], ["receive", "get"]]), ("refund-time", [["refund", "money"], ["back", "return"], ["time", "long", "when"]]), ("kyc-call", [["kyc"], ["call", "sms", "message"]]),
-    ("digital-arrest", [["digital"], ["arrest"]]), ("loan-app", [["loan"], ["app", "apps"]]), ("job-task", [["job", "task"], ["online", "home", "telegram"]]), ("qr-pay", [["qr", "scan"], ["receive", "pay", "money"]]),
-]
 DANGLING = ["a", "an", "and", "but", "for", "if", "in", "is", "my", "of", "or", "the", "to", "with"]
 
 
@@ -55,13 +47,13 @@ def is_question(c: Column) -> Column:
     return (words <= 24) & (t.rlike("[?]$") | t.rlike("^(?:who|what|when|where|why|how|can|should|is|are|do|does|will|kya|kaise|kab)(?![a-z])"))
 
 
-def route(c: Column, link: Column, level: Column, remembered: Column, awaiting: Column) -> Column:
-    """What answers a user's text: the first of these that holds."""
+def route(c: Column, link: Column, level: Column, remembered: Column, awaiting: Column, known: Column) -> Column:
+    """What answers a user's text: the first of these that holds. known: the entry that a question met (operators/knowledge.py)."""
     share = F.length(link) >= 0.8 * F.length(c)
     first_person = messages.prepared(c).rlike("^(?:i|my|me|we|mera|maine)(?![a-z])")
     return (
         F.when(awaiting & (link != ""), "awaited-link").when((link != "") & share, "link").when(level.isin("scam", "suspicious") & ~first_person, "message").when(link != "", "contains-link")
-        .when(remembered.isNotNull() & followup_topic(c).isNotNull(), "follow-up").when(knowledge(c).isNotNull() & is_question(c), "knowledge").when(messages.intent(c).isNotNull(), "intent").when(messages.money_loss(c), "money-loss")
+        .when(remembered.isNotNull() & followup_topic(c).isNotNull(), "follow-up").when(known.isNotNull(), "knowledge").when(messages.intent(c).isNotNull(), "intent").when(messages.money_loss(c), "money-loss")
         .when(messages.prepared(c).rlike("my name is [a-z]{2,20}"), "name").when(messages.small_talk(c).isNotNull(), "small-talk").when(F.length(c) >= 60, "late-analysis").otherwise("unanswered")
     )
 
@@ -72,30 +64,29 @@ def idf(entries: DataFrame) -> DataFrame:
     return entries.groupBy("word").agg(F.count_distinct("entry").alias("df")).crossJoin(F.broadcast(n)).select("word", "df", F.round(F.log(F.col("n") / F.col("df")), 6).alias("idf"))  # one row
 
 
-def knowledge(c: Column) -> Column:
-    """The known question of which every word group is met by a token of its own, by most groups, then order; null if none."""
-    tokens = tx.words(c, "[a-z0-9']+")
-
-    ranked = sorted(enumerate(KNOWLEDGE), key=lambda x: (-len(x[1][1]), x[0]))
-    # No word stands in two groups of an entry, so each token can meet one group only.
-    met = lambda groups: reduce(lambda a, b: a & b, [F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in g])) for g in groups])
-    return F.coalesce(*[F.when(met(groups), entry) for _, (entry, groups) in ranked])
-
-
 def speech_provider(agent: Column) -> Column:
     """Which speech service a browser's name stands for; the first that fits."""
     return F.when(agent.rlike("Edg/"), "edge").when(agent.rlike("OPR/|SamsungBrowser"), "none").when(agent.rlike("Chrome/"), "google").when(agent.rlike("Safari/"), "apple").otherwise("none")
 
 
 def reachable(edges: DataFrame, start: str) -> DataFrame:
-    """flow and node of a dialogue graph (flow, node, next) that steps from each flow's start lead to, however many; circles end."""
-    spark, seen = edges.sparkSession, 0
-    walk = edges.where(F.col("node") == start).select("flow", "node").distinct()
-    while (n := walk.count()) > seen:  # a dialogue graph is written by hand: a few hundred nodes
-        seen = n
-        more = walk.join(edges, ["flow", "node"]).select("flow", F.col("next").alias("node")).where("node is not null")
-        walk = spark.createDataFrame(walk.union(more).distinct().collect(), walk.schema)
-    return walk
+    """flow, node and steps (the fewest) of a dialogue graph (flow, node, next) that lead from each flow's start to a node; circles end.
+
+    Each round takes the nodes that the round before was the first to meet one step on and drops those known already. Spark's
+    recursive queries have no form that drops known rows, so circles would not end there. Only counts reach the driver, and each
+    round is written to the shared checkpoint folder.
+    """
+    from ..session import written
+
+    steps = edges.where("next is not null").select("flow", "node", "next").distinct()
+    new = written(edges.where(F.col("node") == start).select("flow", "node").distinct().withColumn("steps", F.lit(0)))
+    known, n = new, 0
+    while new.limit(1).count():
+        n += 1
+        met = new.join(steps, ["flow", "node"]).select("flow", F.col("next").alias("node")).distinct()
+        new = written(met.join(known, ["flow", "node"], "left_anti").withColumn("steps", F.lit(n)))
+        known = known.unionByName(new)
+    return known
 
 
 def quiz_scores(answers: DataFrame, key: DataFrame, messages_by_score: dict[int, str]) -> DataFrame:
@@ -131,3 +122,24 @@ def segments(df: DataFrame, key: str, text_col: str, flags: list[tuple[str, str]
     last = F.element_at("_h", -1)["end"]
     whole = F.filter(F.concat(cut, F.array(piece(last, F.length(t) + 1, F.lit(None).cast("string")))), lambda s: s["text"] != "")
     return df.withColumn("_h", hits).select(key, F.when(ok, whole).alias("segments"))
+
+
+#: Where to go with what was lost. (Fixed values: the national helpline and portal.)
+ROUTES = "Report it: call 1930 or go to cybercrime.gov.in."
+
+
+def report_text(level: Column, name: Column, score: Column, quotes: Column, link: Column, advice: Column) -> Column:
+    """A report's text, line by line: what it looks like, the words that gave it away, the link, what to do; lines without content
+    are left out, and where to report stands last if the level is not `nothing`."""
+    said = F.array_join(F.transform(F.slice(quotes, 1, 4), lambda q: F.concat(F.lit('"'), q, F.lit('"'))), ", ")
+    lines = [
+        F.when(level == "nothing", "No known pattern was found.").otherwise(F.concat(F.lit("Looks like "), F.coalesce(name, F.lit("a fraud")), F.lit(" ("), level, F.lit(", score "), score.cast("string"), F.lit(")."))),
+        F.when(F.size(quotes) > 0, F.concat(F.lit("Words: "), said, F.lit("."))), F.when(link != "", F.concat(F.lit("Link: "), link)), advice, F.when(level != "nothing", ROUTES),
+    ]
+    return F.concat_ws("\n", *lines)
+
+
+def cards(families: DataFrame, kind: str | None = None) -> DataFrame:
+    """Cards (family, name, intent) of one kind of help page, or all, with the form's text filled in beforehand."""
+    own = families if kind is None or kind == "All" else families.where(F.col("intent") == kind)
+    return own.withColumn("prefill", F.concat(F.lit("I want to report "), F.col("name"), F.lit(".")))

@@ -79,3 +79,35 @@ def next_id(df: DataFrame, id_col: str, prefix: str, width: int = 4) -> DataFram
     """The next id in sequence."""
     last = F.max(F.try_to_number(F.regexp_extract(id_col, f"^{prefix}([0-9]+)$", 1), F.lit("9999999999")).cast("long"))
     return df.agg(F.concat(F.lit(prefix), F.lpad((F.coalesce(last, F.lit(0)) + 1).cast("string"), width, "0")).alias("next_id"))
+
+
+def statistics(df: DataFrame) -> DataFrame:
+    """dim, value, n, first and last date of all rows and of each language, category, source and obfuscation mark, in one pass."""
+    dims = ["language_tag", "attack_category", "source_platform", "contains_obfuscation"]
+    day = F.try_to_date("date_received", "yyyy-MM-dd")
+    got = df.select(*dims, day.alias("day")).groupingSets([[], *[[F.col(d)] for d in dims]], *dims).agg(F.count("*").alias("n"), F.min("day").alias("first"), F.max("day").alias("last"), F.grouping_id().alias("gid"))
+    dim, value, most = F.lit("all"), F.lit("all"), len(dims)
+    for i, d in enumerate(dims):
+        own = F.col("gid") == (1 << most) - 1 - (1 << (most - 1 - i))
+        dim, value = F.when(own, F.lit(d)).otherwise(dim), F.when(own, F.col(d)).otherwise(value)
+    text = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return got.select(dim.alias("dim"), value.alias("value"), "n", text("first"), text("last"))
+
+
+def external(df: DataFrame, id_col: str, text_col: str, label_col: str, positive: str, excluded: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of an outside corpus that may judge a detector, and how many are lost on the way.
+
+    Texts with one key are one row, the first by id, and are dropped if their labels differ; excluded classes are dropped then.
+    The rows: id, y. The counts: what, n. Keys go as digests.
+    """
+    keyed = df.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.unhex(F.sha2(dedup_key(F.col(text_col)), 256)).alias("key"))
+    groups = keyed.groupBy("key").agg(F.count("*").alias("rows"), F.min("label").alias("label"), F.max("label").alias("other"), F.min("id").alias("id"))
+    clash, out = ~F.col("label").eqNullSafe(F.col("other")), F.col("label").isin(*excluded)
+    kept = groups.where(~clash & ~out).select("id", (F.col("label") == positive).alias("y"))
+    total = lambda c, k: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(k)
+    one = F.lit(1)
+    counts = groups.agg(
+        total("rows", "input"), total(F.when(clash, one), "conflicting_groups"), total(F.when(~clash, one), "after_conflicts_and_repeats"), total(F.when(~clash & out, one), "excluded"),
+        total(F.when(~clash & ~out & (F.col("label") == positive), one), "positive"), total(F.when(~clash & ~out & (F.col("label") != positive), one), "negative"),
+    )
+    return kept, counts.unpivot([], counts.columns, "what", "n")

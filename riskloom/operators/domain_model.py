@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel, Normalizer, VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats
@@ -51,14 +52,19 @@ def endings(df: DataFrame, least: int = 30) -> DataFrame:
 
 def layout(df: DataFrame, bins: int = 4, least: int = 30) -> Model:
     """A model without weights: edges and endings of df (name, registrable). They are few: bins - 1 a number, and one row an ending."""
-    counted = df.select(*[v.cast("double").alias(k) for k, v in names.numbers(F.col("name"), F.col("registrable")).items()])
-    cuts = {k: sorted({float(r["edge"]) for r in names.edges(counted.select(k), k, bins).collect()}) for k in counted.columns}
+    values = df.select(*[measured(v).alias(k) for k, v in names.numbers(F.col("name"), F.col("registrable")).items()])
+    cuts = {k: sorted({float(r["edge"]) for r in names.edges(values.select(k), k, bins).collect()}) for k in values.columns}
     return Model(cuts, sorted(r["ending"] for r in endings(df, least).collect()))
 
 
+def measured(number: Column) -> Column:
+    """A number as it is compared with edges: to six digits, so that equal names fall into one bin on any machine."""
+    return F.round(number.cast("double"), 6)
+
+
 def bins_of(model: Model) -> dict[str, Column]:
     """The bin of each number of name and registrable; a number equal to an edge is below it."""
-    return {k: names.bin_of(v.cast("double"), model.bins[k]) for k, v in names.numbers(F.col("name"), F.col("registrable")).items()}
+    return {k: names.bin_of(measured(v), model.bins[k]) for k, v in names.numbers(F.col("name"), F.col("registrable")).items()}
 
 
 def ending_place(model: Model) -> Column:
@@ -94,6 +100,17 @@ def train(df: DataFrame, model: Model, penalty: float = 0.001, rounds: int = 40)
     return model, df.sparkSession.createDataFrame([k for k in kept if k[1]], "feature int, q int")
 
 
+def counted(df: DataFrame, model: Model, least: int = 2) -> DataFrame:
+    """Weights (feature, q) without training: smoothed log ratios of the labels of the names that have a feature, of which there are
+    `least` at least. df: name, registrable, y; one row a name."""
+    rows = featured(df, model).select("y", F.explode(F.concat("grams", "others")).alias("feature"))
+    totals = df.agg(F.count_if("y").alias("p"), F.count_if(~F.col("y")).alias("n"))
+    each = rows.groupBy("feature").agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg")).where(F.col("pos") + F.col("neg") >= least)
+    w = F.log((F.col("pos") + 1) / (F.col("p") + 2)) - F.log((F.col("neg") + 1) / (F.col("n") + 2))
+    kept = each.crossJoin(F.broadcast(totals)).select("feature", w.alias("w")).where((F.col("feature") >= model.buckets) | (F.abs("w") >= LEAST_WEIGHT))  # one row of totals
+    return kept.select("feature", F.floor(F.col("w") * SCALE + 0.5).cast("int").alias("q"))
+
+
 def scores(df: DataFrame, model: Model, weights: DataFrame) -> DataFrame:
     """name, registrable and z of each different pair. Only features with a weight are summed."""
     d = featured(df.select("name", "registrable").distinct(), model)
@@ -167,7 +184,39 @@ def fingerprint(model: Model, weights: DataFrame) -> str:
     return str(weights.sparkSession.range(1).select(F.sha2(F.lit(whole), 256)).first()[0])
 
 
-def level_matrix(flagged: DataFrame, high: Column) -> DataFrame:
-    """How many addresses have each level by the rules alone (without) and with the names' scores (with); flagged: links.flagged's columns."""
-    both = flagged.select(links.level().alias("without"), links.level(F.coalesce(high, F.lit(False))).alias("with"))
+def publish(model: Model, weights: DataFrame, folder: str) -> str:
+    """Adds a model to a store of versions and returns its version, the fingerprint; a version that is there stays as it is."""
+    version, spark = fingerprint(model, weights), weights.sparkSession
+    weights.withColumn("version", F.lit(version)).write.mode("ignore").parquet(f"{folder}/weights/{version}")
+    layout_row = spark.createDataFrame([(version, json.dumps(asdict(model)))], "version string, layout string")
+    layout_row.write.mode("ignore").parquet(f"{folder}/layouts/{version}")  # last: a version without a layout is not there
+    return version
+
+
+def read(spark: SparkSession, folder: str, version: str) -> tuple[Model, DataFrame]:
+    """A published model; fails if it is not what its version says."""
+    held = json.loads(spark.read.parquet(f"{folder}/layouts/{version}").first()["layout"])
+    model = Model(**held | {"calibration": tuple(held["calibration"])})
+    weights = spark.read.parquet(f"{folder}/weights/{version}").select("feature", "q")
+    if fingerprint(model, weights) != version:
+        raise ValueError(f"the stored model is not version {version}")
+    return model, weights
+
+
+def high_names(scored: DataFrame, threshold: float) -> DataFrame:
+    """Registrable domains whose name scores the threshold or more."""
+    return scored.where(F.col("z") >= threshold).select("registrable").distinct()
+
+
+def level_matrix(df: DataFrame, link: str, high: DataFrame) -> DataFrame:
+    """How many addresses have each level by the rules alone (without) and with the name model's word (with)."""
+    alone = links.level().alias("without")
+    both = links.judged(df, link, high).select(alone, F.col("level").alias("with"))
     return both.groupBy("without", "with").agg(F.count("*").alias("n"))
+
+
+def baselines(df: DataFrame) -> DataFrame:
+    """what and auc of models that look at one thing of a name only; df: name, y."""
+    looks = {"length": F.length("name"), "digits": F.regexp_count("name", F.lit("[0-9]")), "hyphens": F.regexp_count("name", F.lit("-"))}
+    out = [stats.auc(df, x, F.col("y")).select(F.lit(k).alias("what"), "auc") for k, x in looks.items()]
+    return reduce(DataFrame.unionByName, out)

@@ -37,3 +37,8 @@ def check_registry(df: DataFrame, n: str, day: str, digest: str) -> DataFrame:
     """Registry entries in order: dates never fall, digests are 64 hexadecimal digits. A registry holds one row a release, so one window sees it."""
     w = Window.orderBy(n)
     return df.withColumn("problems", F.concat_ws(";", F.when(F.col(day) < F.lag(day).over(w), "order"), F.when(~F.coalesce(F.col(digest).rlike("^[0-9a-f]{64}$"), F.lit(False)), "digest")))
+
+
+def resolve_points(points: DataFrame, figures: DataFrame, key: str, value: str) -> DataFrame:
+    """points with `value` and `missing`: what each point of a series refers to among the figures (one row a key), or that there is none."""
+    return points.join(figures.select(key, value, F.lit(True).alias("__there")), key, "left").withColumn("missing", F.col("__there").isNull()).drop("__there")

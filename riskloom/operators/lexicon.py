@@ -11,7 +11,7 @@ import functools
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -135,7 +135,7 @@ class Automaton:
                 self.ids.append(name)
             state, parts = 0, phrase.split()
             for w in parts:
-                word = self.words.setdefault(folded(w), len(self.words))
+                word = self.words.setdefault(self.key(w), len(self.words))
                 state = edges.setdefault((state, word), len(edges) + 1)
             if parts:
                 ends[state].append((self.ids.index(name), order, len(parts)))
@@ -149,6 +149,11 @@ class Automaton:
         for w in self.words:
             self.by_length[len(w)].append(w)
 
+    @staticmethod
+    def key(word: str) -> str:
+        """What words of phrases are compared by."""
+        return folded(word)
+
     def stands_for(self, token: str) -> list[int]:
         """The words that a token may be."""
         w = folded(token)
@@ -217,13 +222,13 @@ def own_automaton() -> Automaton:
     return Automaton(phrases())
 
 
-def finder(spark, automaton: Automaton | None = None):
-    """A function of a tokens column that gives its hits. Without an automaton: that of this module's lists, built in each task's process."""
+def finder(spark, automaton: Automaton | None = None, make: Callable[[], Automaton] = own_automaton):
+    """A function of a tokens column that gives its hits by an automaton, or by the one that `make` builds in each task's process."""
     ship(spark)
 
     @F.arrow_udf(f"array<{HIT}>")
     def find(lists: pa.Array) -> pa.Array:
-        return (automaton or own_automaton()).find(lists)
+        return (automaton or make()).find(lists)
 
     return find
 

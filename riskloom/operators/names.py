@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats, urls
@@ -48,9 +48,33 @@ def buckets(name: Column, n: int = BUCKETS) -> Column:
     return F.array_distinct(F.transform(grams(name), lambda g: urls.fnv1a(g) % n))
 
 
-def in_scope(host: Column, platforms: list[str]) -> Column:
-    """A plain ASCII name with letters, no address and not under a hosting platform."""
-    return host.rlike("^[a-z0-9.-]+$") & host.rlike("[a-z]") & host.contains(".") & ~urls.registrable(host).isin(*platforms)
+def in_scope(df: DataFrame, platforms: DataFrame) -> DataFrame:
+    """Rows (host, registrable) with a plain ASCII name with letters, no address and not under a hosting platform (registrable)."""
+    host = F.col("host")
+    plain = df.where(host.rlike("^[a-z0-9.-]+$") & host.rlike("[a-z]") & host.contains(".") & ~host.rlike("^(?:0x[0-9a-f]+|[0-9]+)(?:[.](?:0x[0-9a-f]+|[0-9]+))*$"))
+    return plain.join(platforms.select("registrable").distinct(), "registrable", "left_anti")
+
+
+def ranked(df: DataFrame, key: str, by: str, salt: str = "rank") -> DataFrame:
+    """key, by and rank (from 1) by descending `by` (whole numbers); ties in the order of a hash of salt and key, the greater first.
+
+    Ranks are running sums over stretches of the order, so no task sees all rows.
+    """
+    h = F.sha2(F.concat(F.lit(f"{salt}|"), F.col(key).cast("string")), 256)
+    part = lambda at: F.conv(F.substring(h, at, 12), 16, 10).cast("decimal(15,0)")
+    order = (F.col(by).cast("decimal(22,0)") * F.lit(1 << 48).cast("decimal(15,0)")).cast("decimal(38,0)") + part(1)
+    rows = df.select(key, by, order.cast("decimal(38,0)").alias("__order"), F.lit(1).alias("__one"))
+    return stats.running(rows, "__order", {"rank": "__one"}, descending=True).select(key, by, F.col("rank").cast("long").alias("rank"))
+
+
+def rank_bands(rows: DataFrame, key: str, bands: list[tuple[int, int, int]], salt: str = "draw") -> DataFrame:
+    """key, rank and band of n rows of each band (from, to, n) of ranks, those of the least hash of salt and key. Draws do not depend
+    on how rows are dealt out; a band's candidates are cut to n in each task before they meet."""
+    band = F.coalesce(*[F.when(F.col("rank").between(low, high), F.lit(i)) for i, (low, high, _) in enumerate(bands)])
+    most = F.element_at(F.array(*[F.lit(n) for _, _, n in bands]), F.col("band") + 1)
+    drawn = rows.withColumn("band", band).where("band is not null").withColumn("__h", F.sha2(F.concat(F.lit(f"{salt}|"), F.col(key).cast("string")), 256))
+    n = F.row_number().over(Window.partitionBy("band").orderBy("__h", key))
+    return drawn.withColumn("__n", n).where((F.col("__n") <= max(n for _, _, n in bands)) & (F.col("__n") <= most)).select(key, "rank", "band")
 
 
 def edges(df: DataFrame, value: str, bins: int) -> DataFrame:

@@ -56,8 +56,9 @@ def vocabulary(rows: DataFrame, text: Column, least: int = 2) -> DataFrame:
 
 
 def select_winner(candidates: DataFrame, most_bytes: int, least_precision: float) -> DataFrame:
-    """The candidate within size and precision of best recall, then least size."""
-    ok = (F.col("bytes") <= most_bytes) & (F.col("precision") >= least_precision)
+    """The candidate (name, bytes, precision_lo, recall, tp, fp) of best recall among those within size whose precision is proven to
+    reach the floor; ties go to the smaller, then by name. No row if there is none."""
+    ok = (F.col("bytes") <= most_bytes) & (F.col("tp") + F.col("fp") > 0) & (F.col("precision_lo") >= least_precision)
     return candidates.where(ok).orderBy(F.desc("recall"), "bytes", "name").limit(1)
 
 

@@ -304,7 +304,17 @@ def cross_validation(spark, sf_dir):
     return selection.cross_validate(base, [0.8, 0.9], near=selection.leaked(base))
 
 
+def series_points(spark, sf_dir):
+    """Figures that the points of a series refer to: customers by nation, of which some do not exist."""
+    points = table(spark, sf_dir, "customer").selectExpr("c_custkey as point", "c_custkey % 40 as key")
+    figures = table(spark, sf_dir, "nation").selectExpr("n_nationkey as key", "n_name as value")
+    return facts.resolve_points(points, figures, "key", "value")
+
+
+SQL["series_points"] = "select c_custkey as point, c_custkey % 40 as key, n_name as value, n_nationkey is null as missing from customer left join nation on n_nationkey = c_custkey % 40"
+
+
 QUERIES = {f.__name__: f for f in (
     ops_summary, top_rules, flagged_share, ring_buffer, ops_latency, verdict_sessions, stream_ops_windows, stream_followup_state, survey_validate, survey_summary, survey_distributions, awareness_gain,
-    derived_stats, contiguous_days, indian_format, order_dates, image_plan, finder_ratio, speech_chunks, ml_text_lr, bootstrap_auc, cross_validation,
+    derived_stats, contiguous_days, indian_format, order_dates, image_plan, finder_ratio, speech_chunks, ml_text_lr, bootstrap_auc, cross_validation, series_points,
 )}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import stats, text
 from ..operators import dataset, labels, leakage, privacy, textmodel
 from ..sources.tables import table
 
@@ -103,6 +103,32 @@ def source_share(spark, sf_dir):
     return dataset.dominant_sources(holdout(spark, sf_dir), "source_platform").select("source_platform", "n", "rows")
 
 
+def holdout_statistics(spark, sf_dir):
+    return dataset.statistics(holdout(spark, sf_dir))
+
+
+def outside(spark, sf_dir):
+    """The labelled documents as an outside corpus of three classes."""
+    d = docs(spark, sf_dir).select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id")
+    return d.withColumn("label", F.when(F.col("toxic") == 1, "smishing").when(F.col("quality") == 0, "spam").otherwise("ham"))
+
+
+def external_rows(spark, sf_dir):
+    return dataset.external(outside(spark, sf_dir), "doc_id", "text", "label", "smishing", ["spam"])[0]
+
+
+def external_counts(spark, sf_dir):
+    return dataset.external(outside(spark, sf_dir), "doc_id", "text", "label", "smishing", ["spam"])[1]
+
+
+def link_share(spark, sf_dir):
+    """How many texts of each class have a link: a class that links tell apart is told by style alone."""
+    has = F.coalesce(text.link_in(F.col("text")) != "", F.lit(False))
+    lo, hi = stats.wilson(F.col("k"), F.col("n"))
+    return outside(spark, sf_dir).groupBy("label").agg(F.count_if(has).alias("k"), F.count("*").alias("n")).select("label", "k", "n", F.round(F.col("k") / F.col("n"), 6).alias("share"), F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"))
+
+
+OUTSIDE = "o as (select d.doc_id, text, case when toxic = 1 then 'smishing' when quality = 0 then 'spam' else 'ham' end as label from documents d join labels l on d.doc_id = l.doc_id)"
 HOLDOUT = """h as (select doc_id as line, case when doc_id % 53 = 0 then 'bad id' when doc_id % 59 = 1 then 'm1' else 'm' || doc_id end as id, text as raw_text_scrubbed,
  case lang when 'en' then 'en' when 'fr' then 'hi' when 'de' then 'hinglish' else lang end as language_tag, (doc_id % 3 % 2)::varchar as is_scam,
  case when doc_id % 3 = 1 then case when doc_id % 41 = 1 then 'safe' else 'kyc_pan_block' end when doc_id % 43 = 0 then 'sim_swap' else 'safe' end as attack_category,
@@ -277,6 +303,11 @@ SQL = {
     "token_sets": f"with k as (select doc_id, {KEY.format('text')} as key from documents) select doc_id, len({TOKENS.format('key')}) as n_tokens from k",
     "holdout_validate": errors_sql(),
     "stage_checks": stage_sql(),
+    "holdout_statistics": f"""with {HOLDOUT}, d as (select *, try_strptime(date_received, '%Y-%m-%d')::date as day from h), u as (select 'all' as dim, 'all' as value, day from d {' '.join(f"union all select '{c}', {c}, day from d" for c in ('language_tag', 'attack_category', 'source_platform', 'contains_obfuscation'))})
+ select dim, value, count(*) as n, strftime(min(day), '%Y-%m-%d') as first, strftime(max(day), '%Y-%m-%d') as last from u group by 1, 2""",
+    "external_rows": f"with {OUTSIDE}, k as (select {KEY.format('text')} as key, min(doc_id) as id, count(distinct label) as labels, min(label) as label from o group by 1) select id, label = 'smishing' as y from k where labels = 1 and label <> 'spam'",
+    "external_counts": f"""with {OUTSIDE}, k as (select {KEY.format('text')} as key, count(*) as n, count(distinct label) as labels, min(label) as label from o group by 1)
+ select unnest(['input', 'conflicting_groups', 'after_conflicts_and_repeats', 'excluded', 'positive', 'negative']) as what, unnest([sum(n), count(*) filter (where labels > 1), count(*) filter (where labels = 1), count(*) filter (where labels = 1 and label = 'spam'), count(*) filter (where labels = 1 and label = 'smishing'), count(*) filter (where labels = 1 and label = 'ham')])::bigint as n from k""",
     "source_share": f"with {HOLDOUT}, c as (select source_platform, count(*) as n, (select count(*) from h) as rows from h group by 1) select * from c where rows >= 50 and n > 0.4 * rows",
     "kappa": f"with {STORE}, p as (select x.is_scam as x, y.is_scam as y from lab x join lab y on x.message_id = y.message_id and x.annotator_id = 'a1' and y.annotator_id = 'a2'), c as (select count(*) as n, count(*) filter (where x = y)::double / count(*) as po, (count(*) filter (where x) * count(*) filter (where y) + count(*) filter (where not x) * count(*) filter (where not y))::double / (count(*) * count(*)) as pe from p) select n, round(po, 6) as po, round(pe, 6) as pe, case when pe < 1 then round((po - pe) / (1 - pe), 6) end as kappa from c",
     "final_labels": f"with {STORE} select * from fin",
@@ -299,6 +330,6 @@ SQL = {
 SQL["independent_slice"] = f"with lk as ({SQL['leak_benchmark']}) select item_id from benchmark where item_id not in (select sealed_id from lk)"
 QUERIES = {f.__name__: f for f in (
     dedup_key_groups, dedup_first_line, conflict_groups, pii_flags, pii_in_conversations, scrub_placeholders, small_cells, lang_suggest, obfuscation_flag, text_features, token_sets,
-    holdout_validate, stage_checks, source_share, kappa, final_labels, needs_adjudication, export_rows, visible_labels, label_disagreements, leak_exact, leak_near, leak_benchmark,
+    holdout_validate, holdout_statistics, external_rows, external_counts, link_share, stage_checks, source_share, kappa, final_labels, needs_adjudication, export_rows, visible_labels, label_disagreements, leak_exact, leak_near, leak_benchmark,
     independent_slice, hash_split, naive_overlap, nb_weights, nb_scores, vocab_df,
 )}

@@ -46,12 +46,17 @@ def read_tab_labels(spark: SparkSession, path: str, labels: list[str]) -> tuple[
     return parsed.where(good).select("label", "text"), parsed.where(~good).select("value")
 
 
-def read_labelled_csv(spark: SparkSession, path: str, label_column: str, text_column: str, labels: list[str]) -> DataFrame:
-    """label and text of a CSV whose header names the columns in any case; unknown labels are dropped."""
+def read_labelled_csv(spark: SparkSession, path: str, label_column: str, text_column: str, labels: list[str]) -> tuple[DataFrame, DataFrame]:
+    """label and text of a CSV whose header names the columns in any case: rows with a known label, and the others."""
     df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
     names = {c.strip().lower(): c for c in df.columns}
+    missing = [c for c in (label_column, text_column) if c.lower() not in names]
+    if missing:
+        raise ValueError(f"the header has no column {', '.join(missing)}")
     label = F.lower(F.trim(F.col(f"`{names[label_column.lower()]}`")))
-    return df.select(label.alias("label"), F.col(f"`{names[text_column.lower()]}`").alias("text")).where(F.col("label").isin(*labels))
+    rows = df.select(label.alias("label"), F.col(f"`{names[text_column.lower()]}`").alias("text"))
+    known = F.coalesce(F.col("label").isin(*labels), F.lit(False))
+    return rows.where(known), rows.where(~known)
 
 
 def read_ranked_domains(spark: SparkSession, path: str) -> DataFrame:
@@ -74,7 +79,8 @@ def read_files(spark: SparkSession, path: str, most_bytes: int | None = None, na
 
 
 def read_zip_entries(files: DataFrame, most_bytes: int = 1 << 26) -> DataFrame:
-    """path, entry, content of the zip archives in files(path, content); an entry over most_bytes or damaged has null content."""
+    """path, entry, content of the zip archives in files(path, content); an entry over most_bytes or damaged has null content, and a
+    damaged or missing archive is a row without an entry."""
 
     def entries(batches):
         import io
@@ -85,8 +91,9 @@ def read_zip_entries(files: DataFrame, most_bytes: int = 1 << 26) -> DataFrame:
         for b in batches:
             for path, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 try:
-                    archive = zipfile.ZipFile(io.BytesIO(raw))
+                    archive = zipfile.ZipFile(io.BytesIO(raw or b""))
                 except zipfile.BadZipFile:
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([None], pa.string()), pa.array([None], pa.binary())], ["path", "entry", "content"])
                     continue
                 for info in archive.infolist():
                     try:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..session import ship
+from ..session import shared_folder, ship
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 HOUR = 3_600_000_000
@@ -59,12 +59,37 @@ def remembered(events: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
     ).select(key, "event_id", F.timestamp_micros("micros").cast("timestamp_ntz").alias("ts"), "remembered")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names; without one, a folder of this machine, and only where Spark runs on this machine."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return named or "/tmp/checkpoints"
+#: What an event's line of JSON holds; a line that does not fit is damaged.
+LINE = "event_id long, ts timestamp_ntz, event_type string, value double"
+
+
+def parsed(lines: DataFrame, schema: str = LINE, text_col: str = "line") -> DataFrame:
+    """lines with `event` (null for a damaged line). A line is damaged if it is no JSON object, a field is of another type, or the
+    first field (the id) is missing."""
+    first = schema.split()[0]
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    read = lines.withColumn("_e", F.from_json(text_col, f"{schema}, _bad string", options))
+    whole = F.col("_e").isNotNull() & F.col("_e._bad").isNull() & F.col(f"_e.{first}").isNotNull()
+    return read.withColumn("event", F.when(whole, F.col("_e").dropFields("_bad"))).drop("_e")
+
+
+def run_with_dead_letters(lines: DataFrame, schema: str = LINE, text_col: str = "line", folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The good events of a stream of lines, and the damaged lines as they came with the batch that had them.
+
+    Each batch is written to a folder of its number, which a repeated batch replaces, so a restart repeats no rows.
+    """
+    spark = lines.sparkSession
+    folder = folder or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        told = parsed(batch, schema, text_col)
+        told.where("event is not null").select("event.*").write.mode("overwrite").parquet(f"{folder}/events/batch={number}")
+        told.where("event is null").select(text_col).write.mode("overwrite").parquet(f"{folder}/damaged/batch={number}")
+
+    lines.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    events = spark.read.schema(f"{schema}, batch long").option("basePath", f"{folder}/events").parquet(f"{folder}/events/batch=*")
+    damaged = spark.read.schema(f"{text_col} string, batch long").option("basePath", f"{folder}/damaged").parquet(f"{folder}/damaged/batch=*")
+    return events.drop("batch"), damaged
 
 
 def run_available(stream: DataFrame, folder: str | None = None) -> DataFrame:

@@ -79,9 +79,9 @@ def test_expand():
 
 
 DISGUISED = [
-    ("please forward the o t p now", {"ask-secret"}), ("p@ssword bhejo", {"ask-credential"}), ("ｓｈａｒｅ your ＯＴＰ", {"ask-secret"}), ("u​rgent: cl@im your pr!ze and c@ll us back", {"prize", "urgency", "callback"}),
+    ("please forward the o t p now", {"ask-secret"}), ("p@ssword bhejo", {"ask-credential"}), ("ｓｈａｒｅ your ＯＴＰ", {"ask-secret"}), ("u​rgent: cl@im your pr1ze and c@ll us b4ck", {"prize", "urgency", "callback"}),
     ("уоu wоn", {"prize"}), ("खाता बंद, तुरंत केवाईसी अपडेट करें", {"threat", "urgency", "kyc"}), ("మీరు గెలిచారు", {"prize"}), ("Stay, on this call!", {"stay-on-call"}), ("khaata bandh hoga", {"threat"}), ("n e v e r share your pin", set()),
-    ("the p!n|up board is in the hall", set()), ("your otp is 4. kisi ko mat batana", set()), ("kisi ko mat batana. hello", {"secrecy"}),
+    ("send your O-T-P, acc0unt bl0cked", {"ask-secret", "threat"}), ("ТURANT", {"urgency"}), ("pay 15000 on 10-10, room A4 or C3PO", set()), ("the p!n|up board is in the hall", set()), ("your otp is 4. kisi ko mat batana", set()), ("kisi ko mat batana. hello", {"secrecy"}),
 ]
 
 
