@@ -22,6 +22,8 @@ vectors, or no queries, the result is empty. Other columns, whatever their names
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -88,15 +90,42 @@ def distinct_vectors(rows: DataFrame, top: int) -> DataFrame:
     return vecs.join(ids, "key")
 
 
+def means(points: DataFrame) -> dict[int, np.ndarray]:
+    """The mean vector of each number of components. A task gives one row of sums for each, and only these reach the driver."""
+
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        count: dict[int, int] = {}
+        for b in batches:
+            dims = np.array(b.column(0).to_pylist())
+            for d in np.unique(dims).tolist():
+                x = matrix(b.filter(pa.array(dims == d)).column(1))
+                sums[d] = sums.get(d, 0) + x.sum(axis=0)
+                count[d] = count.get(d, 0) + len(x)
+        for d, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([count[d]], pa.int64()), pa.array([total.tolist()], pa.list_(pa.float64()))], ["dim", "n", "total"])
+
+    rows = points.select(F.col("dim").cast("int"), "vec").mapInArrow(run, "dim int, n long, total array<double>").collect()
+    out = {}
+    for d in {r["dim"] for r in rows}:
+        own = [r for r in rows if r["dim"] == d]
+        mean = np.array([math.fsum(c) for c in zip(*[r["total"] for r in own])]) / sum(r["n"] for r in own)
+        # Sums depend on the order of rows in their last digits; strings must not.
+        scale = 10.0 ** (5 - np.floor(np.log10(max(np.abs(mean).max(), 1e-300))))
+        out[d] = np.round(mean * scale) / scale if np.isfinite(mean).all() else np.zeros(d)
+    return out
+
+
 def hashed(points: DataFrame) -> DataFrame:
-    """points with `strings`: one integer a tree."""
+    """points with `strings`: one integer a tree, by the direction from the mean of all vectors (distances don't depend on it)."""
+    centre = means(points)
 
     def run(batches):
         for b in batches:
             dims = np.array(b.column("dim").to_pylist())
             for d in np.unique(dims):
                 own = b.filter(pa.array(dims == d))
-                x = matrix(own.column("vec"))
+                x = matrix(own.column("vec")) - centre[int(d)]
                 made = np.stack([strings(x, t) for t in range(TREES)], axis=1)
                 column = pa.ListArray.from_arrays(pa.array(np.arange(0, made.size + 1, TREES, dtype=np.int32)), pa.array(made.ravel()))
                 yield pa.RecordBatch.from_arrays([*own.columns, column], [*own.schema.names, "strings"])
