@@ -129,7 +129,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, text_col: str
             out += [(c[o].astype(np.int32).tobytes(), x[o].astype(np.float32).tobytes()) for o in (order[at[k] : at[k + 1]] for k in range(j - i))]
         return pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())
 
-    got = with_arrow(rows, ["text"], [T.StructField("c", T.BinaryType()), T.StructField("x", T.BinaryType())], make, ["id", "y"]).collect()
+    # Of rows with one id, that with the least digest stands for all: an id is one labelled row, however often it is repeated.
+    told = rows.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    least = F.broadcast(told.groupBy("id", "y").agg(F.min("digest").alias("digest")))  # at most per_label rows of either label
+    rows = told.join(least, ["id", "y", "digest"])
+    got = with_arrow(rows, ["text"], [T.StructField("c", T.BinaryType()), T.StructField("x", T.BinaryType())], make, ["id", "y"]).dropDuplicates(["id", "y"]).collect()
     got = sorted((r["id"], r["y"], r["c"], r["x"]) for r in got)
     machine = Machine()
     machine.fit([(np.frombuffer(c, np.int32), np.frombuffer(x, np.float32).astype(np.float64)) for _, _, c, x in got], np.array([y for _, y, _, _ in got], dtype=float))
