@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import passes, prepare, quoted, utf8, with_arrow
+from .common import cut, passes, prepare, quoted, utf8, with_arrow
 
 #: Language codes by family. A language that is not here is a family of its own.
 FAMILIES = {
@@ -161,15 +161,19 @@ def lowered(texts: pa.Array) -> pa.Array:
 def fit_language_model(docs: DataFrame, text_col: str, label_col: str, id_col: str, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Machines fitted on at most per_language labelled rows of each language; only their features reach the driver, compressed, as most are 0."""
     prepare(docs.sparkSession)
-    labelled = docs.where(quoted(label_col).isNotNull() & quoted(text_col).isNotNull()).select(quoted(label_col).cast("string").alias("label"), quoted(id_col).alias("id"))
+    labelled = docs.where(quoted(label_col).isNotNull() & quoted(text_col).isNotNull()).select(quoted(label_col).cast("string").alias("label"), quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("text"))
     # Rows whose hash is so low that they are likely among the lowest per_language of their language: few enough to be ranked.
     # One total a language, as many as the machines' own classes, goes to the rows: they need no shuffle by language for it.
     sizes = F.broadcast(labelled.groupBy("label").agg(F.count("*").alias("rows")))
-    share = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < (3.0 * per_language + 50) / F.col("rows") * (1 << 20)
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))
-    low = labelled.join(sizes, "label").where(share).select("id", "label")
-    chosen = low.withColumn("r", rank).where(F.col("r") <= per_language).select("id", "label").distinct()
-    rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    share = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < (3.0 * per_language + 50) / F.col("rows") * (1 << 20)
+    # A row is told by id, label and text, so a repeated id brings no other rows with it; rows equal in all three are one.
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("h", "id", "digest"))
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    low = labelled.join(sizes, "label").where(share).select("id", "label", F.xxhash64("id", "text").alias("h"), digest.alias("digest")).distinct()
+    chosen = cut(low.withColumn("r", rank).where(F.col("r") <= per_language).select(F.col("id").alias("__id"), F.col("label").alias("__label"), F.col("digest").alias("__digest")))
+    same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("label") == F.col("__label"))
+    near = labelled.join(F.broadcast(chosen.select("__id", "__label").distinct()), same, "left_semi")  # at most per_language rows a label
+    rows = near.withColumn("digest", digest).join(F.broadcast(chosen), same & (F.col("digest") == F.col("__digest")), "left_semi")
 
     def features(texts):
         out = []
@@ -177,7 +181,7 @@ def fit_language_model(docs: DataFrame, text_col: str, label_col: str, id_col: s
             out += [zlib.compress(row, 1) for row in frequencies(*utf8(lowered(texts.slice(i, j - i))))]
         return [pa.array(out, pa.binary())]
 
-    got = with_arrow(rows, ["text"], [T.StructField("x", T.BinaryType())], features, ["label"]).collect()
+    got = with_arrow(rows, ["text"], [T.StructField("x", T.BinaryType())], features, ["id", "label", "digest"]).dropDuplicates(["id", "label", "digest"]).drop("id", "digest").collect()
     got = sorted((r["label"], r["x"]) for r in got)
     x = np.empty((len(got), sum(SIZES)), np.float32)
     for row, (_, packed) in zip(x, got):
