@@ -97,12 +97,14 @@ def compared(at: DataFrame, margins: tuple[float, ...], folds: int = FOLDS) -> D
     hit = F.col("s") >= F.col("threshold")
     per = at.where("held").join(F.broadcast(picked), ["candidate", "f"]).groupBy("candidate", "margin", "f").agg(*[F.sum(F.when(c, F.col(k)).otherwise(0)).alias(name) for name, c, k in (("tp", hit, "p"), ("fp", hit, "n"), ("fn", ~hit, "p"), ("tn", ~hit, "n"))])  # a row a candidate, margin and fold
     precision = stats.ratio(F.col("tp"), F.col("tp") + F.col("fp"))
-    pooled = per.groupBy("candidate", "margin").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")], F.round(F.min(precision), 6).alias("least_precision"), F.round(F.max(precision), 6).alias("most_precision"), (folds - F.count("*")).alias("without_threshold"))
+    asked_for = at.select("candidate").distinct().withColumn("margin", F.explode(F.array(*[F.lit(float(m)) for m in margins])))
+    each = asked_for.join(per, ["candidate", "margin"], "left")
+    pooled = each.groupBy("candidate", "margin").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn", "tn")], F.round(F.min(precision), 6).alias("least_precision"), F.round(F.max(precision), 6).alias("most_precision"), (folds - F.count("f")).alias("without_threshold"))
     return stats.rates(pooled)
 
 
 def run(base: DataFrame, near: DataFrame, folder: str, candidates: dict[str, Callable[[Column], Column]] = CANDIDATES, margins: tuple[float, ...] = MARGINS, least: int = 5, policy: dict | None = None) -> tuple[DataFrame, Stages]:
-    """A row for each candidate and margin that has a threshold in some fold: its rates, size, whether that is over budget, and which
+    """A row for each candidate and margin: its rates over the folds that have a threshold, size, whether that is over budget, and which
     one wins: best recall among those within budget whose precision's lower bound reaches the policy's, then the smaller, then by name.
 
     base: id, key, y, t, fold, inner (see selection.prepared). folder: the store of stages.

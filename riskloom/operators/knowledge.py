@@ -30,7 +30,7 @@ ENTRIES: dict[str, list[str]] = {
     "refund-time": ["refund/money back/reversal + how long/when/days"], "kyc-message": ["kyc/केवाईसी + expire~/update/message/sms/suspend~"], "kyc-where": ["kyc + where/branch/official/how + do/complete/update"], "pan-misuse": ["pan card/pan number + misuse~/loan/stolen/shared"],
     "aadhaar-share": ["aadhaar/aadhar + share/copy/give/safe"], "aadhaar-lock": ["aadhaar/aadhar/biometric~ + lock/unlock"], "sim-swap": ["sim swap/sim lost/no signal + what/suddenly/bank/sign"], "sim-block": ["sim + block~/deactivat~ + message/call/threat/trai"],
     "arrest-video": ["digital arrest/डिजिटल अरेस्ट", "arrest~ + video call/skype/whatsapp call"], "police-call": ["police/cbi/customs officer + call~/phone + real/fake/money/demand"], "court-notice": ["court notice/summons/warrant + email/whatsapp/message/real"], "parcel-drugs": ["parcel/courier/package + drugs/illegal/seized/customs"],
-    "parcel-fee": ["parcel/delivery/courier + fee/charge/pay + small/link/address/failed"], "job-task": ["task/part time job/like videos + pay/earn/money/genuine"], "job-deposit": ["job/naukri + deposit/registration fee/training fee"], "job-abroad": ["abroad/overseas/visa + job/work + agent/offer/fee"],
+    "parcel-fee": ["parcel/delivery/courier + fee/charge/pay + small/link/address/failed"], "job-task": ["task/part time job/parttime job/like videos + pay/earn/money/genuine"], "job-deposit": ["job/naukri + deposit/registration fee/training fee"], "job-abroad": ["abroad/overseas/visa + job/work + agent/offer/fee"],
     "invest-group": ["trading group/telegram group/whatsapp group + invest~/stock~/profit/tips"], "invest-double": ["double/guaranteed + money/returns/profit + real/days/sure/scheme"], "crypto-stuck": ["crypto/bitcoin/wallet + withdraw~/stuck/locked/frozen"], "loan-app": ["loan app/instant loan + harass~/contacts/threat~/photos"],
     "loan-fee": ["loan + advance/processing fee/upfront"], "lottery-win": ["lottery/lucky draw/jackpot/kbc + won/win/message/real"], "gift-abroad": ["gift + abroad/friend/parcel/customs + pay/stuck/fee"], "romance": ["dating/matrimonial/online friend + money/help/gift/emergency"],
     "blackmail-video": ["nude/private video/morphed/intimate + threat~/blackmail~/leak~/send"], "blackmail-pay": ["blackmail~/extort~ + pay/stop/again"], "electricity-cut": ["electricity/bijli/power + cut/disconnect~ + message/tonight/number/bill"], "gas-bill": ["gas/water + bill + unpaid/disconnect~/message"],

@@ -30,8 +30,9 @@ def features(text: Column) -> Column:
 def ngrams(text: Column, low: int = 3, high: int = 5) -> Column:
     """Distinct character n-grams."""
     t = F.lower(text)
-    of = lambda n: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - n + 1)), lambda i: F.substr(t, i, n))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(low), F.lit(high)), of)))
+    # One pass of a pattern that looks ahead at each character: time grows with the text, not with its square.
+    of = lambda n: F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
+    return F.array_distinct(F.flatten(F.array(*[of(n) for n in range(low, high + 1)])))
 
 
 def weights(rows: DataFrame, text: Column, positive: Column, least: int = 5) -> DataFrame:

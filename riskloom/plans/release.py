@@ -170,7 +170,7 @@ BENCHMARK = f"""with ba as materialized (select d.doc_id as id, {datasets.KEY.fo
  rn as (select candidate, f, s, sum(p) over o as tp, sum(n) over o as fp from at1 where not held window o as (partition by candidate, f order by s desc rows between unbounded preceding and current row)),
  pk as (select candidate, margin, f, arg_max(s, tp * 1000000 + s) as threshold from (select *, {evaluation.wilson_sql('tp', 'tp + fp', 'lo').replace('round(', '(').replace(', 6)', ')')} as lo from rn), (values (0.6::double), (0.8::double)) m(margin) where lo >= margin group by 1, 2, 3),
  pe as (select a.candidate, margin, a.f, sum(case when s >= threshold then p else 0 end) as tp, sum(case when s >= threshold then n else 0 end) as fp, sum(case when s < threshold then p else 0 end) as fn, sum(case when s < threshold then n else 0 end) as tn from at1 a join pk on pk.candidate = a.candidate and pk.f = a.f where held group by 1, 2, 3),
- po as (select candidate, margin, sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(fn)::bigint as fn, sum(tn)::bigint as tn, round(min(case when tp + fp > 0 then tp / (tp + fp)::double end), 6) as least_precision, round(max(case when tp + fp > 0 then tp / (tp + fp)::double end), 6) as most_precision, 5 - count(*) as without_threshold from pe group by 1, 2),
+ po as (select candidate, margin, coalesce(sum(tp), 0)::bigint as tp, coalesce(sum(fp), 0)::bigint as fp, coalesce(sum(fn), 0)::bigint as fn, coalesce(sum(tn), 0)::bigint as tn, round(min(case when tp + fp > 0 then tp / (tp + fp)::double end), 6) as least_precision, round(max(case when tp + fp > 0 then tp / (tp + fp)::double end), 6) as most_precision, 5 - count(f) as without_threshold from (select distinct candidate from at1) cross join (values (0.6::double), (0.8::double)) m(margin) left join pe using (candidate, margin) group by 1, 2),
  ra as ({evaluation.rates_sql('po', 'candidate, margin, least_precision, most_precision, without_threshold')}), rk as (select ra.*, bytes, bytes > 250000 as over_budget from ra join sz using (candidate))
  select *, coalesce(candidate || '@' || margin = (select candidate || '@' || margin from rk where not over_budget and tp + fp > 0 and precision_lo >= 0.5 order by recall desc, bytes, candidate || '@' || margin limit 1), false) as winner from rk"""
 

@@ -38,7 +38,8 @@ def test_policy_and_exit_status(spark):
 
 
 def test_a_run_goes_on_where_it_stopped(spark, tmp_path):
-    texts = [(i, f"win a prize now {i} claim it {i % 7}" if i % 2 else f"see you at lunch {i} in the garden {i % 5}", i % 2) for i in range(200)]
+    word = lambda i: "".join(chr(97 + (i * k) % 26) for k in (1, 3, 5, 7))  # noqa: E731  keys have no digits
+    texts = [(i, f"win a prize {word(i)} now claim it {word(i + 31)}" if i % 2 else f"see you at lunch {word(i)} in the garden {word(i + 31)}", i % 2) for i in range(200)]
     base = selection.prepared(spark.createDataFrame(texts, "id int, text string, y int"), "id", F.col("text"), F.col("y") == 1, "t")
     near = base.select("key").limit(0)
     folder = f"{tmp_path}/store"
