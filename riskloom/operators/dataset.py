@@ -27,11 +27,11 @@ def row_errors(df: DataFrame, today: str) -> DataFrame:
     """line and code for each broken rule. df: line and the eight columns, all strings. Repeats point at the first line."""
     c = F.col
     key = dedup_key(c("raw_text_scrubbed"))
-    kept = df.withColumn("key", key)
+    kept = df.withColumns({"long_key": F.length(key) >= 10, "key": F.unhex(F.sha2(key, 256))})  # keys travel as digests
     # A row repeats an id or key unless it is the first line of it: least lines are combined before the shuffle, and rows meet them.
     first = lambda k: kept.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("line").alias(f"first_{k}"))
     marked = kept.join(first("id"), "id", "left").join(first("key"), "key", "left")
-    marked = marked.withColumns({"again_id": F.coalesce(F.col("line") > F.col("first_id"), F.lit(False)), "again_key": F.coalesce((F.col("line") > F.col("first_key")) & (F.length("key") >= 10), F.lit(False))})
+    marked = marked.withColumns({"again_id": F.coalesce(F.col("line") > F.col("first_id"), F.lit(False)), "again_key": F.coalesce((F.col("line") > F.col("first_key")) & F.col("long_key"), F.lit(False))})
     flags = pii_flags(c("raw_text_scrubbed"))
     shape = c("id").rlike("^[A-Za-z0-9_-]+$")
     rules = {
@@ -48,7 +48,8 @@ def row_errors(df: DataFrame, today: str) -> DataFrame:
 
 def dedup_groups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, key's first id and the group's size, for texts whose key has ten characters or more."""
-    keyed = df.select(id_col, dedup_key(F.col(text_col)).alias("key")).where(F.length("key") >= 10)
+    key = dedup_key(F.col(text_col))
+    keyed = df.where(F.length(key) >= 10).select(id_col, F.unhex(F.sha2(key, 256)).alias("key"))
     groups = keyed.groupBy("key").agg(F.min(id_col).alias("first_id"), F.count("*").alias("size"))
     return keyed.join(groups, "key").select(id_col, "first_id", "size")
 

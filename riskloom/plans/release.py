@@ -142,7 +142,7 @@ def benchmark_run(spark, sf_dir):
     """Candidates by margins over the labelled documents, cross-validated together, and the winner."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
     base = selection.prepared(docs, "doc_id", F.col("text"), F.col("quality") == 0, "bench")
-    told, _ = benchmark.run(base, selection.leaked(base), f"{shared_folder(spark)}/benchmark-{uuid.uuid4().hex}", margins=(0.6, 0.8), policy={"least_precision": 0.5})
+    told, _ = benchmark.run(base, selection.leaked(base), f"{shared_folder(spark)}/benchmark-{uuid.uuid4().hex}", margins=MARGINS, policy={"least_precision": 0.5})
     return told
 
 
@@ -154,23 +154,29 @@ CANDIDATES = {
     "trigrams": "list_distinct(list_transform(range(1, greatest(1, length(t) - 1)), lambda i: substr(lower(t), i, 3)))",
     "words_trigrams": "list_concat(list_distinct(regexp_extract_all(lower(t), '[a-z]{2,}')), list_distinct(list_transform(range(1, greatest(1, length(t) - 1)), lambda i: '~' || substr(lower(t), i, 3))))",
 }
-BENCHMARK = f"""with ba as materialized (select d.doc_id as id, {datasets.KEY.format('text')} as key, text as t, quality = 0 as y from documents d join labels l on d.doc_id = l.doc_id where text is not null),
- bs as materialized (select *, floor({SHARE.format(salt='bench|cv', key='key')} * 5)::int as fold, {SHARE.format(salt='bench|inner', key='key')} < 0.25 as inn from ba),
+def validated(seed: str, positive: str, candidates: dict[str, str], margins: tuple[float, ...]) -> str:
+    """Steps from the labelled documents to each candidate's confusion by margin and fold (pe): keys, folds, near-equal keys of other
+    folds, features, weights of the models that have not seen a fold, scores as counts, thresholds."""
+    return f"""ba as materialized (select d.doc_id as id, {datasets.KEY.format('text')} as key, text as t, {positive} as y from documents d join labels l on d.doc_id = l.doc_id where text is not null),
+ bs as materialized (select *, floor({SHARE.format(salt=f'{seed}|cv', key='key')} * 5)::int as fold, {SHARE.format(salt=f'{seed}|inner', key='key')} < 0.25 as inn from ba),
  ks as (select distinct key, fold, {datasets.TOKENS.format('key')} as tk from bs), ke as materialized (select key, fold, len(tk) as n, unnest(tk) as w from ks where len(tk) >= 4),
  pr as (select a.key as x, b.key as z, any_value(a.fold) as fx, any_value(b.fold) as fz, any_value(a.n) as na, any_value(b.n) as nb, count(*) as same from ke a join ke b on a.w = b.w and a.key < b.key group by 1, 2),
  nr as (select unnest([x, z]) as key from pr where fx <> fz and same / (na + nb - same)::double >= 0.85),
- fe as materialized (select id, y, fold, inn, candidate, unnest(f) as feature from ({' union all '.join(f"select id, y, fold, inn, '{k}' as candidate, {v} as f from bs" for k, v in CANDIDATES.items())})),
- sz as (select candidate, sum(strlen(feature) + 4)::bigint as bytes from (select candidate, feature from fe group by 1, 2 having count(*) >= 5) group by 1),
+ fe as materialized (select id, y, fold, inn, candidate, unnest(f) as feature from ({' union all '.join(f"select id, y, fold, inn, '{k}' as candidate, {v} as f from bs" for k, v in candidates.items())})),
  tt as (select f, count(*) filter (where y) as p, count(*) filter (where not y) as n from bs, range(5) r(f) where fold <> f and not inn group by 1),
  wt as (select candidate, f, feature, round(ln((count(*) filter (where y) + 1) / (any_value(p) + 2)::double) - ln((count(*) filter (where not y) + 1) / (any_value(n) + 2)::double), 3) as w from fe join tt on tt.f <> fe.fold where not inn group by 1, 2, 3 having count(*) >= 5),
  asked as (select id, y, fold as f, true as held from bs where key not in (select key from nr) union all select id, y, f, false from bs, range(5) r(f) where inn and f <> fold),
  sm as (select fe.id, fe.candidate, wt.f, sum(w) as s from fe join wt on wt.candidate = fe.candidate and wt.feature = fe.feature and (fe.inn or wt.f = fe.fold) group by 1, 2, 3),
- sc as (select a.id, a.y, a.f, a.held, c.candidate, round(coalesce(s, 0), 3) as s from asked a cross join (select unnest([{', '.join(repr(k) for k in CANDIDATES)}]) as candidate) c left join sm on sm.id = a.id and sm.candidate = c.candidate and sm.f = a.f),
+ sc as (select a.id, a.y, a.f, a.held, c.candidate, round(coalesce(s, 0), 3) as s from asked a cross join (select unnest([{', '.join(repr(k) for k in candidates)}]) as candidate) c left join sm on sm.id = a.id and sm.candidate = c.candidate and sm.f = a.f),
  at1 as (select candidate, f, held, s, count(*) filter (where y) as p, count(*) filter (where not y) as n from sc group by 1, 2, 3, 4),
  rn as (select candidate, f, s, sum(p) over o as tp, sum(n) over o as fp from at1 where not held window o as (partition by candidate, f order by s desc rows between unbounded preceding and current row)),
- pk as (select candidate, margin, f, arg_max(s, tp * 1000000 + s) as threshold from (select *, {evaluation.wilson_sql('tp', 'tp + fp', 'lo').replace('round(', '(').replace(', 6)', ')')} as lo from rn), (values (0.6::double), (0.8::double)) m(margin) where lo >= margin group by 1, 2, 3),
- pe as (select a.candidate, margin, a.f, sum(case when s >= threshold then p else 0 end) as tp, sum(case when s >= threshold then n else 0 end) as fp, sum(case when s < threshold then p else 0 end) as fn, sum(case when s < threshold then n else 0 end) as tn from at1 a join pk on pk.candidate = a.candidate and pk.f = a.f where held group by 1, 2, 3),
- po as (select candidate, margin, coalesce(sum(tp), 0)::bigint as tp, coalesce(sum(fp), 0)::bigint as fp, coalesce(sum(fn), 0)::bigint as fn, coalesce(sum(tn), 0)::bigint as tn, round(min(case when tp + fp > 0 then tp / (tp + fp)::double end), 6) as least_precision, round(max(case when tp + fp > 0 then tp / (tp + fp)::double end), 6) as most_precision, 5 - count(f) as without_threshold from (select distinct candidate from at1) cross join (values (0.6::double), (0.8::double)) m(margin) left join pe using (candidate, margin) group by 1, 2),
+ pk as (select candidate, margin, f, arg_max(s, tp * 1000000 + s) as threshold from (select *, {evaluation.wilson_sql('tp', 'tp + fp', 'lo').replace('round(', '(').replace(', 6)', ')')} as lo from rn), (values {', '.join(f'({m}::double)' for m in margins)}) m(margin) where lo >= margin group by 1, 2, 3),
+ pe as (select a.candidate, margin, a.f, sum(case when s >= threshold then p else 0 end) as tp, sum(case when s >= threshold then n else 0 end) as fp, sum(case when s < threshold then p else 0 end) as fn, sum(case when s < threshold then n else 0 end) as tn from at1 a join pk on pk.candidate = a.candidate and pk.f = a.f where held group by 1, 2, 3)"""
+
+
+MARGINS = (0.6, 0.8)
+BENCHMARK = f"""with {validated('bench', 'quality = 0', CANDIDATES, MARGINS)}, sz as (select candidate, sum(strlen(feature) + 4)::bigint as bytes from (select candidate, feature from fe group by 1, 2 having count(*) >= 5) group by 1),
+ po as (select candidate, margin, coalesce(sum(tp), 0)::bigint as tp, coalesce(sum(fp), 0)::bigint as fp, coalesce(sum(fn), 0)::bigint as fn, coalesce(sum(tn), 0)::bigint as tn, round(min(case when tp + fp > 0 then tp / (tp + fp)::double end), 6) as least_precision, round(max(case when tp + fp > 0 then tp / (tp + fp)::double end), 6) as most_precision, 5 - count(f) as without_threshold from (select distinct candidate from at1) cross join (values {', '.join(f'({m}::double)' for m in MARGINS)}) m(margin) left join pe using (candidate, margin) group by 1, 2),
  ra as ({evaluation.rates_sql('po', 'candidate, margin, least_precision, most_precision, without_threshold')}), rk as (select ra.*, bytes, bytes > 250000 as over_budget from ra join sz using (candidate))
  select *, coalesce(candidate || '@' || margin = (select candidate || '@' || margin from rk where not over_budget and tp + fp > 0 and precision_lo >= 0.5 order by recall desc, bytes, candidate || '@' || margin limit 1), false) as winner from rk"""
 
@@ -197,6 +203,8 @@ SQL = {
     "stream_damaged_events": f"""with l as (select case event_id % 19 when 3 then substr({DUCK_LINE}, 1, 30) when 5 then 'no json' when 7 then replace({DUCK_LINE}, '"event_id": ' || event_id || ', ', '') when 9 then replace({DUCK_LINE}, '1.5', '"x"') else '' end as line from events where {BROKEN}) select line, count(*) as n from l group by 1""",
     "benchmark_run": BENCHMARK,
 }
+SQL["cross_validation"] = f"""with {validated('cv', 'quality = 1', {'words_flags': CANDIDATES['words_flags']}, (0.8, 0.9))}, po as (select margin, sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(fn)::bigint as fn, sum(tn)::bigint as tn, round(min(case when tp + fp > 0 then tp / (tp + fp)::double end), 6) as least_precision, round(max(case when tp + fp > 0 then tp / (tp + fp)::double end), 6) as most_precision, 5 - count(*) as without_threshold from pe group by 1)
+ {evaluation.rates_sql('po', 'margin, least_precision, most_precision, without_threshold')}"""
 SQL["link_share"] = f"with {datasets.OUTSIDE}, c as (select label, count(*) filter (where {messages.LINK('text')} <> '') as k, count(*) as n from o group by 1) select label, k, n, round(k::double / n, 6) as share, {evaluation.wilson_sql('k', 'n', 'lo')} as lo, {evaluation.wilson_sql('k', 'n', 'hi')} as hi from c"
 QUERIES = {f.__name__: f for f in (
     detector_flags, detector_rates, detector_comparison, release_report, table_lineage, policy_violations, gate_exit, kappa_in_sql, export_rows_in_sql, pii_check_in_sql, dialogue_reach, stream_good_events, stream_damaged_events, benchmark_run,
