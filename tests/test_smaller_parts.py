@@ -24,7 +24,7 @@ def test_names_terms_and_keywords(spark):
 
 
 def test_normalised_texts(spark):
-    cases = [("U P I and K.Y.C, o-t-p", "UPI and KYC, otp"), ("a b cd", "a b cd"), ("p@ssw0rd", f"p{text.ANY}ssw{text.ANY}rd"), ("pay 1500 to A1B2C3", "pay 1500 to A1B2C3"), ("Rs 1930", "Rs 1930"), ("раураl", "paypal"), ("ОТР", "OTP"), ("x­y​z", "xyz"), ("खाता ५", "खाता ५"), ("ﬁne ＡＢ", "fine AB")]
+    cases = [("U P I and K.Y.C, o-t-p", "UPI and KYC, otp"), ("a b cd", "a b cd"), ("p@ssw0rd", f"p{text.ANY}ssw{text.ANY}rd"), ("pay 1500 to A1B0C3", "pay 1500 to A1B0C3"), ("Rs 1930", "Rs 1930"), ("раураl", "paypal"), ("ОТР", "OTP"), ("x­y​z", "xyz"), ("खाता ५", "खाता ५"), ("ﬁne ＡＢ", "fine AB")]
     once = column(spark, [a for a, _ in cases], text.normalise(F.col("v")))
     assert once == [b for _, b in cases]
     assert column(spark, once, text.normalise(F.col("v"))) == once
