@@ -7,7 +7,7 @@ import unicodedata
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 BLANK = "[ \\t\\n\\x0B\\f\\r]+"
@@ -36,7 +36,9 @@ def token_set(key: Column) -> Column:
 
 
 @functools.lru_cache(maxsize=1)
-def _composer():
+def _composer(application: str):
+    """One function for an application, so that equal calls in a query are one."""
+
     @F.arrow_udf("string")
     def compose(values: pa.Array) -> pa.Array:
         if pc.all(pc.string_is_ascii(values)).as_py() is not False:
@@ -48,7 +50,7 @@ def _composer():
 
 def nfkc(c: Column) -> Column:
     """Compatibility composition; Spark has no built-in form of it. Batches of ASCII alone are passed on as they are."""
-    return _composer()(c)
+    return _composer(SparkSession.active().sparkContext.applicationId)(c)
 
 
 def normalise(c: Column) -> Column:

@@ -104,8 +104,17 @@ def cleared(w: Column) -> Column:
     return F.coalesce(F.get(fits, 0), w)
 
 
-def asks_for(t: Column, secrets: list[str]) -> Column:
-    """The first verb of a prepared text that asks for one of the secrets, as an array of one; empty if there is none.
+#: What a text must hold to be cut into tokens for the asking rules: a secret's name, or a wildcard that may hide one.
+SECRET = "|".join(dict.fromkeys([*[folded(s) for s in [*CREDENTIALS, *CODES]], "card", "bank", "account", "security", "verification"]))
+
+
+def asking_words(t: Column) -> Column:
+    """words_of a prepared text that may ask for a secret; no words of others, which are most."""
+    return F.when(t.contains(tx.ANY) | fold(t).rlike(SECRET), words_of(t)).otherwise(none())
+
+
+def asks(words: Column, secrets: list[str]) -> Column:
+    """The first verb among asking_words that asks for one of the secrets, as an array of one; empty if there is none.
 
     The verb (or a stem with its helper) has no negator among the five tokens before it nor a negated verb right after it; a
     secret is among the six tokens after it, or among the three before.
@@ -121,9 +130,12 @@ def asks_for(t: Column, secrets: list[str]) -> Column:
         asked = lambda i: verb(i) & ~any_of(back(i, 5), NEGATORS) & ~undone(i + 1) & ~undone(i + 2) & (any_of(F.slice(w, i + 1, F.lit(6)), secrets) | any_of(back(i, 3), secrets))
         return F.slice(F.transform(F.filter(F.sequence(F.lit(1), F.size(w)), asked), at), 1, 1)
 
-    # Most messages have no secret's name in them and are not cut into tokens.
-    worth = t.contains(tx.ANY) | fold(t).rlike("|".join(folded(s) for s in dict.fromkeys([*[s for s in secrets if " " not in s], *(["card", "bank", "account", "security"] if "pin" in secrets else ["verification"])])))
-    return F.when(worth, let(words_of(t), lambda w: F.when(F.size(w) > 0, each(w)).otherwise(none()))).otherwise(none())
+    return let(words, lambda w: F.when((F.size(w) > 0) & any_of(w, secrets), each(w)).otherwise(none()))
+
+
+def asks_for(t: Column, secrets: list[str]) -> Column:
+    """asks of a prepared text's words."""
+    return asks(asking_words(t), secrets)
 
 
 def matches(t: Column, patterns: list[str]) -> Column:
@@ -191,7 +203,8 @@ def evidence(df: DataFrame, text_col: str) -> DataFrame:
     """
     d = df.withColumn("prepared", prepared(F.col(text_col)))
     d = d.withColumn("tokens", lexicon.tokens(F.col("prepared")))
-    d = d.withColumns({"hits": lexicon.finder(df.sparkSession)(F.col("tokens")), "asks_credential": asks_for(F.col("prepared"), CREDENTIALS), "asks_code": asks_for(F.col("prepared"), CODES)})
+    d = d.withColumns({"hits": lexicon.finder(df.sparkSession)(F.col("tokens")), "words": asking_words(F.col("prepared"))})
+    d = d.withColumns({"asks_credential": asks(F.col("words"), CREDENTIALS), "asks_code": asks(F.col("words"), CODES)}).drop("words")
     d = d.withColumn("found", F.array(*[rule_hits(rule) for rule in RULES]))
     rules = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(family).alias("family"), F.lit(w).alias("w")) for rule, (w, family, _, _) in RULES.items()])
     each = F.zip_with("found", rules, lambda h, r: F.struct(r["rule"].alias("rule"), r["family"].alias("family"), weight(r["w"], F.size(h)).alias("weight"), F.get(h, 0).alias("quote"), F.size(h).alias("count")))
