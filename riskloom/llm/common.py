@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Callable, Iterator, Sequence
 
@@ -101,13 +102,26 @@ def with_arrow(
     places, n_kept, names = [at[c] for c in inputs], len(kept), [f.name for f in schema.fields]
 
     def run(batches):
-        for b in batches:
-            made = fn(*[b.column(i) for i in places])
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(n_kept)], *made], names)
+        try:
+            for b in batches:
+                made = fn(*[b.column(i) for i in places])
+                yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(n_kept)], *made], names)
+                del b, made
+        finally:
+            give_back()
 
     return src.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Returns to the system what a task has freed: Spark keeps a worker's process for later tasks, and idle ones hold their memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def crc_mod(key: Column, n: int) -> Column:
     """crc32 of the key as text, modulo n. A null key has remainder 0."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % n, F.lit(0)).cast("int")
