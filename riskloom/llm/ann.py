@@ -90,8 +90,15 @@ def distinct_vectors(rows: DataFrame, top: int) -> DataFrame:
     return vecs.join(ids, "key")
 
 
-def means(points: DataFrame) -> dict[int, np.ndarray]:
-    """The mean vector of each number of components. A task gives one row of sums for each, and only these reach the driver."""
+def steady(x: np.ndarray) -> np.ndarray:
+    """x to six digits of its largest value: sums depend on the order of rows in their last digits, strings must not."""
+    scale = 10.0 ** (5 - np.floor(np.log10(max(float(np.abs(x).max(initial=0)), 1e-300))))
+    return np.round(x * scale) / scale
+
+
+def centres(points: DataFrame) -> dict[int, tuple[np.ndarray, float]]:
+    """The mean vector of each number of components, and a quarter of the root of the mean squared distance from it. A task gives one row of
+    sums for each, and only these reach the driver."""
 
     def run(batches):
         sums: dict[int, np.ndarray] = {}
@@ -100,7 +107,7 @@ def means(points: DataFrame) -> dict[int, np.ndarray]:
             dims = np.array(b.column(0).to_pylist())
             for d in np.unique(dims).tolist():
                 x = matrix(b.filter(pa.array(dims == d)).column(1))
-                sums[d] = sums.get(d, 0) + x.sum(axis=0)
+                sums[d] = sums.get(d, 0) + np.concatenate([x.sum(axis=0), (x * x).sum(axis=0)])
                 count[d] = count.get(d, 0) + len(x)
         for d, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([count[d]], pa.int64()), pa.array([total.tolist()], pa.list_(pa.float64()))], ["dim", "n", "total"])
@@ -109,23 +116,30 @@ def means(points: DataFrame) -> dict[int, np.ndarray]:
     out = {}
     for d in {r["dim"] for r in rows}:
         own = [r for r in rows if r["dim"] == d]
-        mean = np.array([math.fsum(c) for c in zip(*[r["total"] for r in own])]) / sum(r["n"] for r in own)
-        # Sums depend on the order of rows in their last digits; strings must not.
-        scale = 10.0 ** (5 - np.floor(np.log10(max(np.abs(mean).max(), 1e-300))))
-        out[d] = np.round(mean * scale) / scale if np.isfinite(mean).all() else np.zeros(d)
+        n = sum(r["n"] for r in own)
+        both = np.array([math.fsum(c) for c in zip(*[r["total"] for r in own])]) / n
+        if not np.isfinite(both).all():
+            out[d] = np.zeros(d), 1.0
+            continue
+        mean = steady(both[:d])
+        spread = float(steady(np.sqrt(np.maximum(both[d:] - both[:d] ** 2, 0).sum(keepdims=True)))[0])
+        out[d] = mean, spread / 4
     return out
 
 
 def hashed(points: DataFrame) -> DataFrame:
-    """points with `strings`: one integer a tree, by the direction from the mean of all vectors (distances don't depend on it)."""
-    centre = means(points)
+    """points with `strings`: one integer a tree, by the direction from a place beside the mean of all vectors (in one dimension more,
+    a quarter of the usual distance off), so that neither where vectors lie nor how long they are is lost; distances don't depend on it."""
+    centre = centres(points)
 
     def run(batches):
         for b in batches:
             dims = np.array(b.column("dim").to_pylist())
             for d in np.unique(dims):
                 own = b.filter(pa.array(dims == d))
-                x = matrix(own.column("vec")) - centre[int(d)]
+                mean, beside = centre[int(d)]
+                x = matrix(own.column("vec")) - mean
+                x = np.concatenate([x, np.full((len(x), 1), beside or 1.0)], axis=1)
                 made = np.stack([strings(x, t) for t in range(TREES)], axis=1)
                 column = pa.ListArray.from_arrays(pa.array(np.arange(0, made.size + 1, TREES, dtype=np.int32)), pa.array(made.ravel()))
                 yield pa.RecordBatch.from_arrays([*own.columns, column], [*own.schema.names, "strings"])
