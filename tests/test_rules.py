@@ -3,6 +3,7 @@
 import zipfile
 
 import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
 from riskloom.functions import stats
@@ -102,6 +103,28 @@ def test_near_keys_in_blocks(spark, monkeypatch):
     assert got == {(i, j) for j in range(60) for i in range(j) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8}
 
 
+def test_near_keys_meet_on_parts(spark):
+    rng = np.random.default_rng(5)
+    sets = []
+    for n in [*range(4, 40), 90, 91, 300]:
+        base = [f"w{x}" for x in rng.choice(5000, n, replace=False)]
+        for lost in (0, 1, n // 12, n // 6):
+            sets.append(base[lost:] + [f"v{x}" for x in rng.choice(5000, lost // 2, replace=False)])
+    keyed = spark.createDataFrame([(i, f"k{i}", s, i % 2 == 0) for i, s in enumerate(sets)], "id long, name string, words array<string>, side boolean")
+    keyed = keyed.select("id", leakage.digest(F.col("name")).alias("key"), F.transform("words", lambda w: F.xxhash64(w)).alias("tokens"), "side")
+    own = [set(s) for s in sets]
+    alike = lambda i, j: len(own[i] & own[j]) / len(own[i] | own[j])
+    true = {(i, j): alike(i, j) for j in range(len(own)) for i in range(j) if min(len(own[i]), len(own[j])) >= 4}
+    pairs = lambda df: sorted(tuple(sorted((r["ca"]["id"], r["cb"]["id"]))) for r in df.collect())
+    assert pairs(leakage.similar_keys(keyed.drop("side"), 0.7, ("id",))) == sorted(p for p, x in true.items() if x >= 0.7)
+    assert pairs(leakage.similar_keys(keyed, 0.85, ("id", "side"))) == sorted(p for p, x in true.items() if x >= 0.85 and (p[0] - p[1]) % 2)
+    # Shuffled rows: far fewer than tokens, and few of the sets that share common tokens meet.
+    apart = [[f"common{k}" for k in range(10)] + [f"own{i}_{k}" for k in range(40)] for i in range(200)]
+    far = spark.createDataFrame([(i, s) for i, s in enumerate(apart)], "h long, words array<string>").select("h", F.transform("words", lambda w: F.xxhash64(w)).alias("tokens"), F.lit(False).alias("side"))
+    sigs = leakage.signatures(far, 0.85)
+    assert sigs.count() < 200 * 50 / 2 and sigs.groupBy("sig").count().where("count > 20").count() == 0
+
+
 def test_domain_model(spark):
     bad = [f"{a}-{b}{i}" for i in range(8) for a in ("secure", "login", "verify") for b in ("bank", "pay", "kyc")]
     good = [f"{a}{b}{'x' * (i % 3)}" for i in range(8) for a in ("garden", "river", "music") for b in ("house", "times", "club")]
