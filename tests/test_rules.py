@@ -125,6 +125,15 @@ def test_near_keys_meet_on_parts(spark):
     assert sigs.count() < 200 * 50 / 2 and sigs.groupBy("sig").count().where("count > 20").count() == 0
 
 
+def test_sealed_rows_meet_the_first_near_row(spark):
+    words = [f"w{chr(97 + k)}" for k in range(20)]
+    row = lambda i, drop: (i, " ".join(w for w in words if w not in drop))
+    dev = leakage.keyed(spark.createDataFrame([row(5, []), row(3, ["wa"]), row(4, ["wb"]), (9, None)], "id long, text string"), "id", "text")
+    sealed = leakage.keyed(spark.createDataFrame([row(1, ["wc"]), row(2, []), row(7, words[:9]), row(8, ["wc"]), (6, None)], "id long, text string"), "id", "text")
+    assert {tuple(r) for r in leakage.find(dev, sealed).collect()} == {(2, 5, "exact"), (1, 3, "near"), (8, 3, "near")}
+    assert {r["id"] for r in leakage.independent(sealed.select("id", "key", "tokens"), dev).collect()} == {6, 7}
+
+
 def test_domain_model(spark):
     bad = [f"{a}-{b}{i}" for i in range(8) for a in ("secure", "login", "verify") for b in ("bank", "pay", "kyc")]
     good = [f"{a}{b}{'x' * (i % 3)}" for i in range(8) for a in ("garden", "river", "music") for b in ("house", "times", "club")]
