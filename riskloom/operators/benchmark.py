@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..session import exists
 from . import lineage, textmodel
-from .selection import FOLDS
+from .selection import FOLDS, unleaked
 
 
 def words(t: Column) -> Column:
@@ -50,7 +50,7 @@ class Stages:
 def featured(base: DataFrame, candidates: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """id, y, fold, inner, candidate and feature: a row for each feature of each candidate."""
     each = F.array(*[F.struct(F.lit(k).alias("candidate"), of(F.col("t")).alias("features")) for k, of in candidates.items()])
-    return base.select("id", "key", "y", "fold", "inner", F.explode(each).alias("c")).select("id", "key", "y", "fold", "inner", "c.candidate", F.explode("c.features").alias("feature"))
+    return base.select("id", "y", "fold", "inner", F.explode(each).alias("c")).select("id", "y", "fold", "inner", "c.candidate", F.explode("c.features").alias("feature"))
 
 
 def log_ratio() -> Column:
@@ -75,7 +75,7 @@ def score_counts(base: DataFrame, features: DataFrame, near: DataFrame, least: i
     counts = features.where(~F.col("inner")).select("candidate", "feature", "y", others.alias("f")).groupBy("candidate", "f", "feature").agg(*labelled_counts()).where(F.col("pos") + F.col("neg") >= least)
     weights = counts.join(F.broadcast(totals), "f").select("candidate", "f", "feature", log_ratio().alias("w"))  # totals: a row a fold
     ids = base.select("id", "key", "y", "fold", "inner")
-    held = ids.join(near, "key", "left_anti").select("id", "y", F.col("fold").alias("f"), F.lit(True).alias("held"))
+    held = unleaked(ids, near).select("id", "y", F.col("fold").alias("f"), F.lit(True).alias("held"))
     asked = held.unionByName(ids.where("inner").select("id", "y", others.alias("f"), F.lit(False).alias("held")))
     met = features.select("id", "candidate", "feature", "fold", "inner")
     # A row meets the model of its own fold and, if thresholds are set on it, those of the other folds.
