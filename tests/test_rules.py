@@ -134,6 +134,24 @@ def test_sealed_rows_meet_the_first_near_row(spark):
     assert {r["id"] for r in leakage.independent(sealed.select("id", "key", "tokens"), dev).collect()} == {6, 7}
 
 
+def test_only_rows_that_may_leak_are_shuffled(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    text = lambda n: " ".join(f"{chr(97 + x // 676)}{chr(97 + x // 26 % 26)}{chr(97 + x % 26)}" for x in rng.choice(17000, n, replace=False))
+    texts = [text(n) for n in [1, 3, 4, 5, 12, 40, 90, 300] * 50]
+    near = [" ".join(t.split()[len(t.split()) // 12 :]) + (" more" if len(t.split()) > 20 else "") for t in texts[:40]]
+    keyed = lambda rows: leakage.keyed(spark.createDataFrame([*rows, (9999, None)], "id long, text string"), "id", "text")
+    dev, sealed = keyed(enumerate(texts)), keyed(enumerate([*near, text(50), ""], 1000))
+    alike = lambda a, b: len(set(a.split()) & set(b.split())) / len(set(a.split()) | set(b.split()))
+    true = {(1000 + i, min(d), k) for i, t in enumerate(near) for d, k in [([j for j, x in enumerate(texts) if x == t], "exact"), ([j for j, x in enumerate(texts) if t not in texts and min(len(x.split()), len(t.split())) >= 4 and alike(x, t) >= 0.85], "near")] if d}
+    assert {k for _, _, k in true} == {"exact", "near"}
+    asked, own = [], leakage.similar_keys
+    monkeypatch.setattr(leakage, "similar_keys", lambda keys, *a: asked.append(keys.count()) or own(keys, *a))
+    assert {(s, texts.index(texts[d]), k) for s, d, k in leakage.find(dev, sealed).collect()} == {(s, texts.index(texts[d]), k) for s, d, k in true}
+    assert asked[0] < 150  # of 400 dev keys and 42 others
+    # A sketch that is full lets all rows pass.
+    assert leakage.may_meet(dev, sealed, 0.85, 64).count() == 400
+
+
 def test_domain_model(spark):
     bad = [f"{a}-{b}{i}" for i in range(8) for a in ("secure", "login", "verify") for b in ("bank", "pay", "kyc")]
     good = [f"{a}{b}{'x' * (i % 3)}" for i in range(8) for a in ("garden", "river", "music") for b in ("house", "times", "club")]
