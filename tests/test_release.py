@@ -165,3 +165,19 @@ def test_detectors_in_one_pass(spark):
     rated = {r["detector"]: r for r in detectors.rated(f, "y").collect()}
     assert (rated["either"]["tp"], rated["either"]["fp"]) == (2, 0) and rated["never"]["flags_nothing"] and rated["always"]["fp"] == 2
     assert {r["detector"] for r in detectors.against(f, "y", "router").collect()} == set(detectors.NAMES) - {"router"}
+
+
+def test_messages_without_a_link_do_not_meet_in_one_task(spark):
+    own = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in own}
+    rows = [(i, None if i == 0 else "Share your OTP now" if i % 9 else "Look at http://sbi-kyc-verify.xyz/login") for i in range(400)]
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        flagged = detectors.flags(spark.createDataFrame(rows, "i int, text string").repartition(4), "text").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert sorted(r["i"] for r in flagged) == list(range(400))
+    assert {r["i"] for r in flagged if r["link_strict"]} == set(range(9, 400, 9)) and all(r["message_flagged"] for r in flagged if r["i"] % 9)
+    assert len({r["task"] for r in flagged if r["i"] % 9}) == 4
