@@ -23,9 +23,9 @@ def pii_body() -> str:
     left, word = privacy.LEFT, privacy.WORD
     q = lambda p: "'" + p.replace("\\", "\\\\").replace("'", "\\'") + "'"
     suffixes, allowed = (", ".join(f"'{x}'" for x in xs) for xs in (privacy.SUFFIXES, privacy.PLACEHOLDERS))
-    personal = f"exists(zip_with(regexp_extract_all(t, {q(privacy.ADDRESS)}, 1), regexp_extract_all(t, {q(privacy.ADDRESS)}, 2), (x, y) -> x <> '' and (lower(y) in ({suffixes}) or x rlike '[0-9._-]' or contains(y, '.'))), z -> z)"
+    personal = f"exists(zip_with(regexp_extract_all(t, {q(privacy.ADDRESS_ONCE)}, 1), regexp_extract_all(t, {q(privacy.ADDRESS_ONCE)}, 2), (x, y) -> x <> '' and (lower(y) in ({suffixes}) or x rlike '[0-9._-]' or contains(y, '.'))), z -> z)"
     checks = {
-        "digits": "t rlike '[0-9](?:[ -]?[0-9]){8,}'", "handle": "t rlike '(?:^|[^A-Za-z0-9._-])@[A-Za-z0-9.-]'", "address": personal, "pan": f"t rlike {q(f'(?<!{word})[A-Z]{{5}}[0-9]{{4}}[A-Z](?!{word})')}",
+        "digits": "t rlike '[0-9](?:[ -]?[0-9]){8,}'", "handle": f"contains(t, '@') and t rlike {q(privacy.HANDLE)}", "address": f"contains(t, '@') and {personal}", "pan": f"t rlike {q(f'(?<!{word})[A-Z]{{5}}[0-9]{{4}}[A-Z](?!{word})')}",
         "unknown_placeholder": f"size(array_except(regexp_extract_all(t, {q('\\[([^\\]]*)\\]')}, 1), array({allowed}))) > 0", "glued": f"t rlike {q('\\[[A-Z_]+\\][A-Za-z0-9_]')}",
     }
     return f"filter(array({', '.join(f'case when {c} then {chr(39)}{k}{chr(39)} end' for k, c in checks.items())}), x -> x is not null)"

@@ -21,6 +21,10 @@ PAYMENT_HANDLES = {
 SUFFIXES = [s for own in PAYMENT_HANDLES.values() for s in own]
 LEFT, WORD = "[A-Za-z0-9._-]", "[A-Za-z0-9_]"
 ADDRESS = "([A-Za-z0-9._-]*)@([A-Za-z0-9.-]*)"
+#: The same matches: one begins where a run of LEFT does or the match before ended, so a run is read once and not from each character.
+ADDRESS_ONCE = f"(?:(?<!{LEFT})|\\G)({LEFT}*+)@([A-Za-z0-9.-]*+)"
+#: An `@` that nothing of an address stands before. The sign comes first, as it is rare.
+HANDLE = f"@(?<!{LEFT}@)[A-Za-z0-9.-]"
 
 
 def digits(first: str, least: int, most: int | None = None) -> str:
@@ -46,15 +50,18 @@ MASKS = [
     ("CARD", digits("[+]?[0-9]", 14, 15), ""),
     ("ACCOUNT", digits("[+]?[0-9]", 8), ""),
 ]
+#: What a text must hold to be touched by the next so many of MASKS: most texts hold none of it.
+GUARDS = [(1, "[0-9]{3}"), (4, "@"), (2, "[0-9]{2}"), (8, "[0-9](?:[ -]?[0-9]){8}")]
 
 
 def pii_flags(t: Column) -> dict[str, Column]:
     """What a masked text must not hold: a long digit run, a handle, an address, a PAN, an unknown placeholder, glued text."""
-    sides = [F.regexp_extract_all(t, F.lit(ADDRESS), F.lit(k)) for k in (1, 2)]
+    sides = [F.regexp_extract_all(t, F.lit(ADDRESS_ONCE), F.lit(k)) for k in (1, 2)]
     personal = F.zip_with(*sides, lambda left, right: (left != "") & (F.lower(right).isin(*SUFFIXES) | left.rlike("[0-9._-]") | right.contains(".")))
+    at = t.contains("@")
     named = F.regexp_extract_all(t, F.lit("\\[([^\\]]*)\\]"), F.lit(1))
     return {
-        "digits": t.rlike("[0-9](?:[ -]?[0-9]){8,}"), "handle": t.rlike("(?:^|[^A-Za-z0-9._-])@[A-Za-z0-9.-]"), "address": F.exists(personal, lambda x: x),
+        "digits": t.rlike("[0-9](?:[ -]?[0-9]){8,}"), "handle": at & t.rlike(HANDLE), "address": F.when(at, F.exists(personal, lambda x: x)).otherwise(at),
         "pan": t.rlike(f"(?<!{WORD})[A-Z]{{5}}[0-9]{{4}}[A-Z](?!{WORD})"), "unknown_placeholder": F.size(F.array_except(named, F.array(*[F.lit(p) for p in PLACEHOLDERS]))) > 0,
         "glued": t.rlike("\\[[A-Z_]+\\][A-Za-z0-9_]"),
     }
@@ -62,14 +69,20 @@ def pii_flags(t: Column) -> dict[str, Column]:
 
 def scrub(df: DataFrame, text_col: str) -> DataFrame:
     """df with masked and counts (placeholder to number, of those that were put in). Masking again changes nothing; a null stays null."""
-    steps = [F.col(text_col)]
-    for label, pattern, before in MASKS:
-        steps.append(F.regexp_replace(steps[-1], pattern, f"{before}[{label}]"))
-    masked = steps[-1]
+    d, masks = df.withColumn("__0", F.col(text_col)), iter(MASKS)
+    for k, (n, guard) in enumerate(GUARDS):
+        t = F.col(f"__{k}")
+        step = t
+        for _, (label, pattern, before) in zip(range(n), masks):
+            step = F.regexp_replace(step, pattern, f"{before}[{label}]")
+        # Each step's text is a column: it is used twice, and made once.
+        d = d.withColumn(f"__{k + 1}", F.when(t.rlike(guard), step).otherwise(t))
+    d = d.withColumn("masked", F.col(f"__{len(GUARDS)}")).drop(*[f"__{k}" for k in range(len(GUARDS) + 1)])
+    same = F.col("masked").isNull() | (F.col("masked") == F.col(text_col))
     of = lambda c, label: F.regexp_count(c, F.lit(f"\\[{label}\\]"))
     more = F.array(*[F.struct(F.lit(p).alias("key"), (of(F.col("masked"), p) - of(F.col(text_col), p)).cast("long").alias("value")) for p in sorted({m[0] for m in MASKS})])
     counted = F.map_from_entries(F.filter(more, lambda x: x["value"] > 0))
-    return df.withColumn("masked", masked).withColumn("counts", F.when(F.col("masked").isNull(), F.create_map().cast("map<string,bigint>")).otherwise(counted))
+    return d.withColumn("counts", F.when(same, F.create_map().cast("map<string,bigint>")).otherwise(counted))
 
 
 def left_over(df: DataFrame, masked_col: str = "masked") -> DataFrame:

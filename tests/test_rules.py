@@ -1,5 +1,7 @@
 """The rule engine, masking, readers, ordered sums and the domain model on small cases."""
 
+import re
+import time
 import zipfile
 
 import pytest
@@ -152,6 +154,29 @@ def test_only_rows_that_may_leak_are_shuffled(spark, monkeypatch):
     assert leakage.may_meet(dev, sealed, 0.85, 64).count() == 400
 
 
+def test_personal_data_of_long_runs(spark):
+    """Flags as the plain patterns give them, and runs are read once: from each character anew, the long ones would take minutes."""
+    parts = ["a", "@", ".", "_", "-", "1", " ", "\n", "é", "ybl", "com", "[", "@@", "9876543210", "[PAN]"]
+    rng = np.random.default_rng(11)
+    texts = [None, "", *["".join(rng.choice(parts, rng.integers(1, 14))) for _ in range(3000)]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(4)
+    flags = privacy.pii_flags(F.col("t"))
+    got = {r["i"]: (r["handle"], r["address"]) for r in rows.select("i", *[flags[k].alias(k) for k in ("handle", "address")]).collect()}
+    handle = re.compile(r"(?:^|[^A-Za-z0-9._-])@[A-Za-z0-9.-]")
+    personal = lambda x, y: x != "" and (y.lower() in privacy.SUFFIXES or re.search("[0-9._-]", x) or "." in y)
+    assert got == {i: (None, None) if t is None else (bool(handle.search(t)), any(personal(*m) for m in re.findall(privacy.ADDRESS, t))) for i, t in enumerate(texts)}
+    masked = {r["i"]: (r["masked"], r["counts"]) for r in privacy.scrub(rows, "t").collect()}
+    plain = F.col("t")
+    for label, pattern, before in privacy.MASKS:
+        plain = F.regexp_replace(plain, pattern, f"{before}[{label}]")
+    assert {i: m for i, (m, _) in masked.items()} == {r["i"]: r["m"] for r in rows.select("i", plain.alias("m")).collect()}
+    assert all(bool(c) == (m != texts[i]) for i, (m, c) in masked.items() if m is not None) and masked[0] == (None, {})
+    long = spark.createDataFrame([("x" * 300_000 + " a@b",)], "t string")
+    began = time.perf_counter()
+    assert long.select(privacy.pii_flags(F.col("t"))["address"].alias("f")).first()["f"] is False
+    assert time.perf_counter() - began < 10
+
+
 def test_domain_model(spark):
     bad = [f"{a}-{b}{i}" for i in range(8) for a in ("secure", "login", "verify") for b in ("bank", "pay", "kyc")]
     good = [f"{a}{b}{'x' * (i % 3)}" for i in range(8) for a in ("garden", "river", "music") for b in ("house", "times", "club")]
