@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import pyarrow as pa
 import pytest
@@ -95,3 +96,18 @@ def test_disguised_messages(spark):
     assert quotes[7] == {"stay-on-call": "stay, on this call"} and quotes[3]["prize"] == f"cl{ANY}im your pr{ANY}ze"
     assert messages.evidence(df.limit(0), "text").collect() == []
     assert df.select(messages.intent(F.col("text")).alias("k")).where("k = 'otp'").count() >= 4
+
+
+def test_hits_do_not_depend_on_slices_nor_memory_on_the_batch():
+    found = lexicon.Automaton([("a", 0, "stay on call"), ("b", 0, "call"), ("a", 1, "# days")])
+    row = ["please", "stay", "on", "call", "5", "days"]
+    lists = pa.array([row, None, [], ["call"] * 9, row[2:]] * 40, pa.list_(pa.string()))
+    whole = found.find(lists).to_pylist()
+    assert len(whole) == 200 and whole[0] == found.find(lists.slice(0, 1)).to_pylist()[0] and len(whole[0]) == 3
+    assert all(found.find(lists, most).to_pylist() == whole for most in (1, 7, 50)) and len(found.find(lists.slice(0, 0))) == 0
+    many = pa.array([["call", "x", "y", "z"] * 100] * 4000, pa.list_(pa.string()))
+    tracemalloc.start()
+    found.find(many)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # 1.6 million tokens
