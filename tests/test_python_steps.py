@@ -18,6 +18,11 @@ def steps(df):
     return [len(set(re.findall(r"pythonUDF\d+#\d+", line.rsplit("[", 1)[1]))) for line in lines]
 
 
+def test_texts_judged_once_are_composed_once(spark):
+    # The verdicts' composition and phrases, and the topic's composition; one copy of the text each.
+    assert steps(plan.followup_replies(spark, SMALL)) == [1, 1, 1]
+    assert steps(plan.followup_asof(spark, SMALL)) == [1, 1]
+
 
 
 
