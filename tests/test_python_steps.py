@@ -25,6 +25,10 @@ def test_texts_judged_once_are_composed_once(spark):
 
 
 
+def test_questions_are_composed_once(spark):
+    # One for the turns, one for the planted ones, and the entries' words.
+    assert steps(plan.knowledge_reach(spark, SMALL)) == [1, 1, 1]
+
 
 def test_guards_change_nothing(spark):
     made = [
