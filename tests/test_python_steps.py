@@ -24,6 +24,10 @@ def test_texts_judged_once_are_composed_once(spark):
     assert steps(plan.followup_asof(spark, SMALL)) == [1, 1]
 
 
+def test_rules_run_once_below_an_explode(spark):
+    # Two for the turns, two for the planted ones.
+    assert steps(plan.rule_weights(spark, SMALL)) == [1, 1, 1, 1]
+
 
 def test_questions_are_composed_once(spark):
     # One for the turns, one for the planted ones, and the entries' words.
