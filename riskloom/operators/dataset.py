@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import dedup_key
+from ..functions.text import dedup_key, let
+from ..session import written
 from .privacy import pii_flags
 
 #: Enumerations of the labelled-message table. (Fixed values.)
@@ -46,10 +47,15 @@ def row_errors(df: DataFrame, today: str) -> DataFrame:
     return marked.select("line", F.explode(codes).alias("code"))
 
 
+def key_digest(text: Column) -> Column:
+    """The digest of a text's key, made once; null if the key has fewer than ten characters."""
+    return let(dedup_key(text), lambda k: F.when(F.length(k) >= 10, F.unhex(F.sha2(k, 256))))
+
+
 def dedup_groups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, key's first id and the group's size, for texts whose key has ten characters or more."""
-    key = dedup_key(F.col(text_col))
-    keyed = df.where(F.length(key) >= 10).select(id_col, F.unhex(F.sha2(key, 256)).alias("key"))
+    # Written, as both sides of the join and the filters below it would each make the keys again.
+    keyed = written(df.select(id_col, key_digest(F.col(text_col)).alias("key"))).where("key is not null")
     groups = keyed.groupBy("key").agg(F.min(id_col).alias("first_id"), F.count("*").alias("size"))
     return keyed.join(groups, "key").select(id_col, "first_id", "size")
 
