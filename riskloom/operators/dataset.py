@@ -27,24 +27,24 @@ def real_date(c: Column, today: Column) -> Column:
 def row_errors(df: DataFrame, today: str) -> DataFrame:
     """line and code for each broken rule. df: line and the eight columns, all strings. Repeats point at the first line."""
     c = F.col
-    key = dedup_key(c("raw_text_scrubbed"))
-    kept = df.withColumns({"long_key": F.length(key) >= 10, "key": F.unhex(F.sha2(key, 256))})  # keys travel as digests
-    # A row repeats an id or key unless it is the first line of it: least lines are combined before the shuffle, and rows meet them.
-    first = lambda k: kept.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("line").alias(f"first_{k}"))
-    marked = kept.join(first("id"), "id", "left").join(first("key"), "key", "left")
-    marked = marked.withColumns({"again_id": F.coalesce(F.col("line") > F.col("first_id"), F.lit(False)), "again_key": F.coalesce((F.col("line") > F.col("first_key")) & F.col("long_key"), F.lit(False))})
-    flags = pii_flags(c("raw_text_scrubbed"))
     shape = c("id").rlike("^[A-Za-z0-9_-]+$")
+    flags = pii_flags(c("raw_text_scrubbed"))
     rules = {
-        "bad_id": ~shape, "duplicate_id": shape & c("again_id"), "short_text": F.length(F.trim("raw_text_scrubbed")) < 10,
+        "bad_id": ~shape, "short_text": F.length(F.trim("raw_text_scrubbed")) < 10,
         **{f"pii_{k}": v for k, v in flags.items()},
         "bad_language": ~c("language_tag").isin(*LANGUAGES), "bad_is_scam": ~c("is_scam").isin("0", "1"), "bad_category": ~c("attack_category").isin(*CATEGORIES),
         "scam_safe": (c("is_scam") == "1") & (c("attack_category") == "safe"), "safe_scam": (c("is_scam") == "0") & c("attack_category").isin(*CATEGORIES[:-1]),
         "bad_platform": ~c("source_platform").isin(*PLATFORMS), "bad_date": ~real_date(c("date_received"), F.lit(today)), "bad_obfuscation": ~c("contains_obfuscation").isin("true", "false"),
-        "at_not_marked": c("raw_text_scrubbed").contains("@") & (c("contains_obfuscation") != "true"), "duplicate_text": c("again_key"),
+        "at_not_marked": c("raw_text_scrubbed").contains("@") & (c("contains_obfuscation") != "true"),
     }
-    codes = F.filter(F.array(*[F.when(v, k) for k, v in rules.items()]), lambda x: x.isNotNull())
-    return marked.select("line", F.explode(codes).alias("code"))
+    given = lambda rules: F.filter(F.array(*[F.when(v, k) for k, v in rules.items()]), lambda x: x.isNotNull())
+    # What a row tells of itself is found in one reading of the texts; ids, digests of keys and codes go on.
+    kept = written(df.select("line", "id", shape.alias("shape"), key_digest(c("raw_text_scrubbed")).alias("key"), given(rules).alias("codes")))
+    # A row repeats an id or key unless it is the first line of it: least lines are combined before the shuffle, and rows meet them.
+    first = lambda k: kept.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("line").alias(f"first_{k}"))
+    marked = kept.join(first("id"), "id", "left").join(first("key"), "key", "left")
+    again = {"duplicate_id": c("shape") & (c("line") > c("first_id")), "duplicate_text": c("line") > c("first_key")}
+    return marked.select("line", F.explode(F.concat("codes", given(again))).alias("code"))
 
 
 def key_digest(text: Column) -> Column:
