@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,18 +40,25 @@ def remembered(events: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
             state.remove()
             return
         times, verdicts = (list(x) for x in state.get) if state.exists else ([], [])
-        rows = pd.concat(list(batches), ignore_index=True)
-        said = rows[rows["verdict"].notna()]
-        times += [int(t) for t in said["micros"]]
-        verdicts += list(said["verdict"])
-        memory = pd.DataFrame({"at": pd.Series(times, dtype="int64"), "remembered": pd.Series(verdicts, dtype="object")}).sort_values("at", kind="stable")
-        rows = rows.sort_values("micros", kind="stable")
-        found = pd.merge_asof(rows[["event_id", "micros"]], memory, left_on="micros", right_on="at", allow_exact_matches=False, tolerance=HOUR)
+        # A key has few rows: plain arrays, as each of pandas' sorts and joins takes longer than all of them.
+        parts = [(b["event_id"].to_numpy(), b["micros"].to_numpy(np.int64), b["verdict"].to_numpy(object)) for b in batches]
+        ids, micros, said = (np.concatenate(x) for x in zip(*parts))
+        told = pd.notna(said)
+        at, verdict = np.array([*times, *micros[told].tolist()], np.int64), np.array([*verdicts, *said[told].tolist()], object)
+        order = np.argsort(at, kind="stable")
+        at, verdict = at[order], verdict[order]
+        order = np.argsort(micros, kind="stable")
+        ids, micros = ids[order], micros[order]
+        last = np.searchsorted(at, micros, "left") - 1  # the last verdict before each event
+        found = last >= 0
+        found[found] = micros[found] - at[last[found]] <= HOUR
+        answers = np.full(len(ids), None, object)
+        answers[found] = verdict[last[found]]
         mark = state.getCurrentWatermarkMs() * 1000
-        live = memory[memory["at"] >= mark - HOUR]
-        state.update((live["at"].tolist(), live["remembered"].tolist()))
-        state.setTimeoutTimestamp(max(int(rows["micros"].max()) // 1000, mark // 1000) + HOUR // 1000 + 1)
-        yield pd.DataFrame({key: name[0], "event_id": found["event_id"], "micros": found["micros"], "remembered": found["remembered"].where(found["remembered"].notna(), None)})
+        live = at >= mark - HOUR
+        state.update((at[live].tolist(), verdict[live].tolist()))
+        state.setTimeoutTimestamp(max(int(micros[-1]) // 1000, mark // 1000) + HOUR // 1000 + 1)
+        yield pd.DataFrame({key: name[0], "event_id": ids, "micros": micros, "remembered": answers})
 
     kind = events.schema[key].dataType.simpleString()
     slim = events.withWatermark("ts", late).select(key, "event_id", "ts", F.unix_micros("ts").alias("micros"), "verdict")
