@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,7 @@ HEAD = 200_000
 END = b"\n"
 ALPHA = 0.1
 ONES = np.ones(CLASSES, np.float32)
+LANES = np.arange(CLASSES)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -120,22 +122,18 @@ class Head:
     def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
         """Of all tokens in order: place in the head (-1: none), hash; where each text ends; the words."""
         self.ready()
-        words = [w for t in texts for w in words_of(t)]
-        get = self.place.get
-        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        each = [words_of(t) for t in texts]
+        words = list(chain.from_iterable(each))
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
         h = self.hashes[at] if len(self.words) else np.zeros(len(at), np.uint64)
         rare = np.flatnonzero(at < 0)
-        h[rare] = hash_words([words[i] for i in rare])
-        stops = np.flatnonzero(np.fromiter((w is END for w in words), bool, len(words))) + 1
-        return at, h, stops, words
+        h[rare] = hash_words([words[i] for i in rare.tolist()])
+        return at, h, np.cumsum([len(w) for w in each]), words
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:
-    return mix(np.fromiter((crc_pair(w) for w in words), np.uint64, len(words)))
-
-
-def crc_pair(w: bytes) -> int:
-    return zlib.crc32(w) | (zlib.adler32(w) << 32)
+    low, high = (np.fromiter(map(f, words), np.uint64, len(words)) for f in (zlib.crc32, zlib.adler32))
+    return mix(low | high << np.uint64(32))
 
 
 class Model:
@@ -199,14 +197,23 @@ class Model:
         for w, total, at, want in ((self.top, memory[0], self.places(feats, None), cls), (self.low, memory[1], self.places(feats, cls), leaf % CLASSES)):
             g = self.softmax(w, at)
             g[n, want] -= 1
+            g /= np.float32(64)
+            flat = g.ravel().astype(np.float64)
             for a in at:
-                order = np.argsort(a.astype(np.uint16), kind="stable")
-                sorted_rows = a[order]
-                start = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-                rows = sorted_rows[start]
-                grad = np.add.reduceat(np.take(g, order, axis=0), start, axis=0) / np.float32(64)
-                total[rows] += grad * grad
-                w[rows] -= np.float32(RATE) * grad / np.sqrt(total[rows] + np.float32(1e-4))
+                # Rows that occur, and the sum of each one's gradients.
+                seen = np.zeros(ROWS, bool)
+                seen[a] = True
+                rows = np.flatnonzero(seen)
+                place = np.empty(ROWS, np.int64)
+                place[rows] = np.arange(0, len(rows) * CLASSES, CLASSES)
+                grad = np.bincount((place[a][:, None] + LANES).ravel(), flat, len(rows) * CLASSES).astype(np.float32).reshape(-1, CLASSES)
+                t = np.take(total, rows, axis=0)
+                t += grad * grad
+                total[rows] = t
+                t += np.float32(1e-4)
+                grad /= np.sqrt(t, out=t)
+                grad *= np.float32(RATE)
+                w[rows] = np.take(w, rows, axis=0) - grad
 
 
 BLOCK = 128
@@ -295,18 +302,22 @@ def score_text(docs: DataFrame, train: Column, text_col: str = "text", id_col: s
                 own = np.where(common, share[at] + log if len(share) else 0.0, 0.0)
                 first = np.concatenate([[0], stops[:-1]])
                 sums = lambda x: np.add.reduceat(x, first)
-                tail = []
-                for lo, hi in zip(np.searchsorted(rare, first), np.searchsorted(rare, stops)):
-                    got: dict = {}
+                # A text's different rare words, with the sums over where they stand. (Sums of nothing are whole numbers to numpy.)
+                names, ends, own_place = [], [0], np.empty(len(rare), np.int64)
+                for lo, hi in zip(np.searchsorted(rare, first).tolist(), np.searchsorted(rare, stops).tolist()):
+                    place = {}
                     for p, r in enumerate(rare[lo:hi].tolist(), lo):
-                        x = got.setdefault(words[r], [0, 0.0, 0.0, int(leaf[r])])
-                        x[0] += 1
-                        x[1] += log[r]
-                        x[2] += unknown[p]
-                    tail.append([{"token": w, "tf": x[0], "seen": x[1], "unseen": x[2], "leaf": x[3]} for w, x in got.items()])
+                        own_place[p] = place.setdefault(words[r], len(names) + len(place))
+                    names.extend(place)
+                    ends.append(len(names))
+                tf, seen, unseen = (np.bincount(own_place, x, len(names)) for x in (None, log[rare], unknown))
+                leaves = np.empty(len(names), np.int32)
+                leaves[own_place] = leaf[rare]
+                fields = [pa.array(names, pa.binary()), pa.array(tf.astype(np.int64)), pa.array(seen.astype(np.float64)), pa.array(unseen.astype(np.float64)), pa.array(leaves)]
+                tail = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(TAIL_ARROW.value_type)))
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(i, 64), pa.array(np.diff(np.concatenate([[0], stops]))), pa.array(sums(common.astype(np.int64))),
-                    pa.array(sums(np.where(common, base[at] if len(base) else 0.0, 0.0))), pa.array(sums(own)), pa.array(tail, TAIL_ARROW),
+                    pa.array(sums(np.where(common, base[at] if len(base) else 0.0, 0.0))), pa.array(sums(own)), tail,
                 ], ["id", "n_tokens", "n_known", "base", "score", "tail"])
 
     shape = T.StructType([rows.schema["id"], *T._parse_datatype_string(f"n_tokens bigint, n_known bigint, base double, score double, tail {TAIL}").fields])
