@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..session import written
 from . import links, names, training
 
 #: Whole weights for each unit, and the least weight of an n-gram that is kept.
@@ -111,13 +112,23 @@ def counted(df: DataFrame, model: Model, least: int = 2) -> DataFrame:
     return kept.select("feature", F.floor(F.col("w") * SCALE + 0.5).cast("int").alias("q"))
 
 
-def scores(df: DataFrame, model: Model, weights: DataFrame) -> DataFrame:
-    """name, registrable and z of each different pair. Only features with a weight are summed."""
-    d = featured(df.select("name", "registrable").distinct(), model)
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df in as many partitions as the session shuffles to: names are short and their features costly, so that a number made from
+    bytes would leave them to one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def scores(df: DataFrame, model: Model, weights: DataFrame, without: tuple[str, ...] = ("",)) -> DataFrame:
+    """name, registrable and z of each different pair; z_grams or z_others, if asked for, leaves that block of features out. Only
+    features with a weight are summed."""
+    d = featured(spread(df.select("name", "registrable"), "name", "registrable").distinct(), model)
     share = 1 / F.sqrt(F.greatest(F.size("grams"), F.lit(1)))
     each = F.concat(F.transform("grams", lambda g: F.struct(g.alias("feature"), share.alias("x"))), F.transform("others", lambda o: F.struct(o.alias("feature"), F.lit(1.0).alias("x"))))
     rows = d.select("name", "registrable", F.explode(each).alias("f")).select("name", "registrable", "f.*")
-    return rows.join(weights, "feature", "left").groupBy("name", "registrable").agg((F.sum(F.coalesce("q", F.lit(0)) * F.col("x")) / SCALE + F.lit(model.bias)).alias("z"))
+    worth, gram = F.coalesce("q", F.lit(0)) * F.col("x"), F.col("feature") < model.buckets
+    kept = {"": worth, "grams": F.when(gram, 0.0).otherwise(worth), "others": F.when(gram, worth).otherwise(0.0)}
+    z = [(F.sum(kept[w]) / SCALE + F.lit(model.bias)).alias(f"z_{w}" if w else "z") for w in without]
+    return rows.join(F.broadcast(weights), "feature", "left").groupBy("name", "registrable").agg(*z)  # a row a feature, of which the model has a fixed number
 
 
 def calibrate(scored: DataFrame, model: Model, high_fpr: float = 0.001, elevated_fpr: float = 0.01) -> Model:
@@ -148,10 +159,10 @@ def grid(rows: DataFrame, validation: DataFrame, bins: tuple[int, ...] = (4,), p
     for b in bins:
         for p in penalties:
             model, weights = train(rows, layout(rows, b, least), p)
-            for without in ("", "grams", "others"):
-                own = weights if not without else weights.where(F.col("feature") >= model.buckets) if without == "grams" else weights.where(F.col("feature") < model.buckets)
-                z = scores(validation, model, own).join(validation.select("name", "registrable", "y").distinct(), ["name", "registrable"])
-                out.append({"bins": b, "penalty": p, "without": without, "auc": stats.auc(z, F.col("z"), F.col("y")).first()["auc"]})
+            blocks = ("", "grams", "others")
+            z = written(scores(validation, model, weights, blocks).join(validation.select("name", "registrable", "y").distinct(), ["name", "registrable"]))
+            for without in blocks:
+                out.append({"bins": b, "penalty": p, "without": without, "auc": stats.auc(z, F.col(f"z_{without}" if without else "z"), F.col("y")).first()["auc"]})
     return sorted(out, key=lambda x: -(x["auc"] or 0.0))
 
 
