@@ -1,7 +1,8 @@
 """One benchmark run: several candidates at several margins cross-validated together, their sizes, the winner, and its test.
 
-Rows of all candidates go through one pass with the candidate as a key. Stages are written to a store under the digest of what
-they were made of, so a run that stopped goes on where it was, and another input makes other stages.
+Rows of all candidates go through one pass with the candidate as a key. A text's features are made where it is read, once to be
+counted and once to be weighed; only counts are written. Stages are written to a store under the digest of what they were made of,
+so a run that stopped goes on where it was, and another input makes other stages.
 """
 
 from __future__ import annotations
@@ -14,18 +15,14 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..session import exists
 from . import lineage, textmodel
-from .selection import FOLDS, unleaked
+from .selection import FOLDS, fold_counts, fold_scores
 
+Candidates = dict[str, dict[str, str] | Callable[[Column], Column]]
 
-def words(t: Column) -> Column:
-    """Distinct words of two letters or more."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit("[a-z]{2,}"), F.lit(0)))
-
-
-#: Candidates: what a text's features are.
-CANDIDATES: dict[str, Callable[[Column], Column]] = {
-    "words": words, "words_flags": textmodel.features, "trigrams": lambda t: textmodel.ngrams(t, 3, 3), "words_trigrams": lambda t: F.concat(words(t), F.transform(textmodel.ngrams(t, 3, 3), lambda g: F.concat(F.lit("~"), g))),
-}
+#: What features are made of: parts of a text. Candidates: the parts that a text's features are, and what stands before their names;
+#: a function of the text gives features that are no part of another candidate.
+PARTS: dict[str, Callable[[Column], Column]] = {"words": textmodel.words, "marks": textmodel.marks, "trigrams": lambda t: textmodel.ngrams(t, 3, 3)}
+CANDIDATES: Candidates = {"words": {"words": ""}, "words_flags": {"words": "", "marks": ""}, "trigrams": {"trigrams": ""}, "words_trigrams": {"words": "", "trigrams": "~"}}
 MARGINS = (0.90, 0.95)
 #: Bytes of a stored weight besides its feature's name.
 WEIGHT_BYTES = 4
@@ -47,43 +44,19 @@ class Stages:
         return built.sparkSession.read.schema(built.schema).parquet(out)
 
 
-def featured(base: DataFrame, candidates: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    """id, y, fold, inner, candidate and feature: a row for each feature of each candidate."""
-    each = F.array(*[F.struct(F.lit(k).alias("candidate"), of(F.col("t")).alias("features")) for k, of in candidates.items()])
-    return base.select("id", "y", "fold", "inner", F.explode(each).alias("c")).select("id", "y", "fold", "inner", "c.candidate", F.explode("c.features").alias("feature"))
-
-
-def log_ratio() -> Column:
-    return F.round(F.log((F.col("pos") + 1) / (F.col("p") + 2)) - F.log((F.col("neg") + 1) / (F.col("n") + 2)), 3)
-
-
-def labelled_counts() -> list[Column]:
-    return [F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg")]
-
-
-def sizes(features: DataFrame, least: int) -> DataFrame:
-    """candidate and bytes of a model of all rows."""
-    kept = features.groupBy("candidate", "feature").agg(*labelled_counts()).where(F.col("pos") + F.col("neg") >= least)
-    return kept.groupBy("candidate").agg(F.sum(F.octet_length("feature") + WEIGHT_BYTES).cast("long").alias("bytes"))
+def parted(candidates: Candidates) -> tuple[list[Callable[[Column], Column]], list[tuple[str, int, int]]]:
+    """The different parts of all candidates, and candidate, part's place and bytes before its names."""
+    given = {k: c if isinstance(c, dict) else {k: ""} for k, c in candidates.items()}
+    own = {k: c for k, c in candidates.items() if not isinstance(c, dict)}
+    names = list(dict.fromkeys((p, k in own) for k, c in given.items() for p in c))
+    return [own[p] if alone else PARTS[p] for p, alone in names], [(k, names.index((p, k in own)), len(before.encode())) for k, c in given.items() for p, before in c.items()]
 
 
-def score_counts(base: DataFrame, features: DataFrame, near: DataFrame, least: int, folds: int = FOLDS) -> DataFrame:
-    """candidate, f, held, s, p, n: how many rows of either label have a score, by the model that has not seen fold f: rows of f that
-    are held out, and the other folds' rows that thresholds are set on. near: keys that are not held out."""
-    others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("fold")))
-    totals = base.where(~F.col("inner")).select("y", others.alias("f")).groupBy("f").agg(F.count_if("y").alias("p"), F.count_if(~F.col("y")).alias("n"))
-    counts = features.where(~F.col("inner")).select("candidate", "feature", "y", others.alias("f")).groupBy("candidate", "f", "feature").agg(*labelled_counts()).where(F.col("pos") + F.col("neg") >= least)
-    weights = counts.join(F.broadcast(totals), "f").select("candidate", "f", "feature", log_ratio().alias("w"))  # totals: a row a fold
-    ids = base.select("id", "key", "y", "fold", "inner")
-    held = unleaked(ids, near).select("id", "y", F.col("fold").alias("f"), F.lit(True).alias("held"))
-    asked = held.unionByName(ids.where("inner").select("id", "y", others.alias("f"), F.lit(False).alias("held")))
-    met = features.select("id", "candidate", "feature", "fold", "inner")
-    # A row meets the model of its own fold and, if thresholds are set on it, those of the other folds.
-    which = F.when(F.col("inner"), F.sequence(F.lit(0), F.lit(folds - 1))).otherwise(F.array("fold"))
-    sums = met.select("id", "candidate", "feature", F.explode(which).alias("f")).join(weights.hint("merge"), ["candidate", "f", "feature"]).groupBy("id", "candidate", "f").agg(F.sum("w").alias("s"))
-    names = F.array(*[F.lit(k) for k in sorted(r["candidate"] for r in features.select("candidate").distinct().collect())])  # a few names
-    scored = asked.withColumn("candidate", F.explode(names)).join(sums, ["id", "candidate", "f"], "left").withColumn("s", F.round(F.coalesce("s", F.lit(0.0)), 3))
-    return scored.groupBy("candidate", "f", "held", "s").agg(F.count_if("y").alias("p"), F.count_if(~F.col("y")).alias("n"))
+def sizes(counts: DataFrame, least: int, members: list[tuple[str, int, int]]) -> DataFrame:
+    """candidate and bytes of a model of all rows. counts: fold_counts' rows. members: see parted."""
+    each = counts.where(F.col("n") >= least).groupBy("part").agg(F.sum(F.col("size") + WEIGHT_BYTES).alias("own"), F.count("*").alias("kinds"))
+    made = counts.sparkSession.createDataFrame(members, "candidate string, part int, before int")
+    return each.join(F.broadcast(made), "part").groupBy("candidate").agg(F.sum(F.col("own") + F.col("before") * F.col("kinds")).cast("long").alias("bytes"))  # a row for each part of a candidate
 
 
 def compared(at: DataFrame, margins: tuple[float, ...], folds: int = FOLDS) -> DataFrame:
@@ -103,20 +76,22 @@ def compared(at: DataFrame, margins: tuple[float, ...], folds: int = FOLDS) -> D
     return stats.rates(pooled)
 
 
-def run(base: DataFrame, near: DataFrame, folder: str, candidates: dict[str, Callable[[Column], Column]] = CANDIDATES, margins: tuple[float, ...] = MARGINS, least: int = 5, policy: dict | None = None) -> tuple[DataFrame, Stages]:
+def run(base: DataFrame, near: DataFrame, folder: str, candidates: Candidates = CANDIDATES, margins: tuple[float, ...] = MARGINS, least: int = 5, policy: dict | None = None) -> tuple[DataFrame, Stages]:
     """A row for each candidate and margin: its rates over the folds that have a threshold, size, whether that is over budget, and which
     one wins: best recall among those within budget whose precision's lower bound reaches the policy's, then the smaller, then by name.
 
-    base: id, key, y, t, fold, inner (see selection.prepared). folder: the store of stages.
+    base: id, key, y, t, fold, inner (see selection.prepared). near: keys that are not held out, or their digests; it is read twice.
+    folder: the store of stages.
     """
     from .evaluate import POLICY
 
     rules = POLICY | (policy or {})
     inputs = lineage.record({"base": base, "near": near}, {"candidates": sorted(candidates), "margins": margins, "least": least, "policy": rules})
     stages = Stages(folder, lineage.run_key(inputs).first()["key"])
-    kept = stages.stage("features", lambda: featured(base, candidates))
-    small = stages.stage("sizes", lambda: sizes(kept, least))
-    at = stages.stage("scores", lambda: score_counts(base, kept, near, least))
+    parts, members = parted(candidates)
+    kept = stages.stage("features", lambda: fold_counts(base, parts))
+    small = stages.stage("sizes", lambda: sizes(kept, least, members))
+    at = stages.stage("scores", lambda: fold_scores(base, kept, near, least, parts, [(k, p) for k, p, _ in members]))
     ranked = stages.stage("ranked", lambda: compared(at, margins).join(F.broadcast(small), "candidate").withColumn("over_budget", F.col("bytes") > rules["most_model_bytes"]))
     named = ranked.select("*", F.concat_ws("@", "candidate", F.col("margin").cast("string")).alias("name"))
     winner = textmodel.select_winner(named, rules["most_model_bytes"], rules["least_precision"]).select("name", F.lit(True).alias("wins"))

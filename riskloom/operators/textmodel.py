@@ -17,14 +17,23 @@ def split(key: Column, salt: str, train: float = 0.6, validation: float = 0.2) -
     return F.when(h < train, "train").when(h < train + validation, "validation").otherwise("test")
 
 
-def features(text: Column) -> Column:
-    """Distinct words of two letters or more, flags, and a length bucket."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]{2,}"), F.lit(0))
+def words(text: Column) -> Column:
+    """Distinct words of two letters or more."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{2,}"), F.lit(0)))
+
+
+def marks(text: Column) -> Column:
+    """Flags and a length bucket, with names that no word has."""
     flags = F.filter(F.array(
         F.when(text.rlike("(?i)https?://|www[.]"), "#link"), F.when(text.rlike("[0-9]{5,}"), "#digits"), F.when(text.rlike("[£$₹]"), "#money"), F.when(text.contains("!"), "#shout"),
     ), lambda x: x.isNotNull())
     bucket = F.concat(F.lit("#len"), F.least(F.lit(9), F.floor(F.length(text) / 200)).cast("string"))
-    return F.array_union(F.array_distinct(words), F.array_union(flags, F.array(bucket)))
+    return F.array_union(flags, F.array(bucket))
+
+
+def features(text: Column) -> Column:
+    """Distinct words of two letters or more, flags, and a length bucket."""
+    return F.array_union(words(text), marks(text))
 
 
 def ngrams(text: Column, low: int = 3, high: int = 5) -> Column:

@@ -301,7 +301,7 @@ def cross_validation(spark, sf_dir):
     """A naive Bayes model of quality at two margins, over five folds; rows nearly equal to another fold's are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
     base = selection.prepared(docs, "doc_id", F.col("text"), F.col("quality") == 1, "cv")
-    return selection.cross_validate(base, [0.8, 0.9], near=selection.leaked(base))
+    return selection.cross_validate(base, [0.8, 0.9], near=selection.leaked_digests(base))
 
 
 def series_points(spark, sf_dir):
