@@ -33,3 +33,12 @@ def test_many_weights_meet_by_a_shuffle(spark):
     sent, met = (selection.fold_sums(base, weights, parts, most=most) for most in (1 << 20, 3))
     assert "BroadcastHashJoin" in sent._jdf.queryExecution().executedPlan().toString() and "SortMergeJoin" in met._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(str, sent.collect())) == sorted(map(str, met.collect())) and sent.count() > 200
+
+
+def test_cross_validation_shuffles_no_rows_of_features(spark):
+    base = rows(spark)
+    near = base.select("key").where("id % 40 = 1")
+    digests = near.select(selection.leakage.digest(F.col("key")).alias("digest"))
+    told = [selection.cross_validate(base, [0.6], least=2, near=x) for x in (near, digests)]
+    assert "hashpartitioning(g#" not in told[0]._jdf.queryExecution().executedPlan().toString()
+    assert told[0].collect() == told[1].collect() != selection.cross_validate(base, [0.6], least=2).collect()
