@@ -47,3 +47,8 @@ def test_many_demands_in_one_message(spark):
     text = "do not tell anyone. kisi ko mat batana. urgent! " * n + "your otp is 4. keep it secret. evariki cheppakandi."
     e = messages.evidence(spark.createDataFrame([(text,)], "text string"), "text").first()["evidence"]
     assert {r["rule"]: (r["quote"], r["count"]) for r in e} == {"secrecy": ("do not tell anyone", 3), "urgency": ("urgent", 1)}
+
+
+def test_verdicts_of_the_end(spark, folder):
+    got = {(r["conv_id"], r["turn"]): (r["score"], r["level"], r["family"]) for r in catalogue.QUERIES["message_verdict"](spark, folder).collect()}
+    assert all(got[i, 1] == got[i, 2] for i in range(len(ENDS))) and got[0, 1][1] == "scam"
