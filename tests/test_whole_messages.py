@@ -57,3 +57,8 @@ def test_verdicts_of_the_end(spark, folder):
 def test_quotes_of_the_end(spark, folder):
     got = sorted((r["conv_id"], r["turn"], r["rule"], r["quote"], r["count"]) for r in catalogue.QUERIES["rule_weights"](spark, folder).where("quoted and turn < 3").collect())
     assert [(i, *x) for i, t, *x in got if t == 1] == [(i, *x) for i, t, *x in got if t == 2] and len(got) > 10
+
+
+def test_rules_of_the_end(spark, folder):
+    got = {(r["conv_id"], r["turn"]): r["rules"] for r in catalogue.QUERIES["rules_fired"](spark, folder).collect()}
+    assert all(got[i, 1] == got[i, 2] for i in range(len(ENDS))) and "ask-secret" in got[0, 1]
